@@ -62,15 +62,19 @@ def decode_entities(x: Column) -> Column:
     return F.when(x.contains("&"), decoded).otherwise(x)
 
 
-def text_of(fragment: Column) -> Column:
-    """Text of an HTML fragment: tags removed, entities decoded, ends trimmed."""
-    return trim_blanks(decode_entities(F.regexp_replace(fragment, TAG, "")))
+# Texts go through array steps one after the other: what a lambda is given is a finished
+# value, so an expression used twice in a step is not evaluated twice.
+
+
+def texts_of(fragments: Column) -> Column:
+    """Texts of HTML fragments: tags removed, entities decoded, ends trimmed."""
+    bare = F.transform(fragments, lambda x: F.regexp_replace(x, TAG, ""))
+    return F.transform(bare, lambda x: trim_blanks(decode_entities(x)))
 
 
 def title(html: Column) -> Column:
     """Document title with its entities decoded, otherwise as written; NULL when there is none."""
-    found = F.regexp_extract(html, TITLE, 1)
-    return F.when(html.rlike(TITLE), decode_entities(found))
+    return F.get(F.transform(F.regexp_extract_all(html, F.lit(TITLE), 1), decode_entities), F.lit(0))
 
 
 def paragraph_bodies(html: Column) -> Column:
@@ -78,25 +82,30 @@ def paragraph_bodies(html: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(PARAGRAPH), 1)
 
 
-def text_nodes_between_breaks(body: Column) -> Column:
-    """Text directly under a paragraph with a line break before and after it.
-
-    Child elements go with their content; each one parts the text around it.
-    """
+def _without_elements(body: Column) -> Column:
+    bare = body
     for tag in INLINE:
-        body = F.regexp_replace(body, inline_element(tag), NODE)
-    segments = F.split(body, BREAK)
+        bare = F.regexp_replace(bare, inline_element(tag), NODE)
+    return F.when(body.contains("<"), bare).otherwise(body)
+
+
+def _inner_nodes(segments: Column) -> Column:
     inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
     return F.split(F.array_join(inner, NODE), NODE)
 
 
-def paragraphs(html: Column, min_paragraphs: int = K.MIN_PARAGRAPHS) -> Column:
-    """Texts of all paragraphs; of the text between line breaks instead when a document
-    has fewer than ``min_paragraphs``."""
-    return paragraphs_of(paragraph_bodies(html), min_paragraphs)
+def text_between_breaks(bodies: Column) -> Column:
+    """Text directly under a paragraph with a line break before and after it.
+
+    Child elements go with their content; each one parts the text around it.
+    """
+    bare = F.transform(bodies, _without_elements)
+    segments = F.transform(bare, lambda x: F.split(x, BREAK))
+    return F.flatten(F.transform(segments, _inner_nodes))
 
 
 def paragraphs_of(bodies: Column, min_paragraphs: int = K.MIN_PARAGRAPHS) -> Column:
-    broken = F.flatten(F.transform(bodies, text_nodes_between_breaks))
-    chosen = F.when(F.size(bodies) < min_paragraphs, broken).otherwise(bodies)
-    return F.transform(chosen, text_of)
+    """Texts of all paragraphs; of the text between line breaks instead when a document
+    has fewer than ``min_paragraphs``."""
+    few = F.size(bodies) < min_paragraphs
+    return texts_of(F.when(few, text_between_breaks(bodies)).otherwise(bodies))

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import html as H, text as X
 from .numbering import BLOCK_LINES, running_totals
+from .steps import computed_once, exploded
 
 
 def html_paragraphs(raw: DataFrame, min_paragraphs: int = K.MIN_PARAGRAPHS) -> DataFrame:
     """One row per paragraph of ``raw(file, html)``: number and text. A narrow step."""
     keep = [c for c in raw.columns if c != "html"]
-    bodies = raw.select(*keep, H.paragraph_bodies(F.col("html")).alias("bodies"))
-    return bodies.select(*keep, F.posexplode(H.paragraphs_of(F.col("bodies"), min_paragraphs)).alias("pos", "text")).select(
-        *keep, (F.col("pos") + 1).cast("long").alias("para_no"), "text"
-    )
+    bodies = computed_once(raw, "html", H.paragraph_bodies(F.col("html")))
+    paragraphs = H.paragraphs_of(F.col("html"), min_paragraphs)
+    return exploded(bodies, paragraphs, "text", "para_no", keep)
 
 
 def clean_text(df: DataFrame, column: str = "text", newline: str = "space") -> DataFrame:
     """Cleans a column and drops rows left without any text."""
-    return df.withColumn(column, X.clean(F.col(column), newline)).filter(F.length(column) > 0)
+    return computed_once(df, column, X.clean(F.col(column), newline)).filter(F.length(column) > 0)
 
 
 def classify_lines(df: DataFrame, column: str = "text") -> DataFrame:
@@ -39,10 +39,15 @@ def replace_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.withColumn("person", F.coalesce("full_name", "person")).drop("alias", "full_name")
 
 
-def scene_number(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Number of the current scene within each id: scene markers up to and with this line."""
+def scene_number(
+    lines: DataFrame, within: list[str] = ["id"], block_lines: int = BLOCK_LINES
+) -> DataFrame:
+    """Number of the current scene within each id: scene markers up to and with this line.
+
+    ``within`` and ``line_no`` order the lines of an id; name the file too where an id has several.
+    """
     marker = F.when(F.col("type") == "scene", 1).otherwise(0)
-    return running_totals(lines, ["id"], "line_no", {"scene": (["id"], marker)}, block_lines=block_lines)
+    return running_totals(lines, within, "line_no", {"scene": (["id"], marker)}, block_lines=block_lines)
 
 
 def parse_pages(
@@ -52,34 +57,62 @@ def parse_pages(
     min_paragraphs: int = K.MIN_PARAGRAPHS,
     keep_rest: bool = False,
 ) -> DataFrame:
-    """Lines of ``raw(file, html)`` without scene numbers: one narrow pass over the pages."""
-    named = raw.select(
+    """Lines of ``raw(file, html)`` with scenes numbered within their file.
+
+    A page is one row, so its scenes are found before its lines part: the texts of a page are
+    cut where a scene begins, and the place of a piece is its scene number. Nothing is
+    shuffled, and each page is parsed once.
+    """
+    pages = raw.select(
         F.col("file").alias("source_file"),
         X.id_from_name(F.col("file")).alias("id"),
         H.title(F.col("html")).alias("title"),
-        "html",
-    )
+        H.paragraph_bodies(F.col("html")).alias("texts"),
+    ).withColumn("season", X.season_of(F.col("id")))
+    keep = ["source_file", "id", "title", "season"]
+
+    def cleaned(paragraph: Column) -> Column:
+        return X.clean(paragraph, newline)
+
+    pages = computed_once(pages, "texts", F.col("texts"))
+    pages = computed_once(pages, "texts", F.transform(H.paragraphs_of(F.col("texts"), min_paragraphs), cleaned))
+    scene_starts = F.transform("texts", lambda t, i: F.when(X.line_type(t) == "scene", i))
+    pages = computed_once(pages, "starts", F.concat(F.array(F.lit(0)), F.array_compact(scene_starts)))
+
+    def piece(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("texts"))
+        return F.struct(start.alias("start"), F.slice("texts", start + 1, end - start).alias("texts"))
+
+    scenes = exploded(pages, F.transform("starts", piece), "piece", "scene", keep)
+    lines = exploded(scenes, F.col("piece.texts"), "text", "place", [*keep, "scene", "piece.start"])
     lines = (
-        named.transform(html_paragraphs, min_paragraphs)
-        .transform(clean_text, newline=newline)
-        .withColumnRenamed("para_no", "line_no")
+        lines.filter(F.length("text") > 0)
+        .withColumn("line_no", F.col("start") + F.col("place"))
+        .withColumn("scene", F.col("scene") - 1)
+        .drop("start", "place")
         .transform(classify_lines)
         .transform(split_speaker, keep_rest=keep_rest)
-        .withColumn("season", X.season_of(F.col("id")))
     )
     return lines if aliases is None else replace_aliases(lines, aliases)
 
 
 def lines_from_pages(raw: DataFrame, aliases: DataFrame | None = None, **options) -> DataFrame:
-    """The lines table of ``raw(file, html)``."""
-    return parse_pages(raw, aliases, **options).transform(scene_number)
+    """The lines table of ``raw(file, html)``.
+
+    Scenes are numbered per id. When each file has an id of its own, which the names alone
+    tell, that is the number within the file.
+    """
+    lines = parse_pages(raw, aliases, **options)
+    ids = raw.groupBy(X.id_from_name(F.col("file")).alias("id")).agg(F.count(F.lit(1)).alias("files"))
+    if ids.filter("files > 1").isEmpty():
+        return lines
+    return lines.drop("scene").transform(scene_number, within=["id", "source_file"])
 
 
 def split_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:
     """One row per part of a text between blank lines."""
     keep = [c for c in df.columns if c != column]
-    parts = df.select(*keep, F.posexplode(F.split(F.col(column), "\n\n", -1)).alias("pos", column))
-    return parts.select(*keep, (F.col("pos") + 1).cast("long").alias("para_no"), column)
+    return exploded(df, F.split(F.col(column), "\n\n", -1), column, "para_no", keep)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

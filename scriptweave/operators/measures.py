@@ -116,10 +116,11 @@ def line_totals(lines: DataFrame, main: list[str]) -> DataFrame:
 
 
 def speaker_totals(lines: DataFrame) -> DataFrame:
-    """Lines per speaker, main or not, and all lines spoken."""
+    """Lines per speaker, main or not, and all lines spoken. The counts are kept on storage:
+    the reports below use them several times."""
     spoken = lines.filter(F.col("type") == "person")
-    counts = spoken.groupBy("person").agg(F.count(F.lit(1)).alias("total_lines_person"))
-    return counts.withColumn("total_lines", spoken.agg(F.count(F.lit(1))).scalar())
+    counts = durable(spoken.groupBy("person").agg(F.count(F.lit(1)).alias("total_lines_person")))
+    return with_total(counts, "total_lines_person", "total_lines")
 
 
 def top_speakers(totals: DataFrame, k: int = K.TOP_SPEAKERS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from .numbering import BLOCK_LINES, running_totals
+from .steps import exploded
 
 # running line numbers by what they count within
 NUMBERS = {"total_line": ["person"], "season_line": ["season", "person"], "episode_line": ["id", "person"]}
@@ -31,12 +32,8 @@ def number_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
 def tokenize(lines: DataFrame) -> DataFrame:
     """One row per word, numbered from 1 in its line, apostrophes removed. A narrow step."""
     keep = [c for c in lines.columns if c not in ("line", "title")]
-    words = lines.select(*keep, F.posexplode(X.tokens(F.col("line"))).alias("pos", "token"))
-    return words.select(
-        *keep,
-        F.translate("token", "'", "").alias("word"),
-        (F.col("pos") + 1).cast("long").alias("word_no"),
-    )
+    words = exploded(lines, X.tokens(F.col("line")), "word", "word_no", keep)
+    return words.withColumn("word", F.translate("word", "'", ""))
 
 
 def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:

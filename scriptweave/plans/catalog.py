@@ -18,6 +18,7 @@ from ..operators import sentiment as S
 from ..operators import trend as T
 from ..operators import vocabulary as V
 from ..operators import words as W
+from ..operators.steps import computed_once
 from ..sources import lines as lines_io
 from ..sources.pages import without_files
 from . import inputs as I
@@ -95,14 +96,14 @@ def untyped_lines(spark, sf):
 @query
 def clean_text(spark, sf):
     """Newlines deleted."""
-    documents = I.table(spark, sf, "documents").select("doc_id", "text")
+    documents = I.text_table(spark, sf, "documents").select("doc_id", "text")
     return L.clean_text(documents, newline="delete")
 
 
 @query
 def clean_text_space(spark, sf):
     """Newlines to spaces."""
-    turns = I.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = I.text_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return L.clean_text(turns, newline="space")
 
 
@@ -136,7 +137,7 @@ def alias_map(spark, sf):
 
 @query
 def filter_alias_ids(spark, sf):
-    return M.alias_ids(I.event_lines(spark, sf, aliases=False), "purc")
+    return M.alias_ids(I.event_lines(spark, sf, aliases=False), "purc", id_pattern="^[0-2]{2}")
 
 
 @query
@@ -256,9 +257,9 @@ def main_vs_recurring(spark, sf):
 
 def _word_speakers(spark, sf):
     """Totals of many speakers: each line of a document counts for its first word."""
-    lines = I.document_lines(spark, sf)
     first = F.get(X.tokens(F.col("line")), F.lit(0))
-    return M.speaker_totals(lines.withColumn("person", first).filter(F.col("person").isNotNull()))
+    lines = computed_once(I.document_lines(spark, sf).drop("person"), "person", first)
+    return M.speaker_totals(lines.filter(F.col("person").isNotNull()))
 
 
 # -- pairs -------------------------------------------------------------------------------

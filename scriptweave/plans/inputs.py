@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import lines as L
+from ..operators.steps import exploded
 from ..sources import dims
+from ..sources.spread import spread
 
 # The main speakers of each input.
 EVENT_MAIN = ["click", "view"]
@@ -47,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is worked on: spread over all tasks when it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def event_text() -> Column:
     """A line of a transcript for each event: scene, action or speech."""
     props = F.col("props")
@@ -62,7 +69,7 @@ def event_text() -> Column:
 def event_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned text per event. Events are numbered in time order, so the event id is the
     line's place in its transcript, and no sort is needed to number lines."""
-    raw = table(spark, sf_dir, "events").select(
+    raw = text_table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("id"),
         F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("title"),
         F.lpad((F.col("user_id") % 10).cast("string"), 2, "0").alias("season"),
@@ -85,16 +92,14 @@ def event_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of each document, spoken by the document's source in its language's season."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("season"),
         F.col("source").alias("person"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
-    )
-    return documents.select(
-        "id", "season", "person", (F.col("pos") + 1).cast("long").alias("line_no"), "line",
-        F.lit("person").alias("type"),
+        "text",
     )
+    lines = exploded(documents, F.split("text", "\n", -1), "line", "line_no", ["id", "season", "person"])
+    return lines.withColumn("type", F.lit("person"))
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +113,7 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_pages(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """``raw(page_id, file, html)``; with ``broken``, line breaks part the paragraphs."""
-    pages = table(spark, sf_dir, "pages").withColumnRenamed("url", "file")
+    pages = text_table(spark, sf_dir, "pages").withColumnRenamed("url", "file")
     return pages.withColumn("html", F.replace("html", F.lit("</p><p>"), F.lit("<br>"))) if broken else pages
 
 

@@ -340,7 +340,7 @@ ORACLE: dict[str, str] = {
     "alias_map": EVENTS + "SELECT id, line_no, person, line, type FROM lines",
     "filter_alias_ids": EVENTS
     + """SELECT DISTINCT id FROM split WHERE type = 'person' AND regexp_matches(person, '^purc$')
-        AND regexp_matches(id, '^[02]{2}')""",
+        AND regexp_matches(id, '^[0-2]{2}')""",
     "two_part_ids": EVENTS
     + """SELECT DISTINCT season, id FROM (SELECT season, CASE WHEN user_id % 10 = 0
         THEN id || '-' || CAST(user_id + 1 AS VARCHAR) ELSE id END AS id FROM lines) WHERE contains(id, '-')""",

@@ -1,0 +1,20 @@
+"""Parallelism of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
+    """Deals the rows of a small scan out to all tasks.
+
+    A file of a few megabytes is often one row group, which one task reads, and that task
+    would do all text work alone. Spark's own size of the scan decides; a larger input has
+    row groups enough and stays as it is.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
