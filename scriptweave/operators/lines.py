@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import html as H, text as X
-from .numbering import BLOCK_LINES, running_totals
+from .numbering import BLOCK_LINES, preceding_totals, running_totals
 from .steps import computed_once, exploded
 
+# Files of ids that have several: up to this many, their names and one number each are broadcast.
+BROADCAST_FILES = 200_000
+
 
 def html_paragraphs(raw: DataFrame, min_paragraphs: int = K.MIN_PARAGRAPHS) -> DataFrame:
     """One row per paragraph of ``raw(file, html)``: number and text. A narrow step."""
@@ -39,15 +42,10 @@ def replace_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.withColumn("person", F.coalesce("full_name", "person")).drop("alias", "full_name")
 
 
-def scene_number(
-    lines: DataFrame, within: list[str] = ["id"], block_lines: int = BLOCK_LINES
-) -> DataFrame:
-    """Number of the current scene within each id: scene markers up to and with this line.
-
-    ``within`` and ``line_no`` order the lines of an id; name the file too where an id has several.
-    """
+def scene_number(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Number of the current scene within each id: scene markers up to and with this line."""
     marker = F.when(F.col("type") == "scene", 1).otherwise(0)
-    return running_totals(lines, within, "line_no", {"scene": (["id"], marker)}, block_lines=block_lines)
+    return running_totals(lines, ["id"], "line_no", {"scene": (["id"], marker)}, block_lines=block_lines)
 
 
 def parse_pages(
@@ -99,14 +97,31 @@ def parse_pages(
 def lines_from_pages(raw: DataFrame, aliases: DataFrame | None = None, **options) -> DataFrame:
     """The lines table of ``raw(file, html)``.
 
-    Scenes are numbered per id. When each file has an id of its own, which the names alone
-    tell, that is the number within the file.
+    Scenes are numbered per id. Where each file has an id of its own, that is the number
+    within the file. Names alone tell which ids have several files: only those files are
+    parsed a second time, to add the scenes of an id's earlier files.
     """
     lines = parse_pages(raw, aliases, **options)
-    ids = raw.groupBy(X.id_from_name(F.col("file")).alias("id")).agg(F.count(F.lit(1)).alias("files"))
-    if ids.filter("files > 1").isEmpty():
+    names = raw.select("file", X.id_from_name(F.col("file")).alias("id"))
+    shared = names.groupBy("id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+    n_files = shared.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    if n_files == 0:
         return lines
-    return lines.drop("scene").transform(scene_number, within=["id", "source_file"])
+    small = n_files <= BROADCAST_FILES
+
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    named = raw.withColumn("id", X.id_from_name(F.col("file")))
+    again = named.join(hinted(shared), "id", "left_semi").select("file", "html")
+    scenes = parse_pages(again, **options).filter(F.col("type") == "scene")
+    counts = scenes.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    files = names.join(hinted(shared), "id", "left_semi").join(counts, "file", "left")
+    files = files.select("id", "file", F.coalesce("n", F.lit(0)).alias("n"))
+    earlier = preceding_totals(files, [F.col("id"), F.col("file")], {"_earlier": (["id"], "n")})
+    earlier = earlier.select(F.col("file").alias("source_file"), "_earlier")
+    joined = lines.join(hinted(earlier), "source_file", "left")
+    return joined.withColumn("scene", F.col("scene") + F.coalesce("_earlier", F.lit(0))).drop("_earlier")
 
 
 def split_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:

@@ -1,7 +1,6 @@
 """Counts, means and totals over lines and words.
 
 Aggregates are partial before the shuffle, so a hot key moves one row per task.
-A grand total is a scalar subquery on the small aggregate: no window over one partition.
 """
 
 from __future__ import annotations
@@ -17,8 +16,10 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_total(df: DataFrame, value: str, name: str) -> DataFrame:
-    return df.withColumn(name, df.agg(F.sum(value)).scalar())
+def with_total(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the grand total to counts of main speakers. These are at most one row per main
+    speaker and season, so one partition holds them, and the lines are read once."""
+    return counts.withColumn(name, F.sum(value).over(W.partitionBy(F.lit(0))))
 
 
 # -- quality checks on lines -------------------------------------------------------------
@@ -116,11 +117,12 @@ def line_totals(lines: DataFrame, main: list[str]) -> DataFrame:
 
 
 def speaker_totals(lines: DataFrame) -> DataFrame:
-    """Lines per speaker, main or not, and all lines spoken. The counts are kept on storage:
-    the reports below use them several times."""
+    """Lines per speaker, main or not, and all lines spoken. Speakers can be many, so the
+    total is a scalar subquery and no window over one partition. The counts are kept on
+    storage: the total and the reports below use them several times."""
     spoken = lines.filter(F.col("type") == "person")
     counts = durable(spoken.groupBy("person").agg(F.count(F.lit(1)).alias("total_lines_person")))
-    return with_total(counts, "total_lines_person", "total_lines")
+    return counts.withColumn("total_lines", counts.agg(F.sum("total_lines_person")).scalar())
 
 
 def top_speakers(totals: DataFrame, k: int = K.TOP_SPEAKERS) -> DataFrame:

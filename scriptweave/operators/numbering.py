@@ -66,7 +66,7 @@ def running_totals(
     """
     names = list(totals)
     keys = list(dict.fromkeys([*within, *(c for group, _ in totals.values() for c in group)]))
-    block = F.floor(F.col(line) / F.lit(block_lines)).cast("long").alias("_block")
+    block = F.expr(f"`{line}` div {block_lines}").alias("_block")
     key = F.struct(*keys, block)
 
     sums = (

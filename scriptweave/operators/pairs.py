@@ -11,17 +11,15 @@ def _masks(main: list[str], person: str) -> list[Column]:
     """Per 63 speakers one long whose bit i says that speaker i occurs."""
     masks = []
     for start in range(0, len(main), _BITS):
-        names = F.array(*[F.lit(p) for p in main[start : start + _BITS]])
-        place = F.array_position(names, F.col(person)).cast("int")
+        place = F.array_position(F.lit(main[start : start + _BITS]), F.col(person)).cast("int")
         bit = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), place - 1))
         masks.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias(f"_mask{start // _BITS}"))
     return masks
 
 
-def _flag(i: int) -> Column:
+def _flag(i: int) -> str:
     """1 when speaker i is present, else 0."""
-    shifted = F.shiftright(F.col(f"_mask{i // _BITS}"), i % _BITS)
-    return shifted.bitwiseAND(F.lit(1).cast("long"))
+    return f"(shiftright(_mask{i // _BITS}, {i % _BITS}) & 1)"
 
 
 def _presence(df: DataFrame, main: list[str], scene: list[str], person: str) -> DataFrame:
@@ -33,7 +31,7 @@ def presence_matrix(
     lines: DataFrame, main: list[str], scene: list[str] = ["id", "scene"], person: str = "person"
 ) -> DataFrame:
     """Per scene one column per main speaker: 1 when present, else 0."""
-    flags = [_flag(i).alias(p) for i, p in enumerate(main)]
+    flags = [F.expr(_flag(i)).alias(p) for i, p in enumerate(main)]
     return _presence(lines, main, scene, person).select(*scene, *flags)
 
 
@@ -49,15 +47,14 @@ def cooccurrence(
     presence = _presence(lines, main, scene, person)
     mask_names = [c for c in presence.columns if c not in scene]
     casts = presence.groupBy(*mask_names).agg(F.count(F.lit(1)).alias("n"))
-    present = F.array_compact(F.array(*[F.when(_flag(i) == 1, F.lit(i)) for i in range(len(main))]))
-    rows = casts.withColumn("_a", F.explode(present))
-    shared = rows.groupBy("_a").agg(
-        *[F.sum(_flag(i) * F.col("n")).alias(f"_{i}") for i in range(len(main))]
-    )
+    speakers = range(len(main))
+    members = ", ".join(f"if({_flag(i)} = 1, {i}, null)" for i in speakers)
+    rows = casts.withColumn("_a", F.explode(F.expr(f"array_compact(array({members}))")))
+    shared = rows.groupBy("_a").agg(*[F.expr(f"sum({_flag(i)} * n) as _{i}") for i in speakers])
     # from here on at most len(main) rows
-    names = F.array(*[F.lit(p) for p in main])
-    columns = F.array(*[F.struct(F.lit(i).alias("_b"), F.col(f"_{i}").alias("n")) for i in range(len(main))])
-    cells = shared.select("_a", F.inline(columns))
+    columns = ", ".join(f"struct({i} as _b, _{i} as n)" for i in speakers)
+    cells = shared.select("_a", F.expr(f"inline(array({columns}))"))
+    names = F.lit(main)
     occurring = F.broadcast(shared.select(F.col("_a").alias("_b")))
     return (
         cells.join(occurring, "_b")

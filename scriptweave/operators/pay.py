@@ -16,8 +16,14 @@ def salary_totals(pay: DataFrame) -> DataFrame:
             "season_salary_adj": F.col("pay_adj") * F.col("n_groups"),
         }
     )
-    totals = seasons.withColumn("total_salary", seasons.agg(F.sum("season_salary")).scalar())
-    return totals.withColumn("total_salary_adj", seasons.agg(F.sum("season_salary_adj")).scalar())
+    # one row per season
+    everything = W.partitionBy(F.lit(0))
+    return seasons.withColumns(
+        {
+            "total_salary": F.sum("season_salary").over(everything),
+            "total_salary_adj": F.sum("season_salary_adj").over(everything),
+        }
+    )
 
 
 def _per_season(df: DataFrame, what: str) -> DataFrame:

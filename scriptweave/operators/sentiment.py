@@ -38,7 +38,7 @@ def lexicon_hits(
         ties=[F.desc("_step")],
         block_lines=block_lines,
     )
-    bucket = F.floor(F.col("total_line") / bucket_lines).cast("long")
+    bucket = F.expr(f"total_line div {bucket_lines}")
     return numbered.filter(F.col("_step") == 0).drop("_step").withColumn("bucket", bucket)
 
 

@@ -321,7 +321,7 @@ ORACLE: dict[str, str] = {
         END AS name FROM pages))""",
     "page_lines": _with(_page_lines(20), f"titles AS (SELECT page_id, {_TITLE} AS title FROM src)")
     + """SELECT r.source_file, r.id, substr(r.id, 1, 2) AS season, t.title, r.line_no, r.type, r.person, r.line,
-        CAST(count(CASE WHEN r.type = 'scene' THEN 1 END) OVER (PARTITION BY r.id ORDER BY r.line_no
+        CAST(count(CASE WHEN r.type = 'scene' THEN 1 END) OVER (PARTITION BY r.id ORDER BY r.source_file, r.line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene
         FROM page_rows r JOIN titles t ON r.page_id = t.page_id""",
     "untyped_lines": _with(_page_lines(0)) + "SELECT id, line_no, person, line FROM page_rows WHERE type IS NULL",
