@@ -4,7 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+# The character sets Spark decodes itself.
+_SPARK_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
+
+
+def decoded(content: Column, encoding: str) -> Column:
+    """Bytes as text. Other single-byte character sets, like windows-1252, are read as
+    iso-8859-1, whose characters are the bytes, and each byte's character is then replaced."""
+    if encoding.lower() in _SPARK_CHARSETS:
+        return F.decode(content, encoding)
+    high = [bytes([b]) for b in range(0x80, 0x100)]
+    replaced = [(b.decode("iso-8859-1"), b.decode(encoding, "ignore")) for b in high]
+    if len("".join(new for _, new in replaced)) < 64:
+        raise ValueError(f"{encoding} is neither known to Spark nor a single-byte character set")
+    replaced = [(old, new) for old, new in replaced if new]
+    text = F.decode(content, "iso-8859-1")
+    return F.translate(text, "".join(o for o, _ in replaced), "".join(n for _, n in replaced))
 
 
 def read_pages(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -16,7 +33,7 @@ def read_pages(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.col("_metadata.file_name").alias("file"),
-        F.decode(F.col("content"), encoding).alias("html"),
+        decoded(F.col("content"), encoding).alias("html"),
     )
 
 
