@@ -29,10 +29,9 @@ def inline_element(tag: str) -> str:
 
 
 def _named_entities() -> Column:
-    pairs = []
-    for name, code in sorted(name2codepoint.items()):
-        pairs += [F.lit(f"&{name};"), F.lit(chr(code))]
-    return F.create_map(*pairs)
+    """Map from entity to character, made from one literal and folded to a constant."""
+    pairs = "\n".join(f"&{name};\t{chr(code)}" for name, code in sorted(name2codepoint.items()))
+    return F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
 
 
 def _character(digits: Column, base: int) -> Column:

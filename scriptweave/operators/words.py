@@ -42,7 +42,7 @@ def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:
     No broadcast is forced: Spark broadcasts a list it knows to be small and otherwise
     shuffles, splitting a hot word by its adaptive skew join.
     """
-    return words.join(stop_words.select("word").distinct(), "word", "left_anti")
+    return words.join(stop_words.select("word"), "word", "left_anti")
 
 
 def with_lexicon(words: DataFrame, lexicon: DataFrame) -> DataFrame:
