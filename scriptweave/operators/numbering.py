@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .durable import durable
 
-BLOCK_LINES = 50_000
-_KEY, _PART, _ROW = "_key", "_part", "_in_block"
+BLOCK_LINES = 500_000
+# Keys with more than BLOCK_LINES lines are broadcast up to this many.
+BROADCAST_KEYS = 100_000
+_KEY, _HASH, _PART, _BLOCK, _ROWS = "_key", "_hash", "_part", "_block", "_rows"
 
 
 def _struct(names: list[str]) -> Column:
@@ -21,21 +23,23 @@ def _struct(names: list[str]) -> Column:
     return F.struct(*names) if names else F.lit(0)
 
 
-def preceding_totals(
-    df: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]]
-) -> DataFrame:
-    """Adds to each row the sum over all rows before it in its group.
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    """The key and, to sort by first, its hash: a number sorts faster than a struct."""
+    return df.withColumn(_KEY, key).withColumn(_HASH, F.xxhash64(_KEY))
 
-    ``order`` orders all rows without ties; ``totals`` maps a new column to its group
-    columns (none: all rows are one group) and the column to add up. Rows are range
-    partitioned, so a group spreads over many tasks whatever its size. The partition of a
-    row is kept with it on storage: computed twice, a range partitioning could cut elsewhere.
-    """
-    rows = durable(df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()))
+
+def _range_partitioned(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in ranges of ``order``, the range of a row kept with it on storage: computed
+    twice, a range partitioning could cut elsewhere."""
+    return durable(df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()))
+
+
+def _preceding(ranges: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]]) -> DataFrame:
+    rows = ranges
     for name, (group, value) in totals.items():
         grouped = rows.withColumn(_KEY, F.struct(_struct(group).alias("g"), F.col(_PART).alias("p")))
         inside = W.partitionBy(_KEY).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        # one row per group and range partition
+        # one row per group and range
         parts = grouped.groupBy(_KEY).agg(F.sum(value).alias("_sum"))
         before = W.partitionBy(f"{_KEY}.g").orderBy(f"{_KEY}.p").rowsBetween(W.unboundedPreceding, -1)
         parts = parts.select(_KEY, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
@@ -48,6 +52,18 @@ def preceding_totals(
     return rows.drop(_PART)
 
 
+def preceding_totals(
+    df: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]]
+) -> DataFrame:
+    """Adds to each row the sum over all rows before it in its group.
+
+    ``order`` orders all rows without ties; ``totals`` maps a new column to its group
+    columns (none: all rows are one group) and the column to add up. Rows are range
+    partitioned, so a group spreads over many tasks whatever its size.
+    """
+    return _preceding(_range_partitioned(df, order), order, totals)
+
+
 def running_totals(
     df: DataFrame,
     within: list[str],
@@ -63,29 +79,45 @@ def running_totals(
     unique in each ``within``; ``ties`` orders rows of one line. ``totals`` maps a new column
     to its group columns and the value to add up. ``counted`` gives the rows that carry the
     values when ``df`` holds others besides, so only those are read for the block sums.
+
+    The lines of one key (``within`` and all group columns) are one block when there are at
+    most ``block_lines``, and otherwise a block per ``block_lines`` line numbers.
     """
     names = list(totals)
     keys = list(dict.fromkeys([*within, *(c for group, _ in totals.values() for c in group)]))
-    block = F.expr(f"`{line}` div {block_lines}").alias("_block")
-    key = F.struct(*keys, block)
-
-    sums = (
-        (df if counted is None else counted)
-        .groupBy(key.alias(_KEY))
-        .agg(*[F.sum(totals[n][1]).cast("long").alias(n) for n in names])
-        .select(f"{_KEY}.*", *[F.col(n).alias(f"_sum{i}") for i, n in enumerate(names)])
+    order = [F.col(c) for c in [*within, _BLOCK, *[k for k in keys if k not in within]]]
+    cut = F.expr(f"`{line}` div {block_lines}")
+    source = df if counted is None else counted
+
+    def sums(rows: DataFrame, block: Column) -> DataFrame:
+        values = [F.sum(totals[n][1]).cast("long").alias(f"_sum{i}") for i, n in enumerate(names)]
+        return rows.groupBy(*keys, block.alias(_BLOCK)).agg(F.count(F.lit(1)).alias(_ROWS), *values)
+
+    ranges = _range_partitioned(sums(source, F.lit(0).cast("long")), order)
+    large = ranges.filter(F.col(_ROWS) > block_lines).select(F.struct(*keys).alias("_large"))
+    n_large = large.count()
+    block = F.lit(0).cast("long")
+    if n_large:
+        if n_large <= BROADCAST_KEYS:
+            large = F.broadcast(large)
+        is_large = F.struct(*keys) == F.col("_large")
+        pieces = sums(source.join(large, is_large, "left_semi"), cut)
+        whole = ranges.filter(F.col(_ROWS) <= block_lines).drop(_PART)
+        ranges = _range_partitioned(whole.unionByName(pieces), order)
+        df = df.join(large, is_large, "left")
+        block = F.when(F.col("_large").isNotNull(), cut).otherwise(block)
+
+    starts = _preceding(
+        ranges, order, {f"_start{i}": (totals[n][0], f"_sum{i}") for i, n in enumerate(names)}
     )
-    order = [F.col(c) for c in [*within, "_block", *[k for k in keys if k not in within]]]
-    starts = preceding_totals(
-        sums, order, {f"_start{i}": (totals[n][0], f"_sum{i}") for i, n in enumerate(names)}
-    ).select(F.struct(*keys, "_block").alias(_KEY), *[f"_start{i}" for i in range(len(names))])
-
-    # at most block_lines lines share a key
-    local = W.partitionBy(_KEY).orderBy(F.col(line), *(ties or [])).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumn(_KEY, key)
-    for n in names:
-        rows = rows.withColumn(n, F.coalesce(F.sum(totals[n][1]).over(local), F.lit(0)).cast("long"))
-    rows = rows.join(starts, _KEY)
-    for i, n in enumerate(names):
-        rows = rows.withColumn(n, F.col(n) + F.col(f"_start{i}"))
-    return rows.drop(_KEY, *[f"_start{i}" for i in range(len(names))])
+    starts = _keyed(starts, F.struct(*keys, _BLOCK))
+    starts = starts.select(_HASH, _KEY, *[f"_start{i}" for i in range(len(names))])
+
+    local = W.partitionBy(_HASH, _KEY).orderBy(F.col(line), *(ties or []))
+    local = local.rowsBetween(W.unboundedPreceding, 0)
+    rows = _keyed(df, F.struct(*keys, block.alias(_BLOCK)))
+    rows = rows.withColumns(
+        {n: F.coalesce(F.sum(totals[n][1]).over(local), F.lit(0)).cast("long") for n in names}
+    ).join(starts, [_HASH, _KEY])
+    rows = rows.withColumns({n: F.col(n) + F.col(f"_start{i}") for i, n in enumerate(names)})
+    return rows.drop(_KEY, _HASH, "_large", *[f"_start{i}" for i in range(len(names))])
