@@ -1,5 +1,6 @@
-"""The catalogue's queries as SQL for DuckDB, written from the definitions and not from the
-Spark code: plain windows, regular expressions and joins, to check the Spark plans against."""
+"""The catalogue's queries as SQL for DuckDB, to check the Spark plans against: plain windows,
+regular expressions and joins. Shared with the Spark code are the title and entity patterns,
+the entity table, the list of inline tags and the small tables."""
 
 from __future__ import annotations
 
