@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.durable import new_path
-from . import decontamination, kdshards, mixing, tokenfiles
+from . import decontamination, kdshards, mixing, quality, setsketch, tokenfiles, toxicity
+from .labelled import held_out
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 24
@@ -18,6 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"))
+    rows = quality.assessed(documents, model, keep=["doc_id"])
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = setsketch.near_documents(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = {"doc_id": F.col("doc_id"), "text_crc32": F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))}
     rows = kdshards.kd_shards(_table(spark, sf_dir, "documents"), SHARDS, keep=keep)
@@ -37,6 +52,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(documents, labels.filter(~held_out(F.col("doc_id"))))
+    rows = toxicity.scored(documents, lexicon, keep=["doc_id"])
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -49,8 +74,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_setsketch": op2_setsketch,
     "op3_kd_shards": op3_kd_shards,
     "op4_decontamination": op4_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
