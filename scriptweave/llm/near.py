@@ -27,6 +27,10 @@ from .components import components
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 _VOCABULARY = 4096
 
+# Bits of a membership filter, a fixed size whatever the tables' size. At 2^22 distinct values it
+# lets most rows pass; the exact join behind it decides either way.
+FILTER_BITS = 22
+
 #: Codes (sorted and distinct in each text) of some texts, and their bounds by text.
 Shingler = Callable[[bytewords.Texts], tuple[np.ndarray, np.ndarray]]
 #: Registers (texts x places) of code sets.
@@ -49,6 +53,34 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
+class Members:
+    """A filter of fixed size that lets all wanted values pass, and others only by chance."""
+
+    def __init__(self, wanted: DataFrame, name: str):
+        slot = (F.xxhash64(name).bitwiseAND((1 << FILTER_BITS) - 1)).cast("int")
+        found = wanted.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        bits[found] = True
+        self.shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def __getstate__(self):
+        return {"shared": self.shared}
+
+    def among(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows whose value may be wanted."""
+        schema = rows.schema
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.passes(batch.column("_slot").to_numpy()))).select(schema.names)
+
+        return rows.withColumn("_slot", F.xxhash64(name)).mapInArrow(kept, schema)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & ((1 << FILTER_BITS) - 1)
+        return (self.shared.value[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+
+
 def signatures(items: DataFrame, shingler: Shingler, signer: Signer) -> DataFrame:
     """(id, n, fp1, fp2, registers) of items (id, text): two sums of codes tell equal sets."""
 
@@ -67,12 +99,12 @@ def signatures(items: DataFrame, shingler: Shingler, signer: Signer) -> DataFram
     return items.select("id", "text").mapInArrow(rows, "id long, n long, fp1 long, fp2 long, registers binary")
 
 
-def _banded(classes: DataFrame, bands: int, per_band: int, width) -> DataFrame:
+def _banded(classes: DataFrame, bands: int, per_band: int) -> DataFrame:
     """(bucket, id) for every band of every class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=width).reshape(batch.num_rows, -1)
+            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             code = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, 1))
             for k in range(per_band):
                 code = bytewords.mix(code * np.uint64(31) + registers[:, k : bands * per_band : per_band].astype(np.uint64))
@@ -82,7 +114,7 @@ def _banded(classes: DataFrame, bands: int, per_band: int, width) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(rows, "bucket long, id long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, width, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, percent: int) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
     for side in "ab":
         named = classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
@@ -92,7 +124,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, width, percent:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=width).reshape(batch.num_rows, -1) for c in ("ra", "rb")
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("ra", "rb")
             )
             likely = judge(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(likely))
@@ -101,20 +133,22 @@ def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, width, percent:
 
 
 def _sets(items: DataFrame, wanted: DataFrame, shingler: Shingler) -> DataFrame:
-    """(id, n, codes) of the wanted items, from their texts."""
+    """(id, n, codes) of the wanted items: the texts are filtered where they lie, only sets move."""
+    members = Members(wanted, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in bytewords.slices(batch.column("text"), lower=True):
+            kept = batch.filter(pa.array(members.passes(batch.column("slot").to_numpy())))
+            for texts in bytewords.slices(kept.column("text"), lower=True):
                 codes, bounds = shingler(texts)
                 packed = [codes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                part = batch.slice(texts.first, texts.count)
+                part = kept.slice(texts.first, texts.count)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(packed, pa.binary())], names=["id", "n", "codes"]
                 )
 
-    chosen = items.select("id", "text").join(wanted.select("id").distinct(), "id", "left_semi")
-    return chosen.mapInArrow(rows, "id long, n long, codes binary")
+    made = items.select("id", "text", F.xxhash64("id").alias("slot")).mapInArrow(rows, "id long, n long, codes binary")
+    return made.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,25 +258,20 @@ def _private(sets: DataFrame) -> DataFrame:
 
 
 def near_components(
-    items: DataFrame, shingler: Shingler, signer: Signer, judge: Judge, bands: int, per_band: int, percent: int, width=np.uint8
+    classes: DataFrame, items: DataFrame, shingler: Shingler, judge: Judge, bands: int, per_band: int, percent: int
 ) -> DataFrame:
-    """(id, n, component) of all items (id, text): n the size of the set, component the smallest id
-    reachable over pairs with ``100 * common >= percent * union``.
+    """(node, component) of all classes with a link: component is the smallest id reachable over
+    pairs with ``100 * common >= percent * union``.
 
-    Ids are distinct. Items without shingles are components of their own.
+    ``classes`` (id, n, registers), one row an id, has sets that are not empty; ``items`` (id, text)
+    has a text of each class, and may have it several times and others besides.
     """
-    signed = durable(signatures(items, shingler, signer), "signed")
-    same = ["n", "fp1", "fp2"]
-    firsts = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
-    classes = durable(firsts.filter("id is not null"), "classes")
-
-    banded = _banded(classes, bands, per_band, width)
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = durable(banded.join(shared, "bucket"), "buckets")
-    pairs = durable(_likely(_stars(buckets), classes, judge, width, percent), "pairs")
+    banded = _banded(classes, bands, per_band)
+    shared = durable(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
+    buckets = durable(Members(shared, "bucket").among(banded, "bucket").join(shared, "bucket"), "buckets")
+    pairs = durable(_likely(_stars(buckets), classes, judge, percent), "pairs")
     members = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    sets = durable(_sets(items, members, shingler), "sets")
-    links = durable(_confirmed(pairs, sets, percent), "links")
+    links = durable(_confirmed(pairs, durable(_sets(items, members, shingler), "sets"), percent), "links")
     found = durable(components(links), "components")
 
     mixed = durable(_mixed_buckets(buckets, found), "mixed")
@@ -262,10 +291,5 @@ def near_components(
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     more = _block_links(rows.select("cluster", "first", "second", "block", "id", "component", "codes"), percent)
-    more = durable(more, "links")
-    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
-
-    classes = classes.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("id").alias("node")).join(found, "node", "left")
-    equal = (F.col("n") == F.col("_n")) & (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2"))
-    rows = signed.select("id", *same).join(classes, equal, "left")
-    return rows.select("id", "n", F.coalesce("component", "node", "id").alias("component"))
+    known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return components(known.unionAll(durable(more, "links")))

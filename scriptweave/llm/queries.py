@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.durable import new_path
-from . import decontamination, kdshards, mixing, quality, setsketch, tokenfiles, toxicity
+from . import decontamination, kdshards, licences, linededup, maintext, mixing, quality, setsketch, tokenfiles, toxicity
 from .labelled import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(documents, labels.filter(~held_out(F.col("doc_id"))))
@@ -62,6 +70,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extracted(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -78,7 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch": op2_setsketch,
     "op3_kd_shards": op3_kd_shards,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_licences": op6_licences,
     "op7_toxicity": op7_toxicity,
+    "op8_main_text": op8_main_text,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }

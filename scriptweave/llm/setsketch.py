@@ -14,8 +14,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.durable import durable
 from . import bytewords
-from .near import distinct_codes, near_components
+from .near import distinct_codes, near_components, signatures
 
 REGISTERS, BANDS, PER_BAND = 160, 32, 5
 BASE, RATE = 1.1, 20.0
@@ -89,5 +90,14 @@ def near_documents(
         return distinct_codes(codes, w.text[first], texts.count)
 
     items = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = near_components(items, shingler, sketch, possible, BANDS, PER_BAND, percent)
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    signed = durable(signatures(items, shingler, sketch), "signed")
+    same = ["n", "fp1", "fp2"]
+    firsts = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
+    classes = durable(firsts.filter("id is not null"), "classes")
+    found = near_components(classes, items, shingler, possible, BANDS, PER_BAND, percent)
+    named = classes.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("id").alias("node")).join(found, "node", "left")
+    equal = (F.col("n") == F.col("_n")) & (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2"))
+    rows = signed.select("id", *same).join(named, equal, "left")
+    return rows.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")
+    )

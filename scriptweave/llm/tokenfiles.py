@@ -10,6 +10,7 @@ a hash of the text. Null document ids come first. Further columns are not writte
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,32 +22,58 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1_000
-CACHE_WORDS = 200_000
+CACHE_PIECES = 200_000
 _PIECES = re.compile(r"[ \n\t\r]+")
+# Between blanks, a control character that is one id of its own.
+_MARK = "\x01"
+_AT_ONCE = 2_000
 
 
 class Encoder:
-    """A tokenizer that drops white space, encoding each distinct piece between blanks once.
+    """A tokenizer that lower-cases and drops white space, encoding each distinct piece between blanks once.
 
-    Such a tokenizer never merges across a blank, so a text's ids are those of its pieces in a row
-    (``splits_at_blanks`` tests it). The pieces known are dropped when they become too many.
+    Such a tokenizer never merges across a blank, so a text's ids are those of its pieces in a row.
+    Unknown pieces are encoded many at a time, with a mark between them. Known pieces are dropped when
+    they become too many.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self._ids(_MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.known: dict[str, np.ndarray] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        # texts of special tokens, and the mark itself, are encoded one by one
+        odd = [p for p in pieces if _MARK in p or "<|" in p or self.mark is None]
+        plain = [p for p in pieces if not (_MARK in p or "<|" in p)] if self.mark is not None else []
+        for piece in odd:
+            self.known[piece] = self._ids(piece)
+        for at in range(0, len(plain), _AT_ONCE):
+            part = plain[at : at + _AT_ONCE]
+            ids = self._ids(f" {_MARK} ".join(part))
+            cuts = np.flatnonzero(ids == self.mark)
+            for piece, first, last in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                self.known[piece] = ids[first:last]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_PIECES.split(t) if t else [] for t in texts]
+        split = []
+        for text in texts:
+            if text and text.isascii() and "<|" not in text:
+                text = text.lower()  # as the tokenizer does
+            split.append(_PIECES.split(text) if text else [])
         known = self.known
         unknown = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(unknown) > CACHE_WORDS:
+        if len(known) + len(unknown) > CACHE_PIECES:
             known.clear()
             unknown = list({p for pieces in split for p in pieces})
-        for piece, found in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, dtype=np.int32)
+        self._learn(unknown)
         end = np.array([END_ID], dtype=np.int32)
         return [np.concatenate([*map(known.__getitem__, pieces), end]) for pieces in split]
 
@@ -56,7 +83,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def write_tokens(
     documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-    partitions: int | None = None, batch: int = 256,
+    partitions: int | None = None, batch: int = 128,
 ) -> None:
     """Encodes each whole text, adds the end id, and writes (doc_id, ids, n, part, row).
 
