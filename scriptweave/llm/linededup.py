@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.durable import durable
 from ..operators.steps import computed_once
@@ -62,7 +62,7 @@ def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return (a == b).mean(axis=1) >= wanted - 5 * np.sqrt(wanted * (1 - wanted) / a.shape[1])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
     """The texts without the lines of the given numbers."""
     out = []

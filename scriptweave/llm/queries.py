@@ -99,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # SQL where it can express a query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_licences": licences.oracle()}

@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,56 +27,92 @@ CACHE_PIECES = 200_000
 _PIECES = re.compile(r"[ \n\t\r]+")
 # Between blanks, a control character that is one id of its own.
 _MARK = "\x01"
-_AT_ONCE = 2_000
+_AT_ONCE = 200
+# A full stop or comma at a word's end is a piece of its own, unless it is in a row of signs somewhere.
+_NO_SPLIT = re.compile(r"(?:[^a-z0-9]|\A)[.,](?=[ \n])")
 
 
 class Encoder:
     """A tokenizer that lower-cases and drops white space, encoding each distinct piece between blanks once.
 
     Such a tokenizer never merges across a blank, so a text's ids are those of its pieces in a row.
-    Unknown pieces are encoded many at a time, with a mark between them. Known pieces are dropped when
-    they become too many.
+    Unknown pieces are encoded many at a time, with a mark between them; those of ASCII alone are
+    lower-cased here and skip the tokenizer's normal forms, which would not change them. All ids known
+    lie in one array; a text is gathered from it by the numbers of its pieces. The first ``CACHE_PIECES``
+    are kept, the frequent ones among them; later ones serve their batch only.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        mark = self._ids(_MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-        self.known: dict[str, np.ndarray] = {}
+        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        mark = self.full.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, dtype=np.int32)]
+        self.lengths = [np.zeros(0, dtype=np.int64)]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.ids.append(ids)
+        self.lengths.append(lengths)
 
     def _learn(self, pieces: list[str]) -> None:
-        # texts of special tokens, and the mark itself, are encoded one by one
-        odd = [p for p in pieces if _MARK in p or "<|" in p or self.mark is None]
-        plain = [p for p in pieces if not (_MARK in p or "<|" in p)] if self.mark is not None else []
+        odd, plain, full = [], [], []
+        for p in pieces:
+            # special tokens' texts, and the mark itself, are encoded one by one
+            (odd if "<|" in p or _MARK in p or self.mark is None else plain if p.isascii() else full).append(p)
         for piece in odd:
-            self.known[piece] = self._ids(piece)
-        for at in range(0, len(plain), _AT_ONCE):
-            part = plain[at : at + _AT_ONCE]
-            ids = self._ids(f" {_MARK} ".join(part))
-            cuts = np.flatnonzero(ids == self.mark)
-            for piece, first, last in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.known[piece] = ids[first:last]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            ids = np.array(self.full.encode(piece, add_special_tokens=False).ids, dtype=np.int32)
+            self._add([piece], ids, np.array([len(ids)]))
+        for tokenizer, group in ((self.plain, plain), (self.full, full)):
+            for at in range(0, len(group), _AT_ONCE):
+                part = group[at : at + _AT_ONCE]
+                joined = f" {_MARK} ".join(part)
+                joined = joined.lower() if tokenizer is self.plain else joined
+                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype=np.int32)
+                cuts = np.flatnonzero(ids == self.mark)
+                lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                if len(lengths) != len(part):
+                    raise ValueError("the mark is not one id between blanks")
+                self._add(part, np.delete(ids, cuts), lengths)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, in a row; and where each begins and the last ends."""
         split = []
         for text in texts:
             if text and text.isascii() and "<|" not in text:
-                text = text.lower()  # as the tokenizer does
+                text = text.lower()  # fewer distinct pieces
+                if not _NO_SPLIT.search(text):
+                    for mark in ", ", ". ", ".\n":
+                        text = text.replace(mark, f" {mark}")
             split.append(_PIECES.split(text) if text else [])
-        known = self.known
-        unknown = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(unknown) > CACHE_PIECES:
-            known.clear()
-            unknown = list({p for pieces in split for p in pieces})
-        self._learn(unknown)
-        end = np.array([END_ID], dtype=np.int32)
-        return [np.concatenate([*map(known.__getitem__, pieces), end]) for pieces in split]
+        flat = list(chain.from_iterable(split))
+        unknown = list(set(flat).difference(self.known))
+        held = len(self.known)
+        if unknown:
+            self._learn(unknown)
+        ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        pieces = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        if held + len(unknown) <= CACHE_PIECES:
+            self.ids, self.lengths = [ids], [lengths]
+        else:
+            for piece in unknown:
+                del self.known[piece]
+            self.ids, self.lengths = self.ids[:1], self.lengths[:1]
+        first = np.cumsum(lengths) - lengths
+        n = lengths[pieces]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        # each piece's ids, and one place more behind each text's last piece
+        ends = upto[np.cumsum([len(x) for x in split])]
+        bounds = np.concatenate([[0], ends + np.arange(1, len(split) + 1)])
+        out = np.full(bounds[-1], END_ID, dtype=np.int32)
+        body = np.ones(len(out), dtype=bool)
+        body[bounds[1:] - 1] = False
+        out[body] = ids[np.arange(upto[-1]) + np.repeat(first[pieces] - upto[:-1], n)]
+        return out, bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -83,7 +120,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def write_tokens(
     documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-    partitions: int | None = None, batch: int = 128,
+    partitions: int | None = None, batch: int = 512,
 ) -> None:
     """Encodes each whole text, adds the end id, and writes (doc_id, ids, n, part, row).
 
@@ -102,9 +139,8 @@ def write_tokens(
         for found in batches:
             for at in range(0, found.num_rows, batch):
                 part = found.slice(at, batch)
-                ids = encoder.encode(part.column(1).to_pylist())
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                ids, bounds = encoder.encode(part.column(1).to_pylist())
+                values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), values], names=["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
