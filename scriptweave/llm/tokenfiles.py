@@ -36,8 +36,9 @@ class Encoder:
     """A tokenizer that lower-cases and drops white space, encoding each distinct piece between blanks once.
 
     Such a tokenizer never merges across a blank, so a text's ids are those of its pieces in a row.
-    Unknown pieces are encoded many at a time, with a mark between them; those of ASCII alone are
-    lower-cased here and skip the tokenizer's normal forms, which would not change them. All ids known
+    Unknown pieces of the letters a-z go to the tokenizer's model as they are; others are encoded many
+    at a time, with a mark between them, and those of ASCII alone skip the tokenizer's normal forms,
+    which would not change them. All ids known
     lie in one array; a text is gathered from it by the numbers of its pieces. The first ``CACHE_PIECES``
     are kept, the frequent ones among them; later ones serve their batch only.
     """
@@ -60,19 +61,28 @@ class Encoder:
         self.lengths.append(lengths)
 
     def _learn(self, pieces: list[str]) -> None:
-        odd, plain, full = [], [], []
+        odd, words, plain, full = [], [], [], []
         for p in pieces:
-            # special tokens' texts, and the mark itself, are encoded one by one
-            (odd if "<|" in p or _MARK in p or self.mark is None else plain if p.isascii() else full).append(p)
+            if p.isascii():
+                # special tokens' texts, and the mark itself, are encoded one by one
+                (odd if "<|" in p or _MARK in p else words if p.isalpha() else plain).append(p)
+            else:
+                (odd if "<|" in p or _MARK in p else full).append(p)
+        if self.mark is None:
+            odd, plain, full = odd + plain + full, [], []
         for piece in odd:
             ids = np.array(self.full.encode(piece, add_special_tokens=False).ids, dtype=np.int32)
             self._add([piece], ids, np.array([len(ids)]))
+        # letters a-z alone are one word to the model, as they are
+        tokenize = self.full.model.tokenize
+        found = [[token.id for token in tokenize(word.lower())] for word in words]
+        self._add(words, np.array(list(chain.from_iterable(found)), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
         for tokenizer, group in ((self.plain, plain), (self.full, full)):
             for at in range(0, len(group), _AT_ONCE):
                 part = group[at : at + _AT_ONCE]
                 joined = f" {_MARK} ".join(part)
                 joined = joined.lower() if tokenizer is self.plain else joined
-                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype=np.int32)
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
                 cuts = np.flatnonzero(ids == self.mark)
                 lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
                 if len(lengths) != len(part):
