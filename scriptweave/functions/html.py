@@ -10,12 +10,17 @@ from pyspark.sql import Column, functions as F
 from .. import constants as K
 from .text import trim_blanks
 
-NOT_CONTENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-# A paragraph ends at its closing tag, at the next paragraph or at the end.
-PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?=<p\b[^>]*>|</p\s*>|\z)"
-BREAK = r"(?i)<br\b[^>]*>"
-TAG = r"</?[A-Za-z!][^>]*>"
+# What is never closed runs to the end, and a tag ends before the next one, so that no pattern reads
+# on from each of many openings.
+NOT_CONTENT = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+TITLE = r"(?is)<title\b[^<>]*>(.*?)(?:</title\s*>|\z)"
+# Block elements, whose opening ends a paragraph.
+BLOCKS = "address|article|aside|blockquote|center|div|dl|fieldset|form|h[1-6]|hr|ol|pre|section|table|ul"
+# A paragraph ends at its closing tag, at the next paragraph or block element, or at the end.
+PARAGRAPH_END = rf"<(?:p|{BLOCKS})\b[^<>]*>|</p\s*>"
+PARAGRAPH = rf"(?is)<p\b[^<>]*>(.*?)(?={PARAGRAPH_END}|\z)"
+BREAK = r"(?i)<br\b[^<>]*>"
+TAG = r"</?[A-Za-z!][^<>]*>"
 # An entity, a stretch without entities, or a lone ampersand: together they cover any text.
 PIECE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 # Elements that may stand inside a paragraph.
@@ -25,7 +30,7 @@ NODE = "\u0001"
 
 def inline_element(tag: str) -> str:
     """A child element with its content; one that is never closed runs to the end."""
-    return rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)"
+    return rf"(?is)<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)"
 
 
 def _named_entities() -> Column:

@@ -14,17 +14,14 @@ from .words import without_stop_words
 
 
 def top_per_group(df: DataFrame, group: str, weight: str, k: int) -> DataFrame:
-    """Rows among the k largest weights of their group, ties kept, for a few groups.
+    """Rows among the k largest weights of their group, ties kept.
 
-    The k-th largest weight of each group is found by a row number limit, which Spark applies
-    in every task before its shuffle; rows at or above it are kept where they are, so neither
-    a large group nor a large tie meets in one task. Groups must be few: one row each is
-    broadcast.
+    ``rank() <= k`` is a limit that Spark applies in every task before its shuffle, so of a large
+    group only k rows a task, and their ties, meet. The input is evaluated once.
     """
     order = W.partitionBy(group).orderBy(F.desc(weight))
-    ranked = df.filter(F.col(weight).isNotNull()).select(group, weight, F.row_number().over(order).alias("_rn"))
-    cut = ranked.filter(F.col("_rn") <= k).groupBy(group).agg(F.min(weight).alias("_cut"))
-    return df.join(F.broadcast(cut), group).filter(F.col(weight) >= F.col("_cut")).drop("_cut")
+    ranked = df.filter(F.col(weight).isNotNull()).withColumn("_rank", F.rank().over(order))
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
 def word_weights(
@@ -43,13 +40,13 @@ def word_weights(
     counts = durable(counts.transform(without_stop_words, stop_words))
     # one row per main speaker
     persons = counts.groupBy("person").agg(F.sum("n").alias("person_words"))
-    persons = persons.join(F.broadcast(line_totals(lines, main)), "person", "left")
+    persons = persons.join(line_totals(lines, main), "person", "left")
     said = counts.filter(F.col("person_word") > 0).drop("n")
     # one row per main speaker and word
     anyone = F.sum("person_word").over(W.partitionBy("word"))
     weighted = (
         said.withColumn("anyone_says_word", anyone)
-        .join(F.broadcast(persons), "person", "left")
+        .join(persons, "person", "left")
         .withColumn("total_words", counts.agg(F.sum("n")).scalar())
     )
     square = F.col("person_word") * F.col("person_word")

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import html as H, text as X
-from .numbering import BLOCK_LINES, preceding_totals, running_totals
+from .durable import durable
+from .numbering import preceding_totals, with_running_totals
 from .steps import computed_once, exploded
 
-# Files of ids that have several: up to this many, their names and one number each are broadcast.
-BROADCAST_FILES = 200_000
-
 
 def html_paragraphs(raw: DataFrame, min_paragraphs: int = K.MIN_PARAGRAPHS) -> DataFrame:
     """One row per paragraph of ``raw(file, html)``: number and text. A narrow step."""
@@ -38,44 +36,44 @@ def split_speaker(df: DataFrame, column: str = "text", keep_rest: bool = False)
 
 def replace_aliases(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Full names for aliases, everywhere. ``aliases`` is a literal table of a few names."""
-    named = lines.join(F.broadcast(aliases), F.col("person") == F.col("alias"), "left")
+    named = lines.join(aliases, F.col("person") == F.col("alias"), "left")
     return named.withColumn("person", F.coalesce("full_name", "person")).drop("alias", "full_name")
 
 
-def scene_number(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Number of the current scene within each id: scene markers up to and with this line."""
+def scene_number(lines: DataFrame, order: list[str] = ["line_no"], ranges: int | None = None) -> DataFrame:
+    """Number of the current scene within each id: scene markers up to and with this line.
+    ``order`` tells the lines of an id apart."""
     marker = F.when(F.col("type") == "scene", 1).otherwise(0)
-    return running_totals(lines, ["id"], "line_no", {"scene": (["id"], marker)}, block_lines=block_lines)
-
+    return with_running_totals(lines, ["id", *order], {"scene": (["id"], marker)}, ranges)
 
-def parse_pages(
-    raw: DataFrame,
-    aliases: DataFrame | None = None,
-    newline: str = "space",
-    min_paragraphs: int = K.MIN_PARAGRAPHS,
-    keep_rest: bool = False,
-) -> DataFrame:
-    """Lines of ``raw(file, html)`` with scenes numbered within their file.
 
-    A page is one row, so its scenes are found before its lines part: the texts of a page are
-    cut where a scene begins, and the place of a piece is its scene number. Nothing is
-    shuffled, and each page is parsed once.
-    """
+def _page_texts(raw: DataFrame, newline: str, min_paragraphs: int) -> DataFrame:
+    """Per page its cleaned texts and the places of those that begin a scene. Each page is parsed once."""
     pages = raw.select(
         F.col("file").alias("source_file"),
         X.id_from_name(F.col("file")).alias("id"),
         H.title(F.col("html")).alias("title"),
         H.paragraph_bodies(F.col("html")).alias("texts"),
+        F.md5(F.col("html").cast("binary")).alias("digest"),
     ).withColumn("season", X.season_of(F.col("id")))
-    keep = ["source_file", "id", "title", "season"]
 
     def cleaned(paragraph: Column) -> Column:
         return X.clean(paragraph, newline)
 
     pages = computed_once(pages, "texts", F.col("texts"))
     pages = computed_once(pages, "texts", F.transform(H.paragraphs_of(F.col("texts"), min_paragraphs), cleaned))
-    scene_starts = F.transform("texts", lambda t, i: F.when(X.line_type(t) == "scene", i))
-    pages = computed_once(pages, "starts", F.concat(F.array(F.lit(0)), F.array_compact(scene_starts)))
+    starts = F.transform("texts", lambda t, i: F.when(X.line_type(t) == "scene", i))
+    return computed_once(pages, "starts", F.array_compact(starts))
+
+
+def _lines_of(pages: DataFrame, keep_rest: bool, aliases: DataFrame | None) -> DataFrame:
+    """The pages' lines, numbered on from ``before_lines`` and ``before_scenes``.
+
+    A page is one row, so its scenes are found before its lines part: the texts of a page are
+    cut where a scene begins, and the place of a piece is its scene number. Nothing is shuffled.
+    """
+    keep = ["source_file", "id", "title", "season", "before_lines", "before_scenes"]
+    pages = computed_once(pages, "starts", F.concat(F.array(F.lit(0)), "starts"))
 
     def piece(start: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("texts"))
@@ -85,43 +83,50 @@ def parse_pages(
     lines = exploded(scenes, F.col("piece.texts"), "text", "place", [*keep, "scene", "piece.start"])
     lines = (
         lines.filter(F.length("text") > 0)
-        .withColumn("line_no", F.col("start") + F.col("place"))
-        .withColumn("scene", F.col("scene") - 1)
-        .drop("start", "place")
+        .withColumn("line_no", F.col("before_lines") + F.col("start") + F.col("place"))
+        .withColumn("scene", F.col("before_scenes") + F.col("scene") - 1)
+        .drop("start", "place", "before_lines", "before_scenes")
         .transform(classify_lines)
         .transform(split_speaker, keep_rest=keep_rest)
     )
     return lines if aliases is None else replace_aliases(lines, aliases)
 
 
-def lines_from_pages(raw: DataFrame, aliases: DataFrame | None = None, **options) -> DataFrame:
-    """The lines table of ``raw(file, html)``.
+def parse_pages(
+    raw: DataFrame,
+    aliases: DataFrame | None = None,
+    newline: str = "space",
+    min_paragraphs: int = K.MIN_PARAGRAPHS,
+    keep_rest: bool = False,
+) -> DataFrame:
+    """Lines of ``raw(file, html)`` with lines and scenes numbered within their file."""
+    zero = F.lit(0).cast("long")
+    pages = _page_texts(raw, newline, min_paragraphs).withColumns({"before_lines": zero, "before_scenes": zero})
+    return _lines_of(pages.drop("digest"), keep_rest, aliases)
+
+
+def lines_from_pages(
+    raw: DataFrame,
+    aliases: DataFrame | None = None,
+    newline: str = "space",
+    min_paragraphs: int = K.MIN_PARAGRAPHS,
+    keep_rest: bool = False,
+) -> DataFrame:
+    """The lines table of ``raw(file, html)``, lines and scenes numbered per id.
 
-    Scenes are numbered per id. Where each file has an id of its own, that is the number
-    within the file. Names alone tell which ids have several files: only those files are
-    parsed a second time, to add the scenes of an id's earlier files.
+    Parsed pages are kept on storage. Of each, a narrow row with its numbers of texts and scenes
+    is put in order by id and file name, and says where the page's numbers begin; files of one
+    name are ordered by their content. Pages have a number of their own, so a repeated name or
+    page multiplies nothing.
     """
-    lines = parse_pages(raw, aliases, **options)
-    names = raw.select("file", X.id_from_name(F.col("file")).alias("id"))
-    shared = names.groupBy("id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
-    n_files = shared.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
-    if n_files == 0:
-        return lines
-    small = n_files <= BROADCAST_FILES
-
-    def hinted(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    named = raw.withColumn("id", X.id_from_name(F.col("file")))
-    again = named.join(hinted(shared), "id", "left_semi").select("file", "html")
-    scenes = parse_pages(again, **options).filter(F.col("type") == "scene")
-    counts = scenes.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    files = names.join(hinted(shared), "id", "left_semi").join(counts, "file", "left")
-    files = files.select("id", "file", F.coalesce("n", F.lit(0)).alias("n"))
-    earlier = preceding_totals(files, [F.col("id"), F.col("file")], {"_earlier": (["id"], "n")})
-    earlier = earlier.select(F.col("file").alias("source_file"), "_earlier")
-    joined = lines.join(hinted(earlier), "source_file", "left")
-    return joined.withColumn("scene", F.col("scene") + F.coalesce("_earlier", F.lit(0))).drop("_earlier")
+    pages = _page_texts(raw, newline, min_paragraphs).withColumn("page", F.monotonically_increasing_id())
+    pages = durable(pages, "pages")
+    sizes = {"n_lines": F.size("texts").cast("long"), "n_scenes": F.size("starts").cast("long")}
+    narrow = pages.select("page", "id", "source_file", "digest", *[c.alias(n) for n, c in sizes.items()])
+    order = [F.col(c) for c in ("id", "source_file", "digest", "page")]
+    totals = {"before_lines": (["id"], "n_lines"), "before_scenes": (["id"], "n_scenes")}
+    before = preceding_totals(narrow, order, totals).select("page", "before_lines", "before_scenes")
+    return _lines_of(pages.join(before, "page").drop("page", "digest"), keep_rest, aliases)
 
 
 def split_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:

@@ -17,9 +17,9 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_total(counts: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the grand total to counts of main speakers. These are at most one row per main
-    speaker and season, so one partition holds them, and the lines are read once."""
-    return counts.withColumn(name, F.sum(value).over(W.partitionBy(F.lit(0))))
+    """Adds the grand total, a scalar subquery over the counts: however many rows they have,
+    no task gathers them, and Spark reuses the exchange both share."""
+    return counts.withColumn(name, counts.agg(F.sum(value)).scalar())
 
 
 # -- quality checks on lines -------------------------------------------------------------
@@ -165,7 +165,7 @@ def word_totals(words: DataFrame, stop_words: DataFrame) -> DataFrame:
     """
     counts = durable(count_by(words, "person", "word").transform(without_stop_words, stop_words))
     persons = counts.groupBy("person").agg(F.sum("n").alias("person_words"))
-    with_person = counts.join(F.broadcast(persons), "person")
+    with_person = counts.join(persons, "person")
     return with_person.withColumn("total_words", counts.agg(F.sum("n")).scalar()).drop("n")
 
 

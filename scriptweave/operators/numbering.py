@@ -1,9 +1,9 @@
 """Running totals over groups of any size.
 
-A window with a few huge groups (lines per speaker) would sort each group in one task.
-Here a group is cut into blocks of consecutive lines. Every block adds up its own lines
-first; the sums, one row per block, are put in order by a range partitioning; and each
-line then needs only its block's starting value and a window inside its block.
+A window with a few huge groups (lines per speaker) would sort each group in one task. Here the
+rows are put in order by a range partitioning, whose ranges are of about one size however the
+rows are numbered. Each range adds up its part of each group; the sums, one row per group and
+range, give every range its starting values; and the windows end at the range's edges.
 """
 
 from __future__ import annotations
@@ -12,112 +12,80 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .durable import durable
 
-BLOCK_LINES = 500_000
-# Keys with more than BLOCK_LINES lines are broadcast up to this many.
-BROADCAST_KEYS = 100_000
-_KEY, _HASH, _PART, _BLOCK, _ROWS = "_key", "_hash", "_part", "_block", "_rows"
+_PART, _ROW = "_part", "_is_row"
 
 
-def _struct(names: list[str]) -> Column:
-    """Columns as one key, in which NULL equals NULL; a constant for no columns."""
-    return F.struct(*names) if names else F.lit(0)
-
-
-def _keyed(df: DataFrame, key: Column) -> DataFrame:
-    """The key and, to sort by first, its hash: a number sorts faster than a struct."""
-    return df.withColumn(_KEY, key).withColumn(_HASH, F.xxhash64(_KEY))
-
-
-def _range_partitioned(df: DataFrame, order: list[Column]) -> DataFrame:
+def _range_partitioned(df: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
     """Rows in ranges of ``order``, the range of a row kept with it on storage: computed
     twice, a range partitioning could cut elsewhere."""
-    return durable(df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()))
-
-
-def _preceding(ranges: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]]) -> DataFrame:
-    rows = ranges
-    for name, (group, value) in totals.items():
-        grouped = rows.withColumn(_KEY, F.struct(_struct(group).alias("g"), F.col(_PART).alias("p")))
-        inside = W.partitionBy(_KEY).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        # one row per group and range
-        parts = grouped.groupBy(_KEY).agg(F.sum(value).alias("_sum"))
-        before = W.partitionBy(f"{_KEY}.g").orderBy(f"{_KEY}.p").rowsBetween(W.unboundedPreceding, -1)
-        parts = parts.select(_KEY, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-        rows = (
-            grouped.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(parts, _KEY)
-            .withColumn(name, F.col(name) + F.col("_base"))
-            .drop(_KEY, "_base")
-        )
-    return rows.drop(_PART)
+    ordered = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return durable(ordered.withColumn(_PART, F.spark_partition_id()), "ranges")
 
 
 def preceding_totals(
-    df: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]]
+    df: DataFrame, order: list[Column], totals: dict[str, tuple[list[str], str]], ranges: int | None = None
 ) -> DataFrame:
     """Adds to each row the sum over all rows before it in its group.
 
-    ``order`` orders all rows without ties; ``totals`` maps a new column to its group
-    columns (none: all rows are one group) and the column to add up. Rows are range
-    partitioned, so a group spreads over many tasks whatever its size.
+    ``order`` orders all rows without ties; ``totals`` maps a new column to its group columns
+    (none: all rows are one group) and the column to add up. Keep the rows narrow: they are
+    written once and move twice. A range's starting values travel as rows of their own at its
+    head, so nothing is joined, and NULL is a group like any other. Where all rows are one group,
+    one window holds one row per range.
     """
-    return _preceding(_range_partitioned(df, order), order, totals)
+    rows = placed = _range_partitioned(df, order, ranges)
+    values = {name: f"_value{i}" for i, name in enumerate(totals)}
+    rows = rows.withColumns({values[n]: F.coalesce(F.col(v), F.lit(0)) for n, (_, v) in totals.items()})
+    rows = rows.withColumn(_ROW, F.lit(True))
+    for name, (group, value) in totals.items():
+        sums = placed.groupBy(*group, _PART).agg(F.sum(value).alias("_sum"))
+        before = W.partitionBy(*group).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+        start = F.sum("_sum").over(before).alias(values[name])
+        starts = sums.select(*group, _PART, start, F.lit(False).alias(_ROW)).filter(f"{values[name]} <> 0")
+        rows = rows.unionByName(starts, allowMissingColumns=True)
+    rows = rows.repartition(_PART)  # serves all windows below
+    sums = {}
+    for name, (group, _) in totals.items():
+        inside = W.partitionBy(_PART, *group).orderBy(_ROW, *order).rowsBetween(W.unboundedPreceding, -1)
+        sums[name] = F.coalesce(F.sum(values[name]).over(inside), F.lit(0))
+    return rows.withColumns(sums).filter(_ROW).drop(_PART, _ROW, *values.values())
 
 
 def running_totals(
-    df: DataFrame,
-    within: list[str],
-    line: str,
-    totals: dict[str, tuple[list[str], Column]],
-    counted: DataFrame | None = None,
-    ties: list[Column] | None = None,
-    block_lines: int = BLOCK_LINES,
+    df: DataFrame, order: list[str], totals: dict[str, tuple[list[str], Column]], ranges: int | None = None
 ) -> DataFrame:
     """Adds running totals, each row's own value included.
 
-    Groups are ordered by the columns ``within`` and then the integer ``line``, which is
-    unique in each ``within``; ``ties`` orders rows of one line. ``totals`` maps a new column
-    to its group columns and the value to add up. ``counted`` gives the rows that carry the
-    values when ``df`` holds others besides, so only those are read for the block sums.
-
-    The lines of one key (``within`` and all group columns) are one block when there are at
-    most ``block_lines``, and otherwise a block per ``block_lines`` line numbers.
+    Rows are ordered by the columns ``order``, without ties; ``totals`` maps a new column to its
+    group columns and the value to add up.
     """
-    names = list(totals)
-    keys = list(dict.fromkeys([*within, *(c for group, _ in totals.values() for c in group)]))
-    order = [F.col(c) for c in [*within, _BLOCK, *[k for k in keys if k not in within]]]
-    cut = F.expr(f"`{line}` div {block_lines}")
-    source = df if counted is None else counted
-
-    def sums(rows: DataFrame, block: Column) -> DataFrame:
-        values = [F.sum(totals[n][1]).cast("long").alias(f"_sum{i}") for i, n in enumerate(names)]
-        return rows.groupBy(*keys, block.alias(_BLOCK)).agg(F.count(F.lit(1)).alias(_ROWS), *values)
-
-    ranges = _range_partitioned(sums(source, F.lit(0).cast("long")), order)
-    large = ranges.filter(F.col(_ROWS) > block_lines).select(F.struct(*keys).alias("_large"))
-    n_large = large.count()
-    block = F.lit(0).cast("long")
-    if n_large:
-        if n_large <= BROADCAST_KEYS:
-            large = F.broadcast(large)
-        is_large = F.struct(*keys) == F.col("_large")
-        pieces = sums(source.join(large, is_large, "left_semi"), cut)
-        whole = ranges.filter(F.col(_ROWS) <= block_lines).drop(_PART)
-        ranges = _range_partitioned(whole.unionByName(pieces), order)
-        df = df.join(large, is_large, "left")
-        block = F.when(F.col("_large").isNotNull(), cut).otherwise(block)
-
-    starts = _preceding(
-        ranges, order, {f"_start{i}": (totals[n][0], f"_sum{i}") for i, n in enumerate(names)}
-    )
-    starts = _keyed(starts, F.struct(*keys, _BLOCK))
-    starts = starts.select(_HASH, _KEY, *[f"_start{i}" for i in range(len(names))])
-
-    local = W.partitionBy(_HASH, _KEY).orderBy(F.col(line), *(ties or []))
-    local = local.rowsBetween(W.unboundedPreceding, 0)
-    rows = _keyed(df, F.struct(*keys, block.alias(_BLOCK)))
-    rows = rows.withColumns(
-        {n: F.coalesce(F.sum(totals[n][1]).over(local), F.lit(0)).cast("long") for n in names}
-    ).join(starts, [_HASH, _KEY])
-    rows = rows.withColumns({n: F.col(n) + F.col(f"_start{i}") for i, n in enumerate(names)})
-    return rows.drop(_KEY, _HASH, "_large", *[f"_start{i}" for i in range(len(names))])
+    steps = {n: f"_step{i}" for i, n in enumerate(totals)}
+    rows = df.withColumns({steps[n]: v for n, (_, v) in totals.items()})
+    wanted = {n: (group, steps[n]) for n, (group, _) in totals.items()}
+    rows = preceding_totals(rows, [F.col(c) for c in order], wanted, ranges)
+    rows = rows.withColumns({n: (F.col(n) + F.coalesce(F.col(s), F.lit(0))).cast("long") for n, s in steps.items()})
+    return rows.drop(*steps.values())
+
+
+def with_running_totals(
+    lines: DataFrame, order: list[str], totals: dict[str, tuple[list[str], Column]], ranges: int | None = None
+) -> DataFrame:
+    """The same for rows with texts: only keys and values are put in order, and every row finds its
+    totals by the ``order`` columns, which must tell rows apart. The texts move once."""
+    groups = [c for group, _ in totals.values() for c in group]
+    keys = list(dict.fromkeys([*order, *groups]))
+    values = {n: f"_from{i}" for i, n in enumerate(totals)}
+    narrow = lines.select(*keys, *[v.alias(values[n]) for n, (_, v) in totals.items()])
+    wanted = {n: (group, F.col(values[n])) for n, (group, _) in totals.items()}
+    found = running_totals(narrow, order, wanted, ranges)
+    found = found.select(*[F.col(c).alias(f"_key_{c}") for c in order], *totals)
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in order]
+    return lines.drop(*totals).join(found, same, "left").drop(*[f"_key_{c}" for c in order])
+
+
+def ordinals(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the place of a column's value among its distinct values in order, from 1; NULL first."""
+    distinct = df.select(F.col(column).alias("_item"), F.lit(1).alias("_one")).distinct()
+    placed = preceding_totals(distinct, [F.col("_item")], {name: ([], "_one")})
+    placed = placed.select("_item", (F.col(name) + 1).cast("long").alias(name))
+    return df.join(placed, F.col(column).eqNullSafe(F.col("_item")), "left").drop("_item")

@@ -42,7 +42,8 @@ def cooccurrence(
 
     This is the presence matrix times its transpose. Scenes with the same cast are counted
     first; then each speaker of a cast adds that count to all its cast's columns. No scene
-    is joined with itself, and no list of pairs is made.
+    is joined with itself. Every two of ``main`` make a row and a sum column each, as the report asks of
+    a given cast of speakers: keep the list to tens.
     """
     presence = _presence(lines, main, scene, person)
     mask_names = [c for c in presence.columns if c not in scene]
@@ -55,7 +56,7 @@ def cooccurrence(
     columns = ", ".join(f"struct({i} as _b, _{i} as n)" for i in speakers)
     cells = shared.select("_a", F.expr(f"inline(array({columns}))"))
     names = F.lit(main)
-    occurring = F.broadcast(shared.select(F.col("_a").alias("_b")))
+    occurring = shared.select(F.col("_a").alias("_b"))
     return (
         cells.join(occurring, "_b")
         .select(F.get(names, F.col("_a")).alias("person_a"), F.get(names, F.col("_b")).alias("person_b"), "n")

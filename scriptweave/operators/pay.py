@@ -16,19 +16,17 @@ def salary_totals(pay: DataFrame) -> DataFrame:
             "season_salary_adj": F.col("pay_adj") * F.col("n_groups"),
         }
     )
-    # one row per season
-    everything = W.partitionBy(F.lit(0))
     return seasons.withColumns(
         {
-            "total_salary": F.sum("season_salary").over(everything),
-            "total_salary_adj": F.sum("season_salary_adj").over(everything),
+            "total_salary": seasons.agg(F.sum("season_salary")).scalar(),
+            "total_salary_adj": seasons.agg(F.sum("season_salary_adj")).scalar(),
         }
     )
 
 
 def _per_season(df: DataFrame, what: str) -> DataFrame:
-    """Counts per person and season with the grand total and the person's total: at most one
-    row per main speaker and season, so window and total are small."""
+    """Counts per person and season with the grand total and the person's total; the window sees
+    one row per season of a person."""
     counts = count_by(df, "person", "season").withColumnRenamed("n", f"num_{what}")
     counts = with_total(counts, f"num_{what}", f"total_{what}")
     return counts.withColumn(f"total_{what}_person", F.sum(f"num_{what}").over(W.partitionBy("person")))
@@ -44,7 +42,7 @@ def pay_table(lines: DataFrame, words: DataFrame, pay: DataFrame, main: list[str
 
 
 def _displayed(df: DataFrame, display_names: DataFrame) -> DataFrame:
-    named = df.join(F.broadcast(display_names), "person", "left")
+    named = df.join(display_names, "person", "left")
     return named.withColumn("person", F.coalesce("display", "person")).drop("display")
 
 

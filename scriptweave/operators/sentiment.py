@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
-from .numbering import BLOCK_LINES, running_totals
+from .numbering import running_totals
 from .words import spoken_by_main, tokenize, with_lexicon, without_stop_words
 
 _KEYS = ["id", "season", "person", "line_no"]
@@ -17,29 +17,22 @@ def lexicon_hits(
     stop_words: DataFrame,
     lexicon: DataFrame,
     bucket_lines: int = K.BUCKET_LINES,
-    block_lines: int = BLOCK_LINES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Lexicon words of the main speakers with their running line number and bucket.
 
     Text is tokenised and matched where it is read. What gets shuffled is one narrow marker
-    per line and the matches; a match's line number is the count of markers up to it.
+    per line, which is numbered, and the matches, which find their line's number by its key.
     """
     spoken = spoken_by_main(lines, main)
-    markers = spoken.select(*_KEYS, F.lit(1).alias("_step"))
+    markers = spoken.select("id", "line_no", "person")
+    numbered = running_totals(markers, ["id", "line_no"], {"total_line": (["person"], F.lit(1))}, ranges)
+    numbered = numbered.select(F.col("id").alias("_id"), F.col("line_no").alias("_line_no"), "total_line")
     words = tokenize(spoken.select(*_KEYS, "line")).drop("word_no")
     hits = words.transform(without_stop_words, stop_words).transform(with_lexicon, lexicon)
-    rows = markers.unionByName(hits.withColumn("_step", F.lit(0)), allowMissingColumns=True)
-    numbered = running_totals(
-        rows,
-        ["id"],
-        "line_no",
-        {"total_line": (["person"], F.col("_step"))},
-        counted=markers,
-        ties=[F.desc("_step")],
-        block_lines=block_lines,
-    )
-    bucket = F.expr(f"total_line div {bucket_lines}")
-    return numbered.filter(F.col("_step") == 0).drop("_step").withColumn("bucket", bucket)
+    same = [F.col("id").eqNullSafe(F.col("_id")), F.col("line_no").eqNullSafe(F.col("_line_no"))]
+    found = hits.join(numbered, same, "left").drop("_id", "_line_no")
+    return found.withColumn("bucket", F.expr(f"total_line div {bucket_lines}"))
 
 
 def score_by_bucket(hits: DataFrame) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def trend_smooth(series: DataFrame, group: str, x: str, y: str, bandwidth: int) -> DataFrame:
+def trend_smooth(series: DataFrame, group: list[str], x: str, y: str, bandwidth: int) -> DataFrame:
     """Local linear fit with tricube weights at each x of each group.
 
-    ``x`` is an integer; points nearer than ``bandwidth`` count. Each point is first added
+    ``group`` names any columns; ``x`` is an integer, such as an ordinal of ids; points nearer than ``bandwidth`` count. Each point is first added
     up with others at its x, then sends its share to the x values within reach: a fixed
     number of rows per point and one shuffle on (group, x), whatever the group's size.
     Where the fit has no slope, the weighted mean stands in.
     """
     points = series.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    points = points.groupBy(group, x).agg(
+    points = points.groupBy(*group, x).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col(y).cast("double")).alias("_y")
     )
     shifts = F.sequence(F.lit(1 - bandwidth), F.lit(bandwidth - 1))
     # d: position of the point as seen from the x it is sent to
-    sent = points.select(group, x, "_n", "_y", F.explode(shifts).alias("_d"))
+    sent = points.select(*group, x, "_n", "_y", F.explode(shifts).alias("_d"))
     closeness = F.abs(F.col("_d")).cast("double") / F.lit(float(bandwidth))
     weight = F.pow(1 - F.pow(closeness, F.lit(3)), F.lit(3))
     sent = sent.withColumn("_w", weight)
@@ -28,7 +28,7 @@ def trend_smooth(series: DataFrame, group: str, x: str, y: str, bandwidth: int)
         return F.sum(e).alias(name)
 
     w, d, n, sy = F.col("_w"), F.col("_d"), F.col("_n"), F.col("_y")
-    fitted = sent.groupBy(group, (F.col(x) - d).alias(x)).agg(
+    fitted = sent.groupBy(*group, (F.col(x) - d).alias(x)).agg(
         moment(w * n, "s0"),
         moment(w * d * n, "s1"),
         moment(w * d * d * n, "s2"),
@@ -39,4 +39,4 @@ def trend_smooth(series: DataFrame, group: str, x: str, y: str, bandwidth: int)
     s0, s1, s2, t0, t1 = (F.col(c) for c in ("s0", "s1", "s2", "t0", "t1"))
     spread = s0 * s2 - s1 * s1
     fit = F.when(spread > 1e-9, (s2 * t0 - s1 * t1) / spread).otherwise(t0 / s0)
-    return fitted.filter("_here").select(group, x, fit.alias("trend"))
+    return fitted.filter("_here").select(*group, x, fit.alias("trend"))

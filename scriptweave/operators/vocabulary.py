@@ -30,5 +30,5 @@ def vocab_normalised(words: DataFrame, pay: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("total_nchar")
     )
     episodes = pay.select("season", F.col("n_groups").alias("num_eps"))
-    joined = spoken.join(F.broadcast(episodes), "season", "left")
+    joined = spoken.join(episodes, "season", "left")
     return joined.withColumn("total_nchar_norm", F.try_divide("total_nchar", "num_eps"))

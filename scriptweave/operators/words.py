@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from .numbering import BLOCK_LINES, running_totals
+from .numbering import with_running_totals
 from .steps import exploded
 
 # running line numbers by what they count within
@@ -21,12 +21,11 @@ def spoken_by_main(lines: DataFrame, main: list[str]) -> DataFrame:
     return by_main(lines, main).filter(F.col("type") == "person")
 
 
-def number_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Running line numbers from 1 per person, per season and person, and per id and person."""
-    one = F.lit(1)
-    return running_totals(
-        lines, ["id"], "line_no", {n: (group, one) for n, group in NUMBERS.items()}, block_lines=block_lines
-    )
+def number_lines(lines: DataFrame, order: list[str] = ["line_no"], ranges: int | None = None) -> DataFrame:
+    """Running line numbers from 1 per person, per season and person, and per id and person.
+    ``order`` tells the lines of an id apart."""
+    totals = {n: (group, F.lit(1)) for n, group in NUMBERS.items()}
+    return with_running_totals(lines, ["id", *order], totals, ranges)
 
 
 def tokenize(lines: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from ..operators import sentiment as S
 from ..operators import trend as T
 from ..operators import vocabulary as V
 from ..operators import words as W
-from ..operators.steps import computed_once
-from ..sources import lines as lines_io
+from ..operators.numbering import ordinals
+from ..sources import dims, lines as lines_io
 from ..sources.pages import without_files
 from . import inputs as I
 
@@ -84,10 +84,29 @@ def page_lines(spark, sf):
     return lines.select("source_file", "id", "season", "title", "line_no", "type", "person", "line", "scene")
 
 
+@query
+def page_lines_shared(spark, sf):
+    """All kinds of lines, aliases, scenes; ids of two files, and files of one name."""
+    lines = I.talk_lines(spark, sf)
+    return lines.select("source_file", "id", "season", "title", "line_no", "type", "person", "line", "scene")
+
+
+@query
+def page_line_numbers(spark, sf):
+    lines = I.talk_lines(spark, sf).select("id", "season", "person", "type", "line_no")
+    spoken = W.spoken_by_main(lines, I.TALK_MAIN).drop("type")
+    return W.number_lines(spoken).select("id", "season", "person", "line_no", *W.NUMBERS)
+
+
+@query
+def page_token_recon(spark, sf):
+    spoken = W.spoken_by_main(I.talk_lines(spark, sf), I.TALK_MAIN)
+    return M.token_line_recon(spoken, W.tokenize(spoken))
+
+
 @query
 def untyped_lines(spark, sf):
-    lines = L.parse_pages(I.raw_pages(spark, sf).drop("page_id"), min_paragraphs=0)
-    return M.untyped_lines(lines).select("id", "line_no", "person", "line")
+    return M.untyped_lines(I.talk_lines(spark, sf)).select("id", "line_no", "person", "line")
 
 
 # -- cleaning and classification ---------------------------------------------------------
@@ -109,8 +128,10 @@ def clean_text_space(spark, sf):
 
 @query
 def split_paragraphs(spark, sf):
-    turns = I.table(spark, sf, "conversations").select("conv_id", "turn", F.replace("text", F.lit("."), F.lit("\n")).alias("text"))
-    return L.split_paragraphs(turns)
+    """Turns of a conversation, few, as one text with blank lines between them, and apart again."""
+    turns = I.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    joined = F.array_join(F.transform("turns", lambda t: t["text"]), "\n\n")
+    return L.split_paragraphs(turns.select("conv_id", joined.alias("text")))
 
 
 @query
@@ -247,19 +268,12 @@ def speaker_totals(spark, sf):
 
 @query
 def top_speakers(spark, sf):
-    return M.top_speakers(_word_speakers(spark, sf))
+    return M.top_speakers(M.speaker_totals(I.part_lines(spark, sf)))
 
 
 @query
 def main_vs_recurring(spark, sf):
-    return M.main_vs_recurring(_word_speakers(spark, sf), ["the", "of"])
-
-
-def _word_speakers(spark, sf):
-    """Totals of many speakers: each line of a document counts for its first word."""
-    first = F.get(X.tokens(F.col("line")), F.lit(0))
-    lines = computed_once(I.document_lines(spark, sf).drop("person"), "person", first)
-    return M.speaker_totals(lines.filter(F.col("person").isNotNull()))
+    return M.main_vs_recurring(M.speaker_totals(I.part_lines(spark, sf)), I.PART_MAIN)
 
 
 # -- pairs -------------------------------------------------------------------------------
@@ -339,6 +353,17 @@ def sent_score(spark, sf):
     return S.score_by_bucket(_hits(spark, sf, "score"))
 
 
+@query
+def sent_score_from_files(spark, sf):
+    """The stop list and the lexicon written, and read from storage."""
+    stop_path, lexicon_path = durable.new_path(spark, "stop"), durable.new_path(spark, "lexicon")
+    I.stop_words(spark).write.parquet(stop_path)
+    I.lexicon(spark, "score").write.parquet(lexicon_path)
+    stop = dims.read_lexicon(spark, stop_path, dims.STOP_WORDS)
+    scores = dims.read_lexicon(spark, lexicon_path, dims.LEX_SCORE)
+    return S.score_by_bucket(S.lexicon_hits(I.document_lines(spark, sf), I.DOCUMENT_MAIN, stop, scores))
+
+
 @query
 def season_bucket_end(spark, sf):
     return S.season_bucket_end(_hits(spark, sf, "score"))
@@ -357,14 +382,54 @@ def sent_emotion(spark, sf):
 @query
 def trend_smooth(spark, sf):
     series = S.score_by_bucket(_hits(spark, sf, "score"))
-    return rounded(T.trend_smooth(series, "person", "bucket", "sum_score", TREND_BANDWIDTH), "trend")
+    return rounded(T.trend_smooth(series, ["person"], "bucket", "sum_score", TREND_BANDWIDTH), "trend")
 
 
 @query
 def trend_smooth_ratio(spark, sf):
     """Several ids can share a bucket, and a ratio can be missing."""
     series = S.polarity_by_bucket(_hits(spark, sf, "polarity"))
-    return rounded(T.trend_smooth(series, "person", "bucket", "ratio", TREND_BANDWIDTH), "trend")
+    return rounded(T.trend_smooth(series, ["person"], "bucket", "ratio", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_emotion(spark, sf):
+    """Per speaker and emotion."""
+    series = S.emotion_by_bucket(_hits(spark, sf, "emotion"))
+    return rounded(T.trend_smooth(series, ["person", "sentiment"], "bucket", "n", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_lines_by_episode(spark, sf):
+    """Lines of each main speaker over the ids in order."""
+    series = ordinals(M.lines_by_person_episode(I.event_lines(spark, sf), I.EVENT_MAIN), "id", "episode")
+    return rounded(T.trend_smooth(series, ["person"], "episode", "n", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_lines_by_season(spark, sf):
+    """The same over the seasons, as numbers."""
+    series = M.lines_by_person_season(I.event_lines(spark, sf), I.EVENT_MAIN)
+    series = series.withColumn("season", F.col("season").cast("int"))
+    return rounded(T.trend_smooth(series, ["person"], "season", "n", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_vocab_season(spark, sf):
+    series = ordinals(V.vocab_distinct_length(_words(spark, sf)), "season", "place")
+    return rounded(T.trend_smooth(series, ["person"], "place", "avg_char", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_vocab_episode(spark, sf):
+    series = ordinals(V.vocab_episode_length(_words(spark, sf)), "id", "episode")
+    return rounded(T.trend_smooth(series, ["person"], "episode", "avg_char", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_nchar(spark, sf):
+    series = ordinals(V.vocab_normalised(_words(spark, sf), I.pay(spark)), "season", "place")
+    return rounded(T.trend_smooth(series, ["person"], "place", "total_nchar_norm", TREND_BANDWIDTH), "trend")
 
 
 @query

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import lines as L
 from ..operators.steps import exploded
 from ..sources import dims
-from ..sources.spread import spread
 
 # The main speakers of each input.
 EVENT_MAIN = ["click", "view"]
@@ -37,12 +36,19 @@ LEX_EMOTION = [
 ]
 EXTRA_STOP_WORDS = ["ed", "nt", "ly", "ing"]
 PAY = [
-    ("en", 22500.0, 38325.76, 24.0),
-    ("fr", 30000.0, 49692.72, 24.0),
-    ("de", 75000.0, 120668.74, 25.0),
-    ("es", 85000.0, 123690.44, 18.0),
-    ("xx", 100000.0, 154870.55, 10.0),
+    ("en", 1200.0, 1350.5, 4.0),
+    ("fr", 2000.0, 2400.25, 6.0),
+    ("de", 3500.0, 3725.75, 5.0),
+    ("es", 4100.0, 4800.5, 8.0),
+    ("xx", 5000.0, 5100.0, 2.0),
 ]
+# Speakers of the lines made from line items: parts.
+PART_MAIN = [str(i) for i in range(1, 51)]
+TALK_ALIASES = [("asst", "assistant"), ("user", "user"), ("nobody", "no one")]
+TALK_MAIN = ["user", "assistant"]
+
+# Deals texts out to so many tasks; for files of few row groups. None leaves the scan as it is.
+PARTITIONS: int | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose text is worked on: spread over all tasks when it is small."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose text is worked on."""
+    df = table(spark, sf_dir, name)
+    return df.repartition(PARTITIONS) if PARTITIONS else df
+
+
+EVENT_ORDER = ["ts", "line_no"]
 
 
 def event_text() -> Column:
@@ -67,12 +77,13 @@ def event_text() -> Column:
 
 
 def event_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned text per event. Events are numbered in time order, so the event id is the
-    line's place in its transcript, and no sort is needed to number lines."""
+    """Cleaned text per event. The line number is the event's id; the lines' order is
+    ``EVENT_ORDER``, by time and then by id."""
     raw = text_table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("id"),
         F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("title"),
         F.lpad((F.col("user_id") % 10).cast("string"), 2, "0").alias("season"),
+        "ts",
         F.col("event_id").alias("line_no"),
         event_text().alias("text"),
     )
@@ -87,7 +98,7 @@ def event_lines(spark: SparkSession, sf_dir: str, aliases: bool = True) -> DataF
 
 
 def event_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.scene_number(event_lines(spark, sf_dir))
+    return L.scene_number(event_lines(spark, sf_dir), EVENT_ORDER)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +128,48 @@ def raw_pages(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFra
     return pages.withColumn("html", F.replace("html", F.lit("</p><p>"), F.lit("<br>"))) if broken else pages
 
 
+def talk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw(conv_id, file, html)``: a page per conversation, in the ways transcripts are written.
+
+    A page has a title, a credit, a scene mark before every third turn, the turns as ``Role: text``,
+    some of them as actions or as notes without a speaker, and, in a fifth of the pages, line breaks
+    instead of paragraphs. Two pages share an id, and every fifth pair shares its file name too.
+    Turns of a conversation are few.
+    """
+    turn, even = F.col("turn"), F.col("conv_id") % 2
+    role = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 3 == 0), "Asst").otherwise(F.initcap("role"))
+    said = F.concat(F.lit("<b>"), role, F.lit(":</b> "), F.coalesce("text", F.lit("")))
+    said = F.when(turn % 7 == 5, F.concat(F.lit("("), F.col("role"), F.lit(" waits)"))).otherwise(said)
+    said = F.when(turn % 7 == 6, F.concat(F.lit("7th note "), turn.cast("string"))).otherwise(said)
+    mark = F.concat(F.lit("[Scene: part "), (turn / 3).cast("int").cast("string"), F.lit("]"))
+    parts = F.when(turn % 3 == 1, F.array(mark, said)).otherwise(F.array(said))
+    turns = table(spark, sf_dir, "conversations").withColumn("parts", parts)
+    pages = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "parts"))).alias("turns"))
+    lines = F.flatten(F.transform("turns", lambda t: t["parts"]))
+    credit = F.concat(F.lit("Written by: crew "), F.col("conv_id").cast("string"))
+    lines = F.concat(F.array(credit), lines)
+    breaks = F.concat(F.lit("<p>start<br>"), F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "</?b>", "")), "<br>"), F.lit("<br>end</p>"))
+    paragraphs = F.concat(F.lit("<p>"), F.array_join(lines, "</p>\n<p>"), F.lit("</p>"))
+    body = F.when(F.col("conv_id") % 5 == 0, breaks).otherwise(paragraphs)
+    head = F.concat(F.lit("<html><head><title>Talk "), F.col("conv_id").cast("string"), F.lit("</title></head><body>"))
+    number = F.lpad((F.floor(F.col("conv_id") / 2) % 10_000).cast("string"), 4, "0")
+    part = F.when((F.floor(F.col("conv_id") / 2) % 5 == 0) | (even == 0), "").otherwise("b")
+    return pages.select(
+        "conv_id", F.concat(number, part, F.lit(".html")).alias("file"), F.concat(head, body, F.lit("</body></html>")).alias("html")
+    )
+
+
+def talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = dims.literal_table(spark, TALK_ALIASES, dims.ALIASES)
+    return L.lines_from_pages(talk_pages(spark, sf_dir).drop("conv_id"), aliases, min_paragraphs=3)
+
+
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each line item, spoken by its part."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("person"))
+    return items.withColumn("type", F.lit("person"))
+
+
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands in an order, as speakers in a scene."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")

@@ -89,18 +89,18 @@ def _decode(x: str) -> str:
 
 
 def _text(x: str) -> str:
-    bare = f"regexp_replace({x}, '</?[A-Za-z!][^>]*>', '', 'g')"
+    bare = f"regexp_replace({x}, '</?[A-Za-z!][^<>]*>', '', 'g')"
     return _trim(_decode(bare))
 
 
 def _content(html: str) -> str:
-    return rf"regexp_replace({html}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
+    return rf"regexp_replace({html}, '{H.NOT_CONTENT}', '', 'g')"
 
 
 def _bodies(html: str) -> str:
-    """Split at opening tags, the part before the first one dropped, each cut at a closing tag."""
-    parts = rf"string_split_regex({_content(html)}, '(?i)<p\b[^>]*>')"
-    return rf"list_transform(({parts})[2:], lambda b: string_split_regex(b, '(?i)</p\s*>')[1])"
+    """Split at opening tags, the part before the first one dropped, each cut where a paragraph ends."""
+    parts = rf"string_split_regex({_content(html)}, '(?i)<p\b[^<>]*>')"
+    return rf"list_transform(({parts})[2:], lambda b: string_split_regex(b, '(?i){H.PARAGRAPH_END}')[1])"
 
 
 def _bodies_cte(key: str, source: str) -> str:
@@ -114,7 +114,7 @@ def _explode(key: str, source: str, items: str, number: str) -> str:
 def _nodes() -> str:
     x = "body"
     for tag in H.INLINE:
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', chr(1), 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)', chr(1), 'g')"
     return x
 
 
@@ -125,7 +125,7 @@ def _chosen(key: str, source: str, minimum: int) -> str:
             _bodies_cte(key, source),
             f"body_rows AS ({_explode(key, 'bodies', 'b', 'body_no')})",
             f"sizes AS (SELECT {key}, len(b) AS n FROM bodies)",
-            f"bared AS (SELECT {key}, body_no, string_split_regex(x, '(?i)<br\\b[^>]*>') AS segs FROM ("
+            f"bared AS (SELECT {key}, body_no, string_split_regex(x, '(?i)<br\\b[^<>]*>') AS segs FROM ("
             f"SELECT {key}, body_no, {_nodes()} AS x FROM (SELECT {key}, body_no, item AS body FROM body_rows)))",
             f"seg_rows AS (SELECT {key}, body_no, unnest(segs) AS seg, unnest(range(1, len(segs) + 1)) AS seg_no,"
             " len(segs) AS n_segs FROM bared)",
@@ -156,38 +156,74 @@ def _id_of(name: str) -> str:
         ELSE regexp_replace({name}, '^.*?([0-9]{{4}}).*$', '\1') END"""
 
 
-def _page_lines(minimum: int) -> str:
+def _page_lines(minimum: int, source: str = "src AS (SELECT page_id, url, html FROM pages)") -> str:
+    """CTEs to ``page_rows``: lines numbered on over the pages of an id, by name and content."""
     return ",\n".join(
         [
-            "src AS (SELECT page_id, url, html FROM pages)",
+            source,
             _chosen("page_id", "src", minimum),
-            f"texts AS (SELECT page_id, CAST(para_no AS BIGINT) AS line_no, {_clean(_text('item'))} AS text FROM chosen)",
-            f"""page_rows AS (SELECT s.url AS source_file, {_id_of('s.url')} AS id, t.line_no, t.text,
+            f"texts AS (SELECT page_id, CAST(para_no AS BIGINT) AS place, {_clean(_text('item'))} AS text FROM chosen)",
+            f"""page_order AS (SELECT page_id, url, id, CAST(coalesce(sum(n) OVER (PARTITION BY id ORDER BY url, digest, page_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_lines
+                FROM (SELECT s.page_id, s.url, {_id_of('s.url')} AS id, md5(s.html) AS digest,
+                (SELECT count(*) FROM texts t WHERE t.page_id = s.page_id) AS n FROM src s))""",
+            f"""page_rows AS (SELECT o.url AS source_file, o.id, o.before_lines + t.place AS line_no, t.text,
                 {_type('t.text')} AS type, {_person('t.text')} AS person, {_line('t.text')} AS line, t.page_id
-                FROM texts t JOIN src s ON t.page_id = s.page_id WHERE length(t.text) > 0)""",
+                FROM texts t JOIN page_order o ON t.page_id = o.page_id WHERE length(t.text) > 0)""",
         ]
     )
 
 
+def _talks() -> str:
+    """Pages made from conversations, as ``src``."""
+    said = """CASE WHEN turn % 7 = 6 THEN '7th note ' || turn WHEN turn % 7 = 5 THEN '(' || role || ' waits)'
+        ELSE '<b>' || CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'Asst'
+        ELSE upper(role[1]) || lower(role[2:]) END || ':</b> ' || coalesce(text, '') END"""
+    mark = "CASE WHEN turn % 3 = 1 THEN '[Scene: part ' || (turn // 3) || ']' || sep ELSE '' END"
+    return f"""turns AS (SELECT conv_id, turn, {said} AS said,
+        CASE WHEN conv_id % 5 = 0 THEN '<br>' ELSE '</p>' || chr(10) || '<p>' END AS sep, role, text FROM conversations),
+    parts AS (SELECT conv_id, turn, {mark} || CASE WHEN conv_id % 5 = 0
+        THEN regexp_replace(said, '</?b>', '', 'g') ELSE said END AS part, sep, text FROM turns),
+    bodies_ AS (SELECT conv_id, 'Written by: crew ' || conv_id || any_value(sep) || CASE WHEN conv_id % 5 = 0
+        THEN string_agg(part, '<br>' ORDER BY turn, text)
+        ELSE string_agg(part, '</p>' || chr(10) || '<p>' ORDER BY turn, text) END AS body
+        FROM parts GROUP BY conv_id),
+    src AS (SELECT conv_id AS page_id, lpad(CAST(conv_id // 2 % 10000 AS VARCHAR), 4, '0')
+        || CASE WHEN conv_id // 2 % 5 = 0 OR conv_id % 2 = 0 THEN '' ELSE 'b' END || '.html' AS url,
+        '<html><head><title>Talk ' || conv_id || '</title></head><body>' || CASE WHEN conv_id % 5 = 0
+        THEN '<p>start<br>' || body || '<br>end</p>' ELSE '<p>' || body || '</p>' END || '</body></html>' AS html FROM bodies_)"""
+
+
+_TALK_LINES = _with(
+    _page_lines(3, _talks()),
+    _values("aliases", "alias, full_name", I.TALK_ALIASES),
+    f"titles AS (SELECT page_id, {_TITLE} AS title FROM src)",
+    """named AS (SELECT r.source_file, r.id, substr(r.id, 1, 2) AS season, t.title, r.line_no, r.type,
+        coalesce(a.full_name, r.person) AS person, r.line FROM page_rows r JOIN titles t ON r.page_id = t.page_id
+        LEFT JOIN aliases a ON r.person = a.alias)""",
+    f"talk AS (SELECT * FROM named WHERE type = 'person' AND person IN {_in(I.TALK_MAIN)})",
+).rstrip()
+
+
 # -- event transcript --------------------------------------------------------------------
 
-_RAW = """raw AS (SELECT CAST(user_id AS VARCHAR) AS id, user_id, event_id AS line_no,
+_RAW = """raw AS (SELECT CAST(user_id AS VARCHAR) AS id, user_id, ts, event_id AS line_no,
     lpad(CAST(user_id % 10 AS VARCHAR), 2, '0') AS season,
     CASE event_type WHEN 'signup' THEN '[Scene: ' || props || ']' WHEN 'error' THEN '(error ' || props || ')'
     WHEN 'click' THEN 'Click: ' || props WHEN 'view' THEN 'View: ' || props
     ELSE CASE WHEN user_id % 3 = 0 THEN 'Purc: ' ELSE 'Purchase: ' END || props END AS raw_text FROM events)"""
-_TEXTS = f"""texts AS (SELECT id, user_id, line_no, season, text FROM (
+_TEXTS = f"""texts AS (SELECT id, user_id, ts, line_no, season, text FROM (
     SELECT *, {_clean('raw_text')} AS text FROM raw) WHERE length(text) > 0)"""
-_SPLIT = f"""split AS (SELECT id, user_id, line_no, season, text, {_type('text')} AS type,
+_SPLIT = f"""split AS (SELECT id, user_id, ts, line_no, season, text, {_type('text')} AS type,
     {_person('text')} AS person, {_line('text')} AS line FROM texts)"""
 _ALIASED = (
     _values("aliases", "alias, full_name", I.ALIASES)
-    + """, lines AS (SELECT s.id, s.user_id, s.line_no, s.season, s.text, s.type,
+    + """, lines AS (SELECT s.id, s.user_id, s.ts, s.line_no, s.season, s.text, s.type,
     coalesce(a.full_name, s.person) AS person, s.line FROM split s LEFT JOIN aliases a ON s.person = a.alias)"""
 )
 EVENTS = _with(_RAW, _TEXTS, _SPLIT, _ALIASED)
 SCENES = EVENTS.rstrip() + """,
-scenes AS (SELECT *, CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY line_no
+scenes AS (SELECT *, CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY ts, line_no
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene FROM lines)
 """
 EVENT_MAIN = _in(I.EVENT_MAIN)
@@ -231,16 +267,18 @@ _POLARITY_TABLE = """SELECT person, id, bucket, negative, positive, CAST(positiv
     nullif(count(CASE WHEN sentiment = 'positive' THEN 1 END), 0) AS positive FROM hits GROUP BY person, id, bucket)"""
 
 
-def _trend(series: str) -> str:
+def _trend(series: str, group: str = "person", x: str = "bucket") -> str:
     """Range join of each x with the points nearer than the bandwidth."""
     h = float(TREND_BANDWIDTH)
-    return f"""SELECT person, bucket, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-9
+    keys = [*group.split(", "), x]
+    same = " AND ".join(f"a.{g} = b.{g}" for g in group.split(", "))
+    return f"""SELECT {', '.join(keys)}, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-9
         THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 6) AS trend FROM (
-    SELECT person, bucket, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1
-    FROM (SELECT a.person, a.bucket, b.y, b.bucket - a.bucket AS d,
-        pow(1 - pow(abs(b.bucket - a.bucket) / {h}, 3), 3) AS w
-        FROM (SELECT DISTINCT person, bucket FROM {series}) a JOIN {series} b
-        ON a.person = b.person AND abs(a.bucket - b.bucket) < {TREND_BANDWIDTH}) GROUP BY person, bucket)"""
+    SELECT {', '.join(keys)}, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1
+    FROM (SELECT {', '.join(f'a.{k}' for k in keys)}, b.y, b.{x} - a.{x} AS d,
+        pow(1 - pow(abs(b.{x} - a.{x}) / {h}, 3), 3) AS w
+        FROM (SELECT DISTINCT {', '.join(keys)} FROM {series}) a JOIN {series} b
+        ON {same} AND abs(a.{x} - b.{x}) < {TREND_BANDWIDTH}) GROUP BY {', '.join(keys)})"""
 
 
 _DISTINCT = KEPT.rstrip() + f""",
@@ -286,10 +324,8 @@ pay_rows AS (SELECT b.person, coalesce(b.season, s.season) AS season, num_lines,
     total_salary, total_salary_adj FROM joined b FULL JOIN salary s ON b.season = s.season),
 """ + _values("display_names", "person, display", I.DISPLAY_NAMES) + "\n"
 
-_SPEAKERS = _with(_DOCS) .rstrip() + f""",
-firsts AS (SELECT regexp_extract_all(lower(line), '{WORD}')[1] AS person FROM lines),
-totals AS (SELECT person, count(*) AS total_lines_person, (SELECT count(person) FROM firsts) AS total_lines
-    FROM firsts WHERE person IS NOT NULL GROUP BY person)
+_SPEAKERS = """WITH totals AS (SELECT CAST(l_partkey AS VARCHAR) AS person, count(*) AS total_lines_person,
+    (SELECT count(*) FROM lineitem) AS total_lines FROM lineitem GROUP BY l_partkey)
 """
 
 _EVENT_TRIO = _in(I.EVENT_MAIN + ["purchase"])
@@ -322,17 +358,30 @@ ORACLE: dict[str, str] = {
         END AS name FROM pages))""",
     "page_lines": _with(_page_lines(20), f"titles AS (SELECT page_id, {_TITLE} AS title FROM src)")
     + """SELECT r.source_file, r.id, substr(r.id, 1, 2) AS season, t.title, r.line_no, r.type, r.person, r.line,
-        CAST(count(CASE WHEN r.type = 'scene' THEN 1 END) OVER (PARTITION BY r.id ORDER BY r.source_file, r.line_no
+        CAST(count(CASE WHEN r.type = 'scene' THEN 1 END) OVER (PARTITION BY r.id ORDER BY r.line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene
         FROM page_rows r JOIN titles t ON r.page_id = t.page_id""",
-    "untyped_lines": _with(_page_lines(0)) + "SELECT id, line_no, person, line FROM page_rows WHERE type IS NULL",
+    "page_lines_shared": _TALK_LINES
+    + """ SELECT *, CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY line_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene FROM named""",
+    "page_line_numbers": _TALK_LINES
+    + """ SELECT id, season, person, line_no, row_number() OVER (PARTITION BY person ORDER BY id, line_no) AS total_line,
+        row_number() OVER (PARTITION BY season, person ORDER BY id, line_no) AS season_line,
+        row_number() OVER (PARTITION BY id, person ORDER BY line_no) AS episode_line FROM talk""",
+    "page_token_recon": _TALK_LINES
+    + f""", lists AS (SELECT *, CASE WHEN line IS NULL THEN [NULL] ELSE regexp_extract_all(lower(line), '{WORD}') END AS toks FROM talk),
+        a AS (SELECT person, id, count(*) AS n_lines FROM talk GROUP BY person, id),
+        b AS (SELECT person, id, count(DISTINCT line_no) AS n_token_lines FROM lists WHERE len(toks) > 0 GROUP BY person, id)
+        SELECT person, id, n_lines, n_token_lines FROM a LEFT JOIN b USING (person, id)""",
+    "untyped_lines": _TALK_LINES + " SELECT id, line_no, person, line FROM named WHERE type IS NULL",
     "clean_text": f"""SELECT * FROM (SELECT doc_id, {_clean('text', 'delete')} AS text FROM documents)
         WHERE length(text) > 0""",
     "clean_text_space": f"""SELECT * FROM (SELECT conv_id, turn, {_clean('text')} AS text FROM conversations)
         WHERE length(text) > 0""",
-    "split_paragraphs": """SELECT conv_id, turn, unnest(parts) AS text,
-        CAST(unnest(range(1, len(parts) + 1)) AS BIGINT) AS para_no FROM (SELECT conv_id, turn,
-        string_split(replace(text, '.', chr(10)), chr(10) || chr(10)) AS parts FROM conversations)""",
+    "split_paragraphs": """SELECT conv_id, unnest(parts) AS text,
+        CAST(unnest(range(1, len(parts) + 1)) AS BIGINT) AS para_no FROM (SELECT conv_id,
+        string_split(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), ''), chr(10) || chr(10)) AS parts
+        FROM conversations GROUP BY conv_id)""",
     "classify_lines": EVENTS + "SELECT id, line_no, text, type FROM split",
     "split_speaker": EVENTS + "SELECT id, line_no, person, line FROM split",
     "split_speaker_keep_rest": EVENTS
@@ -385,7 +434,7 @@ ORACLE: dict[str, str] = {
     + """SELECT person, total_lines_person, total_lines FROM (SELECT *, rank() OVER (ORDER BY total_lines_person DESC)
         AS r FROM totals) WHERE r <= 30""",
     "main_vs_recurring": _SPEAKERS
-    + """SELECT CASE WHEN person IN ('the', 'of') THEN 'main' ELSE 'recurr' END AS is_main,
+    + f"""SELECT CASE WHEN person IN {_in(I.PART_MAIN)} THEN 'main' ELSE 'recurr' END AS is_main,
         CAST(sum(total_lines_person) AS BIGINT) AS line_total_group FROM totals
         WHERE total_lines_person > (SELECT quantile_cont(total_lines_person, 0.95) FROM totals) GROUP BY 1""",
     "presence_matrix": SCENES
@@ -427,6 +476,36 @@ ORACLE: dict[str, str] = {
     "trend_smooth_ratio": _POLARITY.rstrip()
     + f", series AS (SELECT person, bucket, ratio AS y FROM ({_POLARITY_TABLE}) WHERE ratio IS NOT NULL)\n"
     + _trend("series"),
+    "trend_emotion": _EMOTION.rstrip()
+    + """, series AS (SELECT person, sentiment, bucket, CAST(count(*) AS DOUBLE) AS y FROM hits
+        GROUP BY person, sentiment, id, bucket)\n"""
+    + _trend("series", "person, sentiment"),
+    "trend_lines_by_episode": EVENTS.rstrip()
+    + f""", per AS (SELECT person, id, count(*) AS n FROM lines WHERE person IN {EVENT_MAIN} GROUP BY person, id),
+        series AS (SELECT person, CAST(n AS DOUBLE) AS y, dense_rank() OVER (ORDER BY id) AS episode FROM per)\n"""
+    + _trend("series", x="episode"),
+    "trend_lines_by_season": EVENTS.rstrip()
+    + f""", series AS (SELECT person, CAST(season AS INTEGER) AS season, CAST(count(*) AS DOUBLE) AS y FROM lines
+        WHERE person IN {EVENT_MAIN} GROUP BY person, season)\n"""
+    + _trend("series", x="season"),
+    "trend_vocab_season": WORDS.rstrip()
+    + """, per AS (SELECT person, season, avg(length(word)) AS y FROM (SELECT DISTINCT person, word, season FROM words)
+        GROUP BY person, season),
+        series AS (SELECT * FROM (SELECT person, y, dense_rank() OVER (ORDER BY season) AS place FROM per) WHERE y IS NOT NULL)\n"""
+    + _trend("series", x="place"),
+    "trend_vocab_episode": WORDS.rstrip()
+    + """, per AS (SELECT person, id, avg(length(word)) AS y FROM words GROUP BY person, id),
+        series AS (SELECT * FROM (SELECT person, y, dense_rank() OVER (ORDER BY id) AS episode FROM per) WHERE y IS NOT NULL)\n"""
+    + _trend("series", x="episode"),
+    "trend_nchar": WORDS.rstrip()
+    + ", "
+    + _PAY
+    + """, per AS (SELECT w.person, w.season, total / n_groups AS y FROM (SELECT person, season, sum(length(word)) AS total
+        FROM words GROUP BY person, season) w LEFT JOIN pay p ON w.season = p.season),
+        series AS (SELECT * FROM (SELECT person, y, dense_rank() OVER (ORDER BY season) AS place FROM per) WHERE y IS NOT NULL)\n"""
+    + _trend("series", x="place"),
+    "sent_score_from_files": _SCORE
+    + "SELECT person, bucket, CAST(sum(score) AS BIGINT) AS sum_score FROM hits GROUP BY person, bucket",
     "word_totals": _DISTINCT + "SELECT person, word, total_words, person_words FROM word_totals",
     "distinctive_words": _DISTINCT
     + """SELECT person, word, person_word, anyone_says_word, total_words, person_words,

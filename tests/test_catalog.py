@@ -8,7 +8,7 @@ import __spark_entry__ as driver
 from tests.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLE = driver.QUERIES, driver.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,9 @@ def test_query(spark, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search("PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas", plan)
+    # no broadcast that was asked for by hand
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in logical and "ResolvedHint" not in logical
 
 
 @pytest.mark.parametrize("name", ["words_by_person", "sent_score", "vocab_distinct_length"])

@@ -1,11 +1,13 @@
-"""Running totals in blocks against plain windows."""
+"""Running totals in ranges against plain windows."""
 
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from scriptweave.operators import words as Words
 from scriptweave.operators.lines import scene_number
-from scriptweave.operators.numbering import preceding_totals, running_totals
+from scriptweave.operators.numbering import (
+    _range_partitioned, ordinals, preceding_totals, running_totals, with_running_totals,
+)
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +23,9 @@ def lines(spark):
     return df.withColumn("season", F.pmod(F.xxhash64("id"), F.lit(4)).cast("string"))
 
 
-@pytest.mark.parametrize("block", [1, 7, 100, 10_000])
-def test_line_numbers(lines, block):
-    numbered = Words.number_lines(lines, block_lines=block)
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_line_numbers(lines, ranges):
+    numbered = Words.number_lines(lines, ranges=ranges)
     for name, group in Words.NUMBERS.items():
         w = W.partitionBy(*group).orderBy("id", "line_no")
         numbered = numbered.withColumn(f"w_{name}", F.row_number().over(w))
@@ -31,32 +33,54 @@ def test_line_numbers(lines, block):
     assert numbered.filter(" or ".join(f"{n} <> w_{n}" for n in Words.NUMBERS)).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 50_000])
-def test_scene_number(lines, block):
+@pytest.mark.parametrize("ranges", [3, 40])
+def test_scene_number(lines, ranges):
     w = W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    both = scene_number(lines, block_lines=block).withColumn("plain", F.count(F.when(F.col("type") == "scene", 1)).over(w))
+    both = scene_number(lines, ranges=ranges).withColumn("plain", F.count(F.when(F.col("type") == "scene", 1)).over(w))
     assert both.filter("scene <> plain").count() == 0
     # never decreasing, by at most one a line
     steps = both.withColumn("step", F.col("scene") - F.lag("scene").over(W.partitionBy("id").orderBy("line_no")))
     assert {r.step for r in steps.select("step").distinct().collect()} <= {None, 0, 1}
 
 
+def test_line_numbers_far_apart(lines, spark):
+    """Numbers a million apart: ranges hold rows, not stretches of numbers."""
+    sparse = lines.withColumn("line_no", F.col("line_no") * 1_000_000)
+    numbered = running_totals(sparse, ["id", "line_no"], {"n": (["person"], F.lit(1))}, ranges=20)
+    w = W.partitionBy("person").orderBy("id", "line_no")
+    assert numbered.withColumn("plain", F.row_number().over(w)).filter("n <> plain").count() == 0
+    assert numbered.count() == 3000
+    parts = _range_partitioned(sparse, [F.col("id"), F.col("line_no")], 20).groupBy("_part").count().collect()
+    assert len(parts) == 20 and max(r["count"] for r in parts) < 3000 / 5
+
+
+def test_order_by_two_columns(spark):
+    rows = [("a", 2, 1, "scene"), ("a", 1, 9, None), ("a", 2, 0, None), ("a", 3, 2, "scene")]
+    df = spark.createDataFrame(rows, "id string, ts long, line_no long, type string")
+    got = scene_number(df, ["ts", "line_no"])
+    assert {(r.ts, r.line_no, r.scene) for r in got.collect()} == {(1, 9, 0), (2, 0, 0), (2, 1, 1), (3, 2, 2)}
+
+
 def test_null_keys_are_a_group(spark):
     rows = [(None, 1, "a"), (None, 2, None), ("x", 1, None), ("x", 2, "a"), (None, 3, None)]
     df = spark.createDataFrame(rows, "id string, line_no long, person string")
-    got = running_totals(df, ["id"], "line_no", {"n": (["person"], F.lit(1))}, block_lines=2)
-    assert {(r.id, r.line_no, r.n) for r in got.collect()} == {
-        (None, 1, 1), (None, 2, 1), (None, 3, 2), ("x", 1, 3), ("x", 2, 2),
-    }
+    expected = {(None, 1, 1), (None, 2, 1), (None, 3, 2), ("x", 1, 3), ("x", 2, 2)}
+    for ranges in (1, 4):
+        for numbered in (running_totals, with_running_totals):
+            got = numbered(df, ["id", "line_no"], {"n": (["person"], F.lit(1))}, ranges)
+            assert {(r.id, r.line_no, r.n) for r in got.collect()} == expected
 
 
-def test_rows_that_carry_no_value(spark):
-    marks = spark.createDataFrame([("a", i, 1) for i in range(1, 60)], "id string, line_no long, step int")
-    hits = spark.createDataFrame([("a", i, 0) for i in (1, 1, 30, 59)], "id string, line_no long, step int")
-    got = running_totals(
-        marks.union(hits), ["id"], "line_no", {"n": (["id"], F.col("step"))}, marks, [F.desc("step")], block_lines=8
-    )
-    assert sorted(r.n for r in got.filter("step = 0").collect()) == [1, 1, 30, 59]
+def test_values_of_null_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 3)], "id string, line_no long, step int")
+    got = running_totals(df, ["id", "line_no"], {"n": (["id"], F.col("step"))})
+    assert sorted((r.line_no, r.n) for r in got.collect()) == [(1, 0), (2, 3)]
+    assert running_totals(df.limit(0), ["id", "line_no"], {"n": (["id"], F.col("step"))}).count() == 0
+
+
+def test_ordinals(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",)], "id string")
+    assert sorted((str(r.id), r.n) for r in ordinals(df, "id", "n").collect()) == [("None", 1), ("a", 2), ("b", 3), ("b", 3), ("c", 4)]
 
 
 def test_preceding_totals_of_all_rows(spark):

@@ -1,10 +1,12 @@
 """Pages to lines, one invented transcript per HTML format."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from scriptweave.functions import html as H
-from scriptweave.operators import lines as L
+from scriptweave.operators import lines as L, measures as M, words as W
 from scriptweave.sources import dims
 from scriptweave.sources.pages import read_pages, without_files
 
@@ -136,7 +138,7 @@ def test_scenes_of_an_id_with_several_files(spark):
 def test_scene_number_agrees_with_pages(spark):
     page = "".join(f"<p>{'[Scene: s]' if i % 7 == 3 else f'Mia: line {i}'}</p>" for i in range(200))
     df = L.lines_from_pages(raw(spark, ("0101.html", page), ("0102.html", page)))
-    again = L.scene_number(df.withColumnRenamed("scene", "narrow"), block_lines=10)
+    again = L.scene_number(df.withColumnRenamed("scene", "narrow"), ranges=10)
     assert again.filter("scene <> narrow").count() == 0 and again.count() == 400
 
 
@@ -153,6 +155,49 @@ def test_very_long_texts(spark):
     assert L.html_paragraphs(df, 0).count() == 1
 
 
+def test_openings_never_closed(spark):
+    """Nor may it read on to the end of the page from each of many openings."""
+    n = 200_000
+    texts = [x * n for x in ("<script ", "<script>", "<!-- ", "<title ", "<title>", "<p ", "<a ", "<a>", "<br ", "<style>", "</p ")]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, html string")
+    start = time.perf_counter()
+    assert L.html_paragraphs(df, 20).count() >= 0
+    assert df.select(H.title(F.col("html")).alias("t")).filter("t is not null").count() == 1
+    assert time.perf_counter() - start < 60
+
+
+def test_block_elements_end_a_paragraph(spark):
+    page = "<p>one<div>no</div><p>two<table><tr><td>no</td></tr></table><P>three<H2>no</H2><p>four<ul><li>no</ul><p>five <span>x</span></p>"
+    df = L.html_paragraphs(raw(spark, ("a", page)), 0)
+    assert [r.text for r in df.orderBy("para_no").collect()] == ["one", "two", "three", "four", "five x"]
+
+
+def test_unclosed_script_and_comment_run_to_the_end(spark):
+    pages = [("a", "<p>x</p><script><p>no</p>"), ("b", "<p>y</p><!-- <p>no</p>"), ("c", "<title>T")]
+    df = raw(spark, *pages)
+    assert sorted(r.text for r in L.html_paragraphs(df, 0).collect()) == ["x", "y"]
+    assert {r.t for r in df.select(H.title(F.col("html")).alias("t")).collect()} == {None, "T"}
+
+
+def test_repeated_file_names(spark):
+    """Two pages of one name and one id: no row more than they have, and numbers go on."""
+    pages = [("0101.html", "<p>[Scene: a]</p><p>Mia: x</p>"), ("0101.html", "<p>[Scene: b]</p><p>Tom: y</p>")]
+    df = L.lines_from_pages(raw(spark, *pages), min_paragraphs=0)
+    assert sorted((r.line_no, r.scene) for r in df.collect()) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    same = L.lines_from_pages(raw(spark, pages[0], pages[0]), min_paragraphs=0)
+    assert sorted((r.line_no, r.scene) for r in same.collect()) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_line_numbers_of_an_id_with_several_files(spark):
+    page = "<p>Mia: a b</p><p>Mia: c</p><p>Mia: d</p>"
+    df = L.lines_from_pages(raw(spark, ("0101a.html", page), ("0101b.html", page)), min_paragraphs=0)
+    spoken = W.spoken_by_main(df, ["mia"])
+    numbered = W.number_lines(spoken).orderBy("source_file", "line_no")
+    assert [(r.line_no, r.total_line, r.episode_line) for r in numbered.collect()] == [(i, i, i) for i in range(1, 7)]
+    recon = M.token_line_recon(spoken, W.tokenize(spoken)).collect()
+    assert [(r.n_lines, r.n_token_lines) for r in recon] == [(6, 6)]
+
+
 def test_title_keeps_its_form(spark):
     df = raw(spark, ("a", "<TITLE>\n A &amp; B \n</title>"), ("b", "<p>x</p>")).select(H.title(F.col("html")).alias("t"))
     assert sorted((r.t for r in df.collect()), key=str) == ["\n A & B \n", None]

@@ -80,7 +80,7 @@ def spoken_lines(talk):
 def test_sentiment(spark, talk):
     lines, stop = table(spark, talk, LINES), dims.literal_table(spark, STOP, dims.STOP_WORDS)
     scored = dims.literal_table(spark, SCORE, dims.LEX_SCORE)
-    hits = S.lexicon_hits(lines, MAIN, stop, scored, bucket_lines=5, block_lines=7)
+    hits = S.lexicon_hits(lines, MAIN, stop, scored, bucket_lines=5, ranges=7)
     score, ends = {}, {}
     for who, n, _, season, words in spoken_lines(talk):
         for w in words:
@@ -225,7 +225,7 @@ def test_trend(spark):
     points = [(p, x, rng.uniform(-5, 5)) for p in MAIN for x in rng.sample(range(60), 40) for _ in range(rng.randint(1, 2))]
     points += [("lone", 7, 2.0), ("lone", 70, 4.0)]
     h = 6
-    got = {(r.person, r.x): r.trend for r in trend_smooth(table(spark, points, "person string, x long, y double"), "person", "x", "y", h).collect()}
+    got = {(r.person, r.x): r.trend for r in trend_smooth(table(spark, points, "person string, x long, y double"), ["person"], "x", "y", h).collect()}
     assert set(got) == {(p, x) for p, x, _ in points}
     for (p, x), value in got.items():
         near = [(b - x, y, (1 - (abs(b - x) / h) ** 3) ** 3) for q, b, y in points if q == p and abs(b - x) < h]
@@ -267,3 +267,13 @@ def test_lines_on_storage(spark, tmp_path, format):
     back = read_lines(spark, path, format)
     made[2] = (*made[2][:4], None, *made[2][5:])
     assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(made, key=str)
+
+
+def test_lexicons_from_files(spark, tmp_path):
+    """Parquet and CSV with a header give the same lexicon."""
+    scored = dims.literal_table(spark, SCORE, dims.LEX_SCORE)
+    scored.write.parquet(str(tmp_path / "p"))
+    scored.write.option("header", True).csv(str(tmp_path / "c"))
+    for path, kind in (("p", "parquet"), ("c", "csv")):
+        got = dims.read_lexicon(spark, str(tmp_path / path), dims.LEX_SCORE, kind)
+        assert sorted((r.word, r.score) for r in got.collect()) == sorted(SCORE)
