@@ -299,8 +299,9 @@ def main_text(page: str | None) -> str:
 
 
 def extracted(pages: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Adds text and n_chars. ``keep`` names the columns to carry (default: all). Nothing is shuffled."""
-    keep = pages.columns if keep is None else keep
+    """Adds text and n_chars, which replace columns of those names. ``keep`` names the columns to carry
+    (default: all). Nothing is shuffled."""
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

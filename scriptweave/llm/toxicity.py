@@ -189,8 +189,9 @@ def learn(
 
 
 def scored(documents: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score (0 to 1). ``keep`` names the columns to carry (default: all). Nothing is shuffled."""
-    keep = documents.columns if keep is None else keep
+    """Adds score (0 to 1), which replaces a column of that name. ``keep`` names the columns to carry
+    (default: all). Nothing is shuffled."""
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() != "score"]
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries and phrases
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
