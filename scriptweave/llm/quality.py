@@ -6,7 +6,8 @@ rows, calibrated on rows kept out of the fit, and scored in Arrow batches agains
 Because a score is a mean of weights, scoring looks up one weight per run and adds up.
 
 Null and empty texts have no words: all counts are 0, the score is that of no evidence, and they fail
-the base rules. Repeated rows get the same result each. Further columns are carried along.
+the base rules. Repeated rows get the same result each. Further columns are carried along; a result replaces a column
+of its name.
 Without labels of both kinds there is no model and only the base rules decide.
 """
 
@@ -28,6 +29,9 @@ DIM = 1 << DIM_BITS
 WORD_RUNS, BYTE_RUNS = (1, 2), (3, 5)
 KINDS = len(WORD_RUNS) + len(BYTE_RUNS)
 KEEP_AT = 0.5
+# Shares are small; one scale lets all kinds learn at one pace.
+SCALE = 50.0
+BLOCK_ROWS = 256
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -106,30 +110,36 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most: i
     test = table.column("test").to_numpy(zero_copy_only=False)
     if len(set(y[~test])) < 2:
         return None
-    places = table.column("places").combine_chunks()
-    lengths = places.value_lengths().to_numpy(zero_copy_only=False)
-    index = places.flatten().to_numpy()
-    value = table.column("shares").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    # Shares are small; a fixed scale per kind lets all kinds learn at one pace.
-    value = value * np.float32(50)
-    fitted = ~test[row]
-    weights, mean, spread = np.zeros(KINDS * DIM), np.zeros(KINDS * DIM), np.zeros(KINDS * DIM)
+    # The sample stays as it came, in blocks of rows; only one block's products exist at a time.
+    blocks, at = [], 0
+    for rows in table.to_batches(max_chunksize=BLOCK_ROWS):
+        places, shares = rows.column("places"), rows.column("shares")
+        lengths = places.value_lengths().to_numpy(zero_copy_only=False)
+        blocks.append((slice(at, at + rows.num_rows), lengths, places.flatten().to_numpy(), shares.flatten().to_numpy()))
+        at += rows.num_rows
+    size = KINDS * DIM
+    weights, mean, spread = np.zeros(size), np.zeros(size), np.zeros(size)
     bias = bias_mean = bias_spread = 0.0
     balance = np.where(y == 1, 0.5 / max(1, (y[~test] == 1).sum()), 0.5 / max(1, (y[~test] == 0).sum())) * ~test
+
+    def raw_of(lengths: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        return np.bincount(row, weights=value * weights[index], minlength=len(lengths)) * SCALE + bias
+
     for step in range(1, steps + 1):
-        raw = np.bincount(row, weights=value * weights[index], minlength=len(y)) + bias
-        error = (sigmoid(raw) - y) * balance
-        slope = np.bincount(index[fitted], weights=value[fitted] * error[row[fitted]], minlength=KINDS * DIM) + 1e-5 * weights
+        slope, g = 1e-5 * weights, 0.0
+        for span, lengths, index, value in blocks:
+            error = (sigmoid(raw_of(lengths, index, value)) - y[span]) * balance[span]
+            slope += np.bincount(index, weights=value * np.repeat(error, lengths), minlength=size) * SCALE
+            g += error.sum()
         mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
         weights -= 0.03 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
-        g = error.sum()
         bias_mean, bias_spread = 0.9 * bias_mean + 0.1 * g, 0.99 * bias_spread + 0.01 * g**2
         bias -= 0.03 * (bias_mean / (1 - 0.9**step)) / (np.sqrt(bias_spread / (1 - 0.99**step)) + 1e-7)
-    raw = np.bincount(row, weights=value * weights[index], minlength=len(y)) + bias
+    raw = np.concatenate([raw_of(*block) for _, *block in blocks])
     kept_out = test if len(set(y[test])) == 2 else ~test
     slope, offset = fit_logistic(raw[kept_out, None], y[kept_out], ridge=0.1)
-    return Model((weights * 50).reshape(KINDS, DIM).astype(np.float32), float(slope), float(offset + slope * bias))
+    return Model((weights * SCALE).reshape(KINDS, DIM).astype(np.float32), float(slope), float(offset + slope * bias))
 
 
 def _repeat_words(w: bytewords.Words, hashes: np.ndarray, count: int) -> np.ndarray:
@@ -169,7 +179,10 @@ def assessed(
 
     ``keep`` names the columns to carry (default: all). Nothing is shuffled.
     """
-    keep = documents.columns if keep is None else keep
+    added = [T.StructField(c, T.LongType()) for c in _RESULT]
+    added += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    results = {f.name for f in added}
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in results]
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed size, whatever the tables' size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +212,4 @@ def assessed(
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     source = documents.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)])
-    added = [T.StructField(c, T.LongType()) for c in _RESULT]
-    added += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     return source.mapInArrow(rows, T.StructType([documents.schema[c] for c in keep] + added))
