@@ -6,9 +6,8 @@ rows, calibrated on rows kept out of the fit, and scored in Arrow batches agains
 Because a score is a mean of weights, scoring looks up one weight per run and adds up.
 
 Null and empty texts have no words: all counts are 0, the score is that of no evidence, and they fail
-the base rules. Repeated rows get the same result each. Further columns are carried along; a result replaces a column
-of its name.
-Without labels of both kinds there is no model and only the base rules decide.
+the base rules. Repeated rows get the same result each. Further columns are carried along; a
+result replaces a column of its name. Without labels of both kinds there is no model and only the base rules decide.
 """
 
 from __future__ import annotations

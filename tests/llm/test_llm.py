@@ -13,6 +13,7 @@ import public_tokenizers
 from scriptweave.llm import (
     components, decontamination, kdshards, licences, linededup, maintext, mixing, quality, setsketch, tokenfiles, toxicity,
 )
+from scriptweave.llm.labelled import held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string"
@@ -189,8 +190,9 @@ def labelled(spark, mark, n=400):
 def test_quality_model(spark):
     documents, labels = labelled(spark, lambda: "##|| $$")
     model = quality.fit(documents, labels)
-    got = quality.assessed(documents, model).select("doc_id", "kept", "base_failed").collect()
-    assert all(r.kept == (r.doc_id % 3 != 0) for r in got if not r.base_failed)
+    got = quality.assessed(documents, model).withColumn("held_out", held_out(F.col("doc_id"))).collect()
+    right = {fold: [r.kept == (r.doc_id % 3 != 0) for r in got if not r.base_failed and r.held_out == fold] for fold in (True, False)}
+    assert all(right[False]) and len(right[True]) > 50 and sum(right[True]) >= 0.95 * len(right[True])
     assert quality.fit(documents, labels.limit(0)) is None
 
 
