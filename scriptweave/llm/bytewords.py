@@ -35,6 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 @dataclass
 class Texts:
     """Consecutive texts of a batch: their bytes, and where each begins (one more bound at the end)."""
@@ -62,7 +67,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
         to = int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1
         to = min(n, max(to, at + 1))
         part = data[bounds[at] : bounds[to]]
-        yield Texts(at, _LOWER[part] if lower else part, bounds[at : to + 1] - bounds[at])
+        yield Texts(at, lowered(part) if lower else part, bounds[at : to + 1] - bounds[at])
         at = to
 
 

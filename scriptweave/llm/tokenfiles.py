@@ -11,126 +11,181 @@ a hash of the text. Null document ids come first. Further columns are not writte
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from ..operators.durable import durable
+from . import bytewords
+
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1_000
-CACHE_PIECES = 200_000
-_PIECES = re.compile(r"[ \n\t\r]+")
+CACHE_PIECES = 500_000
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Between blanks, a control character that is one id of its own.
 _MARK = "\x01"
 _AT_ONCE = 200
-# A full stop or comma at a word's end is a piece of its own, unless it is in a row of signs somewhere.
-_NO_SPLIT = re.compile(r"(?:[^a-z0-9]|\A)[.,](?=[ \n])")
+# Signs that a tokenizer parts from a letter before them; the apostrophe is none of them (it's).
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_MAX_SIGNS = 8
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Second bytes, behind 0xC3, of the Latin-1 letters (all but the signs of times and division).
+_LATIN_LETTER = np.zeros(256, dtype=bool)
+_LATIN_LETTER[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+def pieces_of(texts: bytewords.Texts, signs_apart: bool) -> bytewords.Words:
+    """The runs between blanks. With ``signs_apart`` up to eight signs at a run's end are a piece of their
+    own where an ASCII or Latin-1 letter is before them; the ids are the same either way."""
+    w = bytewords.words(texts)
+    if not signs_apart or not len(w.starts):
+        return w
+    data, cut = texts.data, w.ends.copy()
+    open_ = np.arange(len(cut))
+    for _ in range(_MAX_SIGNS):
+        open_ = open_[_SIGN[data[cut[open_] - 1]]]
+        cut[open_] -= 1
+        open_ = open_[cut[open_] > w.starts[open_]]
+    apart = (cut < w.ends) & (cut > w.starts)
+    last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
+    apart &= _ASCII_LETTER[last] | ((before == 0xC3) & _LATIN_LETTER[last] & (cut - 2 >= w.starts))
+    cut = cut[apart]
+    starts, ends = np.sort(np.concatenate([w.starts, cut])), np.sort(np.concatenate([w.ends, cut]))
+    bounds = np.searchsorted(starts, texts.bounds)
+    return bytewords.Words(starts, ends, np.repeat(np.arange(texts.count), np.diff(bounds)), bounds)
 
 
 class Encoder:
-    """A tokenizer that lower-cases and drops white space, encoding each distinct piece between blanks once.
-
-    Such a tokenizer never merges across a blank, so a text's ids are those of its pieces in a row.
-    Unknown pieces of the letters a-z go to the tokenizer's model as they are; others are encoded many
-    at a time, with a mark between them, and those of ASCII alone skip the tokenizer's normal forms,
-    which would not change them. All ids known
-    lie in one array; a text is gathered from it by the numbers of its pieces. The first ``CACHE_PIECES``
-    are kept, the frequent ones among them; later ones serve their batch only.
+    """A tokenizer that lower-cases and drops white space, encoding each distinct piece of text once.
+
+    Such a tokenizer never merges across a blank, nor from a letter to a sign behind it: a text's ids are those of
+    its pieces in a row. Known pieces are found by a hash, sorted, and confirmed by a second hash; one array holds
+    their ids, from which a text is gathered. Unknown words of the letters a-z go to the tokenizer's model as
+    they are; others are encoded many at a time, with a mark between them. When more than ``CACHE_PIECES`` are
+    known, the half that is used most stays.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        mark = self.full.encode(_MARK, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.known: dict[str, int] = {}
-        self.ids = [np.zeros(0, dtype=np.int32)]
-        self.lengths = [np.zeros(0, dtype=np.int64)]
-
-    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.ids.append(ids)
-        self.lengths.append(lengths)
-
-    def _learn(self, pieces: list[str]) -> None:
-        odd, words, plain, full = [], [], [], []
-        for p in pieces:
-            if p.isascii():
-                # special tokens' texts, and the mark itself, are encoded one by one
-                (odd if "<|" in p or _MARK in p else words if p.isalpha() else plain).append(p)
+        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.starts, self.lengths, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.ids = np.zeros(0, dtype=np.int32)
+
+    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of some pieces."""
+        found: list[list[int]] = [[]] * len(pieces)
+        marked = []
+        tokenize, whole = self.tokenizer.model.tokenize, self.tokenizer.encode
+        for i, p in enumerate(pieces):
+            if p.isalpha():  # letters a-z alone are one word to the model, as they are
+                found[i] = [token.id for token in tokenize(p.lower().decode())]
+            elif b"<|" in p or b"\x01" in p or self.mark is None:  # special tokens' texts, the mark itself
+                found[i] = whole(p.decode(), add_special_tokens=False).ids
             else:
-                (odd if "<|" in p or _MARK in p else full).append(p)
-        if self.mark is None:
-            odd, plain, full = odd + plain + full, [], []
-        for piece in odd:
-            ids = np.array(self.full.encode(piece, add_special_tokens=False).ids, dtype=np.int32)
-            self._add([piece], ids, np.array([len(ids)]))
-        # letters a-z alone are one word to the model, as they are
-        tokenize = self.full.model.tokenize
-        found = [[token.id for token in tokenize(word.lower())] for word in words]
-        self._add(words, np.array(list(chain.from_iterable(found)), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
-        for tokenizer, group in ((self.plain, plain), (self.full, full)):
-            for at in range(0, len(group), _AT_ONCE):
-                part = group[at : at + _AT_ONCE]
-                joined = f" {_MARK} ".join(part)
-                joined = joined.lower() if tokenizer is self.plain else joined
-                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
-                cuts = np.flatnonzero(ids == self.mark)
-                lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-                if len(lengths) != len(part):
-                    raise ValueError("the mark is not one id between blanks")
-                self._add(part, np.delete(ids, cuts), lengths)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+                marked.append(i)
+        for at in range(0, len(marked), _AT_ONCE):
+            part = marked[at : at + _AT_ONCE]
+            joined = b" \x01 ".join([pieces[i] for i in part]).decode()
+            ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            cuts = [k for k, x in enumerate(ids) if x == self.mark]
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the mark is not one id between blanks")
+            for i, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
+                found[i] = ids[a:b]
+        return found
+
+    def _numbers(self, texts: bytewords.Texts, w: bytewords.Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, where its ids begin in ``self.ids``, and how many they are; learns the unknown."""
+        keys, first, back, times = np.unique(
+            bytewords.word_hashes(texts, w), return_index=True, return_inverse=True, return_counts=True
+        )
+        one = bytewords.Words(w.starts[first], w.ends[first], w.text[first], w.bounds)
+        checks = bytewords.word_hashes(bytewords.Texts(0, texts.data ^ np.uint8(0xA5), texts.bounds), one)
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            hit = (self.keys[near] == keys) & (self.checks[near] == checks)
+        self.uses[at[hit]] += times[hit]
+        starts, lengths = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        starts[hit], lengths[hit] = self.starts[at[hit]], self.lengths[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            raw = texts.data.tobytes()
+            ids = self._encoded([raw[a:b] for a, b in zip(one.starts[new].tolist(), one.ends[new].tolist())])
+            lengths[new] = [len(x) for x in ids]
+            starts[new] = len(self.ids) + np.cumsum(lengths[new]) - lengths[new]
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.int32)])
+            self.keys, self.checks = np.insert(self.keys, at[new], keys[new]), np.insert(self.checks, at[new], checks[new])
+            self.starts, self.lengths = np.insert(self.starts, at[new], starts[new]), np.insert(self.lengths, at[new], lengths[new])
+            self.uses = np.insert(self.uses, at[new], times[new])
+        return starts[back], lengths[back]
+
+    def _forget(self) -> None:
+        """Leaves the half of the cache that is used most."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2])
+        self.keys, self.checks, self.uses = self.keys[stay], self.checks[stay], self.uses[stay] // 2
+        self.ids = self.ids[_ranges(self.starts[stay], self.lengths[stay])]
+        self.lengths = self.lengths[stay]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def encode(self, texts: bytewords.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, in a row; and where each begins and the last ends."""
-        split = []
-        for text in texts:
-            if text and text.isascii() and "<|" not in text:
-                text = text.lower()  # fewer distinct pieces
-                if not _NO_SPLIT.search(text):
-                    for mark in ", ", ". ", ".\n":
-                        text = text.replace(mark, f" {mark}")
-            split.append(_PIECES.split(text) if text else [])
-        flat = list(chain.from_iterable(split))
-        unknown = list(set(flat).difference(self.known))
-        held = len(self.known)
-        if unknown:
-            self._learn(unknown)
-        ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
-        pieces = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        if held + len(unknown) <= CACHE_PIECES:
-            self.ids, self.lengths = [ids], [lengths]
-        else:
-            for piece in unknown:
-                del self.known[piece]
-            self.ids, self.lengths = self.ids[:1], self.lengths[:1]
-        first = np.cumsum(lengths) - lengths
-        n = lengths[pieces]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        # each piece's ids, and one place more behind each text's last piece
-        ends = upto[np.cumsum([len(x) for x in split])]
-        bounds = np.concatenate([[0], ends + np.arange(1, len(split) + 1)])
+        # lower case makes fewer distinct pieces, but must not make a special token, nor a cut part one
+        plain = b"<|" not in texts.data.tobytes()
+        if plain:
+            texts = bytewords.Texts(texts.first, bytewords.lowered(texts.data), texts.bounds)
+        w = pieces_of(texts, signs_apart=plain)
+        starts, lengths = self._numbers(texts, w)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        # one place more behind each text's last piece
+        bounds = upto[w.bounds] + np.arange(texts.count + 1)
         out = np.full(bounds[-1], END_ID, dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[bounds[1:] - 1] = False
-        out[body] = ids[np.arange(upto[-1]) + np.repeat(first[pieces] - upto[:-1], n)]
+        out[body] = self.ids[_ranges(starts, lengths)]
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
         return out, bounds
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, in a row."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few bytes for the jobs run inside: a task holds several copies of one."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def write_tokens(
     documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-    partitions: int | None = None, batch: int = 512,
+    partitions: int | None = None,
 ) -> None:
     """Encodes each whole text, adds the end id, and writes (doc_id, ids, n, part, row).
 
@@ -147,26 +202,28 @@ def write_tokens(
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
         for found in batches:
-            for at in range(0, found.num_rows, batch):
-                part = found.slice(at, batch)
-                ids, bounds = encoder.encode(part.column(1).to_pylist())
+            for texts in bytewords.slices(found.column(1)):
+                ids, bounds = encoder.encode(texts)
                 values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([found.column(0).slice(texts.first, texts.count), values], names=["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    (
+    made = (
         rows.sortWithinPartitions(*order)
         .mapInArrow(encode, schema)
         .withColumn("n", F.size("ids"))
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        .write.option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
-        .option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("orc.compress", "zstd")
-        .orc(path)
     )
+    with _small_batches(documents.sparkSession):
+        (
+            made.write.option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", "0.01")
+            .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
+            .option("orc.stripe.size", str(STRIPE_BYTES))
+            .option("orc.compress", "zstd")
+            .orc(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
@@ -177,7 +234,7 @@ def read_tokens(spark: SparkSession, path: str, key_type: str = "bigint") -> Dat
 def summaries(tokens: DataFrame) -> DataFrame:
     """From rows read back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    A part adds up its own rows, and one row per part gives where it begins: no window holds more
+    The ids are read once; what they add up to is kept, one narrow row each. A part adds up its own rows, and one row per part gives where it begins: no window holds more
     than a file's rows, or one row for each file.
     """
 
@@ -193,7 +250,9 @@ def summaries(tokens: DataFrame) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     rows = tokens.mapInArrow(sums, f"doc_id {kind}, part int, row bigint, n_tokens bigint, ids_crc32 bigint")
-    lengths = tokens.groupBy("part").agg(F.sum("n").cast("long").alias("n"))
+    with _small_batches(tokens.sparkSession):
+        rows = durable(rows, "summaries")
+    lengths = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     begins = lengths.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     inside = W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
