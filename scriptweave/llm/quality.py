@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.durable import durable
 from . import bytewords
 from .labelled import fit_logistic, held_out, labelled_sample, sigmoid
 
@@ -30,7 +31,7 @@ KINDS = len(WORD_RUNS) + len(BYTE_RUNS)
 KEEP_AT = 0.5
 # Shares are small; one scale lets all kinds learn at one pace.
 SCALE = 50.0
-BLOCK_ROWS = 256
+BLOCK_ROWS, ROUNDS, MIN_STEPS = 256, 10, 200
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -79,7 +80,7 @@ class Model:
 
 
 def _sparse(sample: DataFrame) -> DataFrame:
-    """Each sampled text's places (kind * DIM + place) and their shares."""
+    """Each sampled text's places (kind * DIM + place, four bytes each) and their shares (the same)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,51 +92,64 @@ def _sparse(sample: DataFrame) -> DataFrame:
                     found = [
                         np.unique(p[a[i] : b[i]], return_counts=True) for p, (a, b) in kinds
                     ]
-                    places.append(np.concatenate([k * DIM + p for k, (p, _) in enumerate(found)]).astype(np.int32))
-                    shares.append(np.concatenate([n / max(1, n.sum()) for _, n in found]).astype(np.float32))
+                    places.append(np.concatenate([k * DIM + p for k, (p, _) in enumerate(found)]).astype("<i4").tobytes())
+                    shares.append(np.concatenate([n / max(1, n.sum()) for _, n in found]).astype("<f4").tobytes())
                 part = batch.slice(texts.first, texts.count)
-                columns = [part.column("label"), part.column("test"), pa.array(places, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+                columns = [part.column("label"), part.column("test"), pa.array(places, pa.binary()), pa.array(shares, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "test", "places", "shares"])
 
     return sample.select("text", "label", held_out(F.col("_key")).alias("test")).mapInArrow(
-        rows, "label int, test boolean, places array<int>, shares array<float>"
+        rows, "label int, test boolean, places binary, shares binary"
     )
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED, steps: int = 200) -> Model | None:
-    """The model of at most ``most`` labelled rows, which the driver holds as sparse shares."""
-    table = _sparse(labelled_sample(documents, labels, label, most)).toArrow()
-    y = table.column("label").to_numpy().astype(np.float64)
-    test = table.column("test").to_numpy(zero_copy_only=False)
-    if len(set(y[~test])) < 2:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """The model of at most ``most`` labelled rows, which the driver holds as sparse shares.
+
+    They come to the driver a partition at a time. Adam goes ``rounds`` times through blocks of rows
+    drawn in a fixed order, with steps that shrink to nothing.
+    """
+    sample = durable(_sparse(labelled_sample(documents, labels, label, most)), "shares")
+    rows, y, test = [], [], []
+    for row in sample.toLocalIterator():
+        rows.append((np.frombuffer(row.places, dtype="<i4"), np.frombuffer(row.shares, dtype="<f4")))
+        y.append(row.label)
+        test.append(row.test)
+    y, test = np.array(y, dtype=np.float64), np.array(test, dtype=bool)
+    train = np.flatnonzero(~test)
+    if len(set(y[train])) < 2:
         return None
-    # The sample stays as it came, in blocks of rows; only one block's products exist at a time.
-    blocks, at = [], 0
-    for rows in table.to_batches(max_chunksize=BLOCK_ROWS):
-        places, shares = rows.column("places"), rows.column("shares")
-        lengths = places.value_lengths().to_numpy(zero_copy_only=False)
-        blocks.append((slice(at, at + rows.num_rows), lengths, places.flatten().to_numpy(), shares.flatten().to_numpy()))
-        at += rows.num_rows
     size = KINDS * DIM
     weights, mean, spread = np.zeros(size), np.zeros(size), np.zeros(size)
     bias = bias_mean = bias_spread = 0.0
-    balance = np.where(y == 1, 0.5 / max(1, (y[~test] == 1).sum()), 0.5 / max(1, (y[~test] == 0).sum())) * ~test
 
-    def raw_of(lengths: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        return np.bincount(row, weights=value * weights[index], minlength=len(lengths)) * SCALE + bias
+    def block(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some rows: the row of each share, its place, the share."""
+        lengths = [len(rows[i][0]) for i in at]
+        return np.repeat(np.arange(len(at)), lengths), np.concatenate([rows[i][0] for i in at]), np.concatenate([rows[i][1] for i in at])
+
+    def raw_of(row: np.ndarray, index: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(row, weights=value * weights[index], minlength=n) * SCALE + bias
 
+    # both labels weigh the same in all
+    balance = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * len(train)
+    draw = np.random.default_rng(0)
+    blocks = -(-len(train) // BLOCK_ROWS)
+    steps = max(rounds * blocks, MIN_STEPS)
+    order: list[np.ndarray] = []
     for step in range(1, steps + 1):
-        slope, g = 1e-5 * weights, 0.0
-        for span, lengths, index, value in blocks:
-            error = (sigmoid(raw_of(lengths, index, value)) - y[span]) * balance[span]
-            slope += np.bincount(index, weights=value * np.repeat(error, lengths), minlength=size) * SCALE
-            g += error.sum()
+        order = order or np.array_split(draw.permutation(train), blocks)
+        at = order.pop()
+        row, index, value = block(at)
+        error = (sigmoid(raw_of(row, index, value, len(at))) - y[at]) * balance[at] / len(at)
+        slope = 1e-5 * weights + np.bincount(index, weights=value * error[row], minlength=size) * SCALE
+        rate = 0.03 * (1 - (step - 1) / steps)
         mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
-        weights -= 0.03 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
-        bias_mean, bias_spread = 0.9 * bias_mean + 0.1 * g, 0.99 * bias_spread + 0.01 * g**2
-        bias -= 0.03 * (bias_mean / (1 - 0.9**step)) / (np.sqrt(bias_spread / (1 - 0.99**step)) + 1e-7)
-    raw = np.concatenate([raw_of(*block) for _, *block in blocks])
+        weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
+        bias_mean, bias_spread = 0.9 * bias_mean + 0.1 * error.sum(), 0.99 * bias_spread + 0.01 * error.sum() ** 2
+        bias -= rate * (bias_mean / (1 - 0.9**step)) / (np.sqrt(bias_spread / (1 - 0.99**step)) + 1e-7)
+    every = np.array_split(np.arange(len(y)), -(-len(y) // BLOCK_ROWS))
+    raw = np.concatenate([raw_of(*block(at), len(at)) for at in every])
     kept_out = test if len(set(y[test])) == 2 else ~test
     slope, offset = fit_logistic(raw[kept_out, None], y[kept_out], ridge=0.1)
     return Model((weights * SCALE).reshape(KINDS, DIM).astype(np.float32), float(slope), float(offset + slope * bias))

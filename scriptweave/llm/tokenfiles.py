@@ -234,8 +234,8 @@ def read_tokens(spark: SparkSession, path: str, key_type: str = "bigint") -> Dat
 def summaries(tokens: DataFrame) -> DataFrame:
     """From rows read back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The ids are read once; what they add up to is kept, one narrow row each. A part adds up its own rows, and one row per part gives where it begins: no window holds more
-    than a file's rows, or one row for each file.
+    The ids are read once; what they add up to is kept, one narrow row each. A part adds up its own rows,
+    and one row per part gives where it begins: no window holds more than a file's rows, or one row for each file.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
