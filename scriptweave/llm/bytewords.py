@@ -3,10 +3,14 @@
 All functions work on the bytes of an Arrow string column without making Python strings. A batch is
 taken in slices of about ``SLICE_BYTES`` so that memory does not grow with the batch; a single text
 longer than that is one slice, and needs some 60 bytes per byte of it.
+
+Hashes take eight bytes at a time and mix each block before it is added, so no choice of letters makes
+sums meet, as powers of one base do.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
 def lowered(data: np.ndarray) -> np.ndarray:
     """The bytes with A-Z in lower case."""
     return _LOWER[data]
@@ -53,8 +54,8 @@ class Texts:
         return len(self.bounds) - 1
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
-    """The texts of a string column in slices; a null text is empty."""
+def slices(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[Texts]:
+    """The texts of a string column in slices of about ``size`` bytes; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -64,7 +65,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
     data = np.frombuffer(values, dtype=np.uint8) if values is not None else np.zeros(0, dtype=np.uint8)
     at = 0
     while at < n:
-        to = int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1
         to = min(n, max(to, at + 1))
         part = data[bounds[at] : bounds[to]]
         yield Texts(at, lowered(part) if lower else part, bounds[at : to + 1] - bounds[at])
@@ -97,23 +98,39 @@ def words(texts: Texts, space: np.ndarray = _SPACE) -> Words:
     return Words(starts, np.flatnonzero(ends) + 1, text, bounds)
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte the number made of it and the seven behind it; zeros follow the last."""
+    code = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        if len(code) > k:
+            code[:-k] |= code[k:] << np.uint64(8 * k)
+    return code
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+# Longer words, which are rare, are hashed one by one.
+_BLOCKS = 32
 
 
 def word_hashes(texts: Texts, w: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    if not len(w.starts):
-        return np.zeros(0, dtype=np.uint64)
     lengths = w.ends - w.starts
-    edges = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.arange(edges[-1]) - np.repeat(edges[:-1] - w.starts, lengths)
-    place = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths)
-    value = _BYTE_CODE[texts.data[index]] * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(value, edges[:-1]) + lengths.astype(np.uint64))
+    out = mix(lengths.astype(np.uint64) * _BASE)
+    if not len(lengths):
+        return out
+    codes = eights(texts.data)
+    open_ = np.flatnonzero(lengths <= 8 * _BLOCKS)
+    for k in range(_BLOCKS):
+        if k:
+            open_ = open_[lengths[open_] > 8 * k]
+        if not len(open_):
+            break
+        block = codes[w.starts[open_] + 8 * k] & _MASKS[np.minimum(lengths[open_] - 8 * k, 8)]
+        out[open_] = mix(out[open_] * _BASE + mix(block + np.uint64(k + 1)))
+    for i in np.flatnonzero(lengths > 8 * _BLOCKS):
+        found = hashlib.blake2b(texts.data[w.starts[i] : w.ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(found, dtype=np.uint64)[0]
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +145,7 @@ def shingle_hashes(hashes: np.ndarray, w: Words, size: int) -> tuple[np.ndarray,
     out = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         part = np.zeros(n, dtype=np.uint64)
-        part[: n - k] = hashes[k:]
+        part[: max(0, n - k)] = hashes[k:]
         out = np.where(used > k, mix(out * _BASE + part + np.uint64(k + 1)), out)
     heads = np.zeros(n, dtype=bool)
     heads[w.bounds[:-1][counts > 0]] = True
