@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.durable import new_path
-from . import decontamination, kdshards, licences, linededup, maintext, mixing, quality, setsketch, tokenfiles, toxicity
+from . import decontamination, kdshards, licences, linededup, maintext, mixing, quality, repeats, setsketch, tokenfiles, toxicity
 from .labelled import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,6 +85,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_setsketch": op2_setsketch,
@@ -96,7 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op11_repeats": op11_repeats,
 }
 
 # SQL where it can express a query.
-ORACLE: dict[str, str] = {"op6_licences": licences.oracle()}
+ORACLE: dict[str, str] = {"op6_licences": licences.oracle(), "op11_repeats": repeats.oracle()}
