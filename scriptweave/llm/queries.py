@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.durable import new_path
-from . import decontamination, kdshards, licences, linededup, maintext, mixing, quality, repeats, setsketch, tokenfiles, toxicity
+from . import (
+    collocations, decontamination, kdshards, licences, linededup, maintext, mixing, quality, ranked, repeats, setsketch, tokenfiles, toxicity,
+)
 from .labelled import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,6 +92,14 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_setsketch": op2_setsketch,
@@ -102,7 +112,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
     "op11_repeats": op11_repeats,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
 # SQL where it can express a query.
-ORACLE: dict[str, str] = {"op6_licences": licences.oracle(), "op11_repeats": repeats.oracle()}
+ORACLE: dict[str, str] = {
+    "op6_licences": licences.oracle(),
+    "op11_repeats": repeats.oracle(),
+    "op12_ranked_search": ranked.oracle(),
+    "op13_collocations": collocations.oracle(),
+}
