@@ -86,6 +86,82 @@ def paragraph_bodies(html: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(PARAGRAPH), 1)
 
 
+# -- crossed tags -------------------------------------------------------------------------
+
+# Elements without content, those a new paragraph closes, and how firmly others hold what is in them.
+VOID = ["area", "base", "br", "col", "hr", "img", "input", "link", "meta", "param"]
+CLOSED_BY_PARAGRAPH = ["p", "head", "h1", "h2", "h3", "h4", "h5", "h6", "tt", "i", "b", "u", "s", "strike", "big", "small"]
+PRIORITY = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
+MAX_DEPTH = 64
+_BLOCK_NAMES = BLOCKS.replace("h[1-6]", "h1|h2|h3|h4|h5|h6").split("|")
+
+
+def _priority(name: Column) -> Column:
+    out = F.lit(100)
+    for value in sorted(set(PRIORITY.values())):
+        out = F.when(name.isin([n for n, v in PRIORITY.items() if v == value]), value).otherwise(out)
+    return out
+
+
+def crossed_paragraph_bodies(html: Column) -> Column:
+    """Paragraphs of a document whose tags cross, as a parser with a stack of open elements finds them.
+
+    An end tag closes its element and all opened inside it, a paragraph among them, unless one in between
+    holds firmer; without an open element of its name it is left out. A paragraph ends too where the next one or
+    a block begins, which first closes open elements of fonts. The stack holds the ``MAX_DEPTH`` innermost.
+    The tags are folded in one pass, on the JVM side; only places of paragraphs are gathered.
+    """
+    content = F.regexp_replace(html, NOT_CONTENT, "")
+    # pieces are tags, or texts between them
+    return F.get(F.transform(F.array(F.split(content, r"(?=<)|(?<=>)", -1)), _bodies_of_pieces), F.lit(0))
+
+
+def _bodies_of_pieces(pieces: Column) -> Column:
+    name = r"^</?([A-Za-z][A-Za-z0-9]*)[^<>]*>$"
+    tags = F.transform(pieces, lambda x, i: F.struct(F.lower(F.regexp_extract(x, name, 1)).alias("name"), x.startswith("</").alias("end"), i.alias("at")))
+    tags = F.filter(tags, lambda t: (t["name"] != "") & ~t["name"].isin(VOID))
+    spans = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(-1).alias("open"), spans.alias("spans"))
+
+    def after(state: Column, stack: Column, closed: Column, opened: Column, tag: Column) -> Column:
+        span = F.struct(state["open"].alias("a"), tag["at"].alias("b"))
+        done = closed & (state["open"] >= 0)
+        return F.struct(
+            F.slice(stack, 1, MAX_DEPTH).alias("stack"),
+            F.when(opened, tag["at"]).when(done, F.lit(-1)).otherwise(state["open"]).alias("open"),
+            F.when(done, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
+        )
+
+    def step(state: Column, tag: Column) -> Column:
+        stack, name = state["stack"], tag["name"]
+        place = F.array_position(stack, name).cast("int")
+        above = F.slice(stack, F.lit(1), F.greatest(place - 1, F.lit(0)))
+        held = F.exists(above, lambda e: _priority(e) > _priority(name))
+        pops = (place > 0) & ~held
+        popped = F.when(pops, F.slice(stack, place + 1, F.lit(MAX_DEPTH))).otherwise(stack)
+        ends = pops & ((name == "p") | F.array_contains(above, "p"))
+        # the first open element, from the innermost, that a new paragraph leaves open
+        stays = F.filter(F.transform(stack, lambda e, i: F.when(~e.isin(CLOSED_BY_PARAGRAPH), i)), lambda i: i.isNotNull())
+        first = F.coalesce(F.get(stays, F.lit(0)), F.size(stack))
+        cleared = F.slice(stack, first + 1, F.lit(MAX_DEPTH))
+        inside = F.array_position(stack, "p").cast("int")
+        at_block = F.when(inside > 0, F.slice(stack, inside + 1, F.lit(MAX_DEPTH))).otherwise(stack)
+        none = F.lit(False)
+        return (
+            F.when(tag["end"], after(state, popped, ends, none, tag))
+            .when(name == "p", after(state, F.concat(F.array(name), F.when(inside > first, at_block).otherwise(cleared)), F.lit(True), F.lit(True), tag))
+            .when(name.isin(_BLOCK_NAMES), after(state, F.concat(F.array(name), at_block), inside > 0, none, tag))
+            .otherwise(after(state, F.concat(F.array(name), stack), none, none, tag))
+        )
+
+    def finish(state: Column) -> Column:
+        last = F.struct(state["open"].alias("a"), F.size(pieces).alias("b"))
+        return F.when(state["open"] >= 0, F.concat(state["spans"], F.array(last))).otherwise(state["spans"])
+
+    found = F.aggregate(tags, start, step, finish)
+    return F.transform(found, lambda s: F.array_join(F.slice(pieces, s["a"] + 2, s["b"] - s["a"] - 1), ""))
+
+
 def _without_elements(body: Column) -> Column:
     bare = body
     for tag in INLINE:

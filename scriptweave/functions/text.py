@@ -96,3 +96,18 @@ def tokens(line: Column) -> Column:
     spaced = F.regexp_replace(F.lower(line), SEPARATOR, " ")
     words = F.array_remove(F.split(spaced, " "), "")
     return F.when(line.isNull(), F.array(F.lit(None).cast("string"))).otherwise(words)
+
+
+# Scripts that are written without blanks between words.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "ー"
+UNSPACED = f"[{_UNSPACED}]"
+
+
+def has_unspaced(line: Column) -> Column:
+    return line.rlike(UNSPACED)
+
+
+def stretches(line: Column) -> Column:
+    """The words of a line, parted where a script without blanks begins or ends."""
+    piece = rf"[{_UNSPACED}][{_UNSPACED}\p{{M}}]*|[^{_UNSPACED}]+"
+    return F.flatten(F.transform(tokens(line), lambda w: F.regexp_extract_all(w, F.lit(piece), 0)))

@@ -11,10 +11,12 @@ from .numbering import preceding_totals, with_running_totals
 from .steps import computed_once, exploded
 
 
-def html_paragraphs(raw: DataFrame, min_paragraphs: int = K.MIN_PARAGRAPHS) -> DataFrame:
-    """One row per paragraph of ``raw(file, html)``: number and text. A narrow step."""
+def html_paragraphs(raw: DataFrame, min_paragraphs: int = K.MIN_PARAGRAPHS, crossed: bool = False) -> DataFrame:
+    """One row per paragraph of ``raw(file, html)``: number and text. A narrow step. With ``crossed``, the end
+    of an element around a paragraph ends it too."""
     keep = [c for c in raw.columns if c != "html"]
-    bodies = computed_once(raw, "html", H.paragraph_bodies(F.col("html")))
+    find = H.crossed_paragraph_bodies if crossed else H.paragraph_bodies
+    bodies = computed_once(raw, "html", find(F.col("html")))
     paragraphs = H.paragraphs_of(F.col("html"), min_paragraphs)
     return exploded(bodies, paragraphs, "text", "para_no", keep)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from .durable import durable
+from .quantiles import exact_quantile
 from .words import by_main, without_stop_words
 
 
@@ -140,20 +141,24 @@ def top_speakers(totals: DataFrame, k: int = K.TOP_SPEAKERS) -> DataFrame:
 def main_vs_recurring(totals: DataFrame, main: list[str], quantile: float = K.SPEAKER_QUANTILE) -> DataFrame:
     """Lines of main and other speakers among those above the quantile of speaker totals.
 
-    The exact percentile runs on (total, number of speakers) pairs. Distinct totals add up to
-    at most the lines, so there are at most about the square root of twice their number.
+    The quantile is exact, found in rounds of bucket counts over (total, number of speakers) pairs.
     """
     n = F.col("total_lines_person")
-    sizes = totals.groupBy(n).agg(F.count(F.lit(1)).alias("speakers"))
-    cut = sizes.agg(F.percentile("total_lines_person", F.lit(quantile), F.col("speakers")))
+    sizes = durable(totals.groupBy(n).agg(F.count(F.lit(1)).alias("speakers")), "sizes")
+    cut = exact_quantile(sizes, "total_lines_person", quantile, "speakers")
     kind = F.when(F.col("person").isin(main), "main").otherwise("recurr")
     return (
-        totals.filter(n > cut.scalar())
+        totals.filter(n > F.lit(cut))
         .groupBy(kind.alias("is_main"))
         .agg(F.sum("total_lines_person").alias("line_total_group"))
     )
 
 
+def with_season_number(df: DataFrame, season: str = "season") -> DataFrame:
+    """The season as a whole number; one that is none, as of a page without digits in its name, is missing."""
+    return df.withColumn(season, F.col(season).try_cast("int"))
+
+
 # -- words -------------------------------------------------------------------------------
 
 

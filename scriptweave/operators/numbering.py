@@ -67,20 +67,40 @@ def running_totals(
     return rows.drop(*steps.values())
 
 
+def _as_in(df: DataFrame, field: str, name: str) -> Column:
+    """A column read back, without nulls where the field it came from has none: else keys that are the same
+    would be of two types, and rows that lie right would be moved again."""
+    kind = df.select(field).schema[0]
+    zero = F.lit("") if kind.dataType.simpleString() == "string" else F.lit(0)
+    return F.col(name) if kind.nullable else F.coalesce(F.col(name), zero.cast(kind.dataType))
+
+
 def with_running_totals(
     lines: DataFrame, order: list[str], totals: dict[str, tuple[list[str], Column]], ranges: int | None = None
 ) -> DataFrame:
     """The same for rows with texts: only keys and values are put in order, and every row finds its
-    totals by the ``order`` columns, which must tell rows apart. The texts move once."""
+    totals by a key of its own. The texts move once.
+
+    Rows that share the ``order`` columns are ordered by a hash of all their columns. Rows that are equal
+    altogether share a key and are numbered within it, so none is multiplied and each has its own total.
+    """
     groups = [c for group, _ in totals.values() for c in group]
     keys = list(dict.fromkeys([*order, *groups]))
     values = {n: f"_from{i}" for i, n in enumerate(totals)}
-    narrow = lines.select(*keys, *[v.alias(values[n]) for n, (_, v) in totals.items()])
-    wanted = {n: (group, F.col(values[n])) for n, (group, _) in totals.items()}
-    found = running_totals(narrow, order, wanted, ranges)
-    found = found.select(*[F.col(c).alias(f"_key_{c}") for c in order], *totals)
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in order]
-    return lines.drop(*totals).join(found, same, "left").drop(*[f"_key_{c}" for c in order])
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.xxhash64(*lines.columns).alias("digest"))
+    lines = lines.withColumn("_key", key)
+    narrow = lines.groupBy("_key", *keys, *[v.alias(values[n]) for n, (_, v) in totals.items()]).agg(F.count(F.lit(1)).alias("_copies"))
+    places = {f"_order{i}": F.col(f"_key.k{i}") for i in range(len(order))} | {"_order_digest": F.col("_key.digest")}
+    narrow = narrow.withColumns(places | {f"{v}_all": F.col(v) * F.col("_copies") for v in values.values()})
+    wanted = {n: (group, f"{values[n]}_all") for n, (group, _) in totals.items()}
+    found = preceding_totals(narrow.drop("_key"), [F.col(c) for c in places], wanted, ranges)
+    again = F.struct(*[_as_in(lines, f"_key.k{i}", f"_order{i}").alias(f"k{i}") for i in range(len(order))], _as_in(lines, "_key.digest", "_order_digest").alias("digest"))
+    found = found.select(again.alias("_key"), *totals, *values.values())
+    # the window's rows lie and are sorted as the join wants them
+    nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
+    rows = lines.drop(*totals).withColumn("_nth", nth).join(found, "_key")
+    added = {n: (F.col(n) + F.coalesce(F.col(v), F.lit(0)) * F.col("_nth")).cast("long") for n, v in values.items()}
+    return rows.withColumns(added).drop("_key", "_nth", *values.values())
 
 
 def ordinals(df: DataFrame, column: str, name: str) -> DataFrame:

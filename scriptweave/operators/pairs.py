@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .durable import durable
+
 _BITS = 63
+CAST_BLOCK = 128
 
 
 def _masks(main: list[str], person: str) -> list[Column]:
@@ -62,3 +65,30 @@ def cooccurrence(
         .select(F.get(names, F.col("_a")).alias("person_a"), F.get(names, F.col("_b")).alias("person_b"), "n")
         .filter(F.col("person_a") > F.col("person_b"))
     )
+
+
+def cooccurrence_all(
+    lines: DataFrame, scene: list[str] = ["id", "scene"], person: str = "person", block: int = CAST_BLOCK
+) -> DataFrame:
+    """Scenes shared by each two speakers that meet, person_a > person_b, for any number of speakers.
+
+    Equal casts of up to ``block`` speakers are counted first, and the lower triangle of each is written out. The
+    speakers of a larger cast are dealt into blocks of about that many, and each two blocks of it are a row of
+    their own: no cast, however large, is gathered in one task or written out by one. Pairs that never meet
+    have no row. Null speakers are left out, nulls in ``scene`` are a scene like any other.
+    """
+    members = durable(lines.filter(F.col(person).isNotNull()).select(F.struct(*scene).alias("_s"), F.col(person).alias("_p")).distinct(), "members")
+    sizes = members.groupBy("_s").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    members = members.join(sizes, "_s")
+    casts = members.filter(F.col("_size") <= block).groupBy("_s").agg(F.sort_array(F.collect_list("_p")).alias("_a"))
+    casts = casts.groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.col("_a"))
+
+    large = members.filter(F.col("_size") > block).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
+    large = large.withColumn("_i", F.pmod(F.xxhash64("_p"), F.col("_blocks")).cast("int"))
+    lists = durable(large.groupBy("_s", "_blocks", "_i").agg(F.collect_list("_p").alias("_a")), "blocks")
+    first = lists.select("_s", F.col("_i").alias("_j"), F.col("_a").alias("_b"))
+    both = lists.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(first, ["_s", "_j"])
+    # the blocks meet once in each order, and one order of each two speakers is left
+    rows = casts.select("_n", "_a", "_b").unionAll(both.select(F.lit(1).cast("long").alias("_n"), "_a", "_b"))
+    pairs = rows.select("_n", "_a", F.explode("_b").alias("person_b")).select("_n", "person_b", F.explode("_a").alias("person_a"))
+    return pairs.filter(F.col("person_a") > F.col("person_b")).groupBy("person_a", "person_b").agg(F.sum("_n").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
+from ..functions.segments import MAX_WORDS, Trie, segmenter
 from .numbering import with_running_totals
 from .steps import exploded
 
@@ -35,6 +36,26 @@ def tokenize(lines: DataFrame) -> DataFrame:
     return words.withColumn("word", F.translate("word", "'", ""))
 
 
+def tokenize_scripts(lines: DataFrame, word_list: DataFrame | None = None, column: str = "word") -> DataFrame:
+    """``tokenize`` for texts in scripts without blanks too: there the longest word of the list that begins
+    at a letter is one, else a Katakana run, else the letter with its marks.
+
+    Lines without such scripts stay on the JVM side. The list is sent to all tasks; ``MAX_WORDS`` bounds it, and
+    a longer one is refused. Null and empty entries are left out.
+    """
+    listed: list[str] = []
+    if word_list is not None:
+        words = word_list.select(column).filter(F.length(column) > 0).distinct()
+        listed = [r[0] for r in words.limit(MAX_WORDS + 1).toLocalIterator()]
+        if len(listed) > MAX_WORDS:
+            raise ValueError(f"a word list of more than {MAX_WORDS} words")
+    keep = [c for c in lines.columns if c not in ("line", "title")]
+    parted = F.when(X.has_unspaced(F.col("line")), X.stretches(F.col("line")))
+    rows = lines.select("*", segmenter(Trie(listed))(parted).alias("_parted"))
+    words = exploded(rows, F.coalesce("_parted", X.tokens(F.col("line"))), "word", "word_no", keep)
+    return words.withColumn("word", F.translate("word", "'", ""))
+
+
 def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Words not on the stop list. NULL words stay.
 

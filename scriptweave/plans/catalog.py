@@ -20,6 +20,7 @@ from ..operators import vocabulary as V
 from ..operators import words as W
 from ..operators.numbering import ordinals
 from ..sources import dims, lines as lines_io
+from ..sources import pages as pages_io
 from ..sources.pages import without_files
 from . import inputs as I
 
@@ -53,6 +54,21 @@ def html_paragraphs(spark, sf):
     return L.html_paragraphs(I.raw_pages(spark, sf).drop("file"), min_paragraphs=0)
 
 
+@query
+def html_crossed(spark, sf):
+    """End tags of elements around a paragraph end it."""
+    return L.html_paragraphs(I.crossed_pages(spark, sf).drop("file"), min_paragraphs=0, crossed=True)
+
+
+@query
+def page_charsets(spark, sf):
+    """Each page decoded by its own declaration."""
+    charset = pages_io.charset_of(F.col("content"))
+    pages = I.encoded_pages(spark, sf).withColumn("charset", charset)
+    html = pages_io.decoded_as(F.col("content"), F.col("charset"))
+    return pages.select("page_id", "charset", F.md5(html.cast("binary")).alias("digest"))
+
+
 @query
 def html_br_fallback(spark, sf):
     return L.html_paragraphs(I.raw_pages(spark, sf, broken=True).drop("file"))
@@ -197,6 +213,22 @@ def lines_roundtrip_csv(spark, sf):
     return M.count_by(lines_io.read_lines(spark, path, format="csv"), "season", "type", "person")
 
 
+@query
+def lines_roundtrip_bad(spark, sf):
+    """Malformed rows among the good ones: counted, and told from lines without a type."""
+    path = durable.new_path(spark, "lines-bad")
+    lines = I.event_scenes(spark, sf).withColumn("source_file", F.lit("events"))
+    lines_io.write_lines(lines, path, format="csv")
+    event = F.col("event_id").cast("string")
+    short, wrong = F.concat(event, F.lit(",cut off")), F.concat_ws(",", event, F.lit("t"), F.lit("ten"), *[F.lit(x) for x in "plys1"])
+    bad = I.table(spark, sf, "events").filter("event_id % 50 = 0")
+    bad = bad.select(F.when(F.col("event_id") % 100 == 0, short).otherwise(wrong).alias("value"))
+    lines_io.write_rows(bad, path, "zz")
+    good, rejected = lines_io.read_lines_checked(spark, path)
+    rejected = rejected.select(F.lit(False).alias("good"), F.lit(None).cast("string").alias("type"))
+    return M.count_by(good.select(F.lit(True).alias("good"), "type").unionAll(rejected), "good", "type")
+
+
 # -- scenes and lines --------------------------------------------------------------------
 
 
@@ -294,6 +326,12 @@ def cooccurrence_scenes(spark, sf):
     return pairs.cooccurrence(I.event_scenes(spark, sf), I.EVENT_MAIN + ["purchase"])
 
 
+@query
+def cooccurrence_all(spark, sf):
+    """Parts that share orders, all parts."""
+    return pairs.cooccurrence_all(I.order_parts(spark, sf), scene=["id"])
+
+
 # -- words -------------------------------------------------------------------------------
 
 
@@ -332,6 +370,13 @@ def tokenize_edge(spark, sf):
     return W.tokenize(lines).select("line_no", "word_no", "word")
 
 
+@query
+def tokenize_scripts(spark, sf):
+    """Words in scripts without blanks, by a word list."""
+    words = W.tokenize_scripts(I.script_lines(spark, sf), I.script_words(spark))
+    return words.select("id", "line_no", "word_no", "word")
+
+
 @query
 def token_line_recon(spark, sf):
     return M.token_line_recon(_spoken(spark, sf), _words(spark, sf))
@@ -409,11 +454,26 @@ def trend_lines_by_episode(spark, sf):
 @query
 def trend_lines_by_season(spark, sf):
     """The same over the seasons, as numbers."""
-    series = M.lines_by_person_season(I.event_lines(spark, sf), I.EVENT_MAIN)
-    series = series.withColumn("season", F.col("season").cast("int"))
+    series = M.with_season_number(M.lines_by_person_season(I.event_lines(spark, sf), I.EVENT_MAIN))
+    return rounded(T.trend_smooth(series, ["person"], "season", "n", TREND_BANDWIDTH), "trend")
+
+
+@query
+def trend_season_numbers(spark, sf):
+    """Some seasons are no numbers, as of a page whose name holds no digits."""
+    lines = I.event_lines(spark, sf)
+    lines = lines.withColumn("season", F.when(F.col("id").cast("int") % 7 == 3, "pi").otherwise(F.col("season")))
+    series = M.with_season_number(M.lines_by_person_season(lines, I.EVENT_MAIN))
     return rounded(T.trend_smooth(series, ["person"], "season", "n", TREND_BANDWIDTH), "trend")
 
 
+@query
+def trend_span(spark, sf):
+    """A span of the nearest points, however sparse the buckets are."""
+    series = S.score_by_bucket(_hits(spark, sf, "score"))
+    return rounded(T.trend_span(series, ["person"], "bucket", "sum_score"), "trend")
+
+
 @query
 def trend_vocab_season(spark, sf):
     series = ordinals(V.vocab_distinct_length(_words(spark, sf)), "season", "place")

@@ -47,6 +47,10 @@ PART_MAIN = [str(i) for i in range(1, 51)]
 TALK_ALIASES = [("asst", "assistant"), ("user", "user"), ("nobody", "no one")]
 TALK_MAIN = ["user", "assistant"]
 
+# Letters put for others, so that texts have scripts without blanks, and a word list for them.
+SCRIPT_LETTERS = ("aeionst", "日本語ひカタก")
+SCRIPT_WORDS = [(w,) for w in ["日本", "本語", "日本語", "語ก", "ひ日", "ひ日本", "本カ", "กก", "本本ก"]]
+
 # Deals texts out to so many tasks; for files of few row groups. None leaves the scan as it is.
 PARTITIONS: int | None = None
 
@@ -113,6 +117,36 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("type", F.lit("person"))
 
 
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents, some letters as letters of scripts without blanks."""
+    return document_lines(spark, sf_dir).withColumn("line", F.translate("line", *SCRIPT_LETTERS))
+
+
+def crossed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw(page_id, file, html)``: paragraphs begin inside a font and a bold element that end before them."""
+    opened = F.replace("html", F.lit("<p>"), F.lit('<font size="3"><b>\n<p></b>'))
+    return raw_pages(spark, sf_dir).withColumn("html", F.replace(opened, F.lit("</p>"), F.lit("</font> left out</p>")))
+
+
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, content)``: the pages as bytes of three character sets, declared in different ways or not at all."""
+    pages = text_table(spark, sf_dir, "pages").withColumn("kind", F.col("page_id") % 5)
+    text = F.replace("html", F.lit('<meta charset="utf-8">'), F.lit(""))
+    narrow = F.regexp_replace(text, "[^\\x{0}-\\x{7F}\\x{A0}-\\x{FF}]", "?")
+    latin = F.concat(F.lit("<meta http-equiv='Content-Type' content='text/html; charset=iso-8859-1'>"), narrow)
+    # a byte that is a dash in windows-1252
+    windows = F.concat(F.lit('<META CHARSET="Windows-1252">\u0096'), narrow)
+    undeclared = F.concat(F.lit("\u0096\u00E9"), narrow)
+    content = (
+        F.when(F.col("kind") == 0, F.encode(F.concat(F.lit("<meta charset=utf-8>"), text), "UTF-8"))
+        .when(F.col("kind") == 1, F.encode(latin, "ISO-8859-1"))
+        .when(F.col("kind") == 2, F.encode(windows, "ISO-8859-1"))
+        .when(F.col("kind") == 3, F.encode(undeclared, "ISO-8859-1"))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    return pages.select("page_id", content.alias("content"))
+
+
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("id"),
@@ -170,6 +204,11 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.withColumn("type", F.lit("person"))
 
 
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of an order, as speakers in a scene."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("person"))
+
+
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands in an order, as speakers in a scene."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -182,6 +221,10 @@ def stop_words(spark: SparkSession) -> DataFrame:
     return dims.literal_table(spark, STOP_WORDS, dims.STOP_WORDS)
 
 
+def script_words(spark: SparkSession) -> DataFrame:
+    return dims.literal_table(spark, SCRIPT_WORDS, dims.STOP_WORDS)
+
+
 def lexicon(spark: SparkSession, name: str) -> DataFrame:
     rows, schema = {
         "score": (LEX_SCORE, dims.LEX_SCORE),

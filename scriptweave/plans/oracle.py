@@ -4,6 +4,7 @@ the entity table, the list of inline tags and the small tables."""
 
 from __future__ import annotations
 
+import math
 from html.entities import name2codepoint
 
 from ..functions import html as H
@@ -341,7 +342,73 @@ SELECT x.person AS person_a, y.person AS person_b, coalesce(m.n, 0) AS n FROM pe
 LEFT JOIN met m ON m.person_a = x.person AND m.person_b = y.person"""
 
 
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー"
+# the longer words first: the leftmost alternative that fits is taken
+_SCRIPT_WORD = "|".join(sorted((w for (w,) in I.SCRIPT_WORDS), key=lambda w: (-len(w), w)))
+_SCRIPT_WORD += rf"|[\p{{Katakana}}ー]+\p{{M}}*|[{_UNSPACED}]\p{{M}}*|[^{_UNSPACED}]+"
+
+# Where a paragraph of the crossed pages ends: also at the font's end, and at that of an element around it.
+_CROSSED_END = rf"{H.PARAGRAPH_END}|</(?:font|article|body|div|html|main|nav|section|aside|footer|header)\s*>"
+_CROSSED = """replace(replace(html, '<p>', '<font size="3"><b>\n<p></b>'), '</p>', '</font> left out</p>')"""
+_CROSSED_BODIES = rf"list_transform((string_split_regex({_content(_CROSSED)}, '(?i)<p\b[^<>]*>'))[2:], lambda b: string_split_regex(b, '(?i){_CROSSED_END}')[1])"
+
+_NARROW = r"""regexp_replace(replace(html, '<meta charset="utf-8">', ''), '[^\x{0}-\x{7F}\x{A0}-\x{FF}]', '?', 'g')"""
+
+
+def _span(series: str, span: float = 0.75, cell: float = 0.2) -> str:
+    """Fits at vertices, and cubics between them. ``series`` has person, bucket, y."""
+    cells = math.ceil(1 / (span * cell))
+    t, width = "(p.bucket - f.v) / (f.v2 - f.v)", "(f.v2 - f.v)"
+    return f""", pts AS (SELECT person, bucket, count(*) AS n, sum(y) AS y FROM {series} GROUP BY person, bucket),
+    cum AS (SELECT *, sum(n) OVER w - n AS before, sum(n) OVER (PARTITION BY person) AS total,
+        min(bucket) OVER (PARTITION BY person) AS lo, max(bucket) OVER (PARTITION BY person) AS hi
+        FROM pts WINDOW w AS (PARTITION BY person ORDER BY bucket ROWS UNBOUNDED PRECEDING)),
+    vert AS (SELECT person, CAST(bucket AS DOUBLE) AS v, least(total, greatest(2, floor({span} * total + 1e-9))) AS q FROM cum
+        WHERE bucket IN (lo, hi) OR floor((before + n) * {cells} / total) > floor(before * {cells} / total)),
+    far AS (SELECT v.person, v.v, v.q, p.bucket - v.v AS d, p.n, p.y FROM vert v JOIN pts p ON p.person = v.person),
+    upto AS (SELECT *, sum(n) OVER (PARTITION BY person, v ORDER BY abs(d)) AS upto FROM far),
+    wide AS (SELECT person, v, min(abs(d)) AS h FROM upto WHERE upto >= q GROUP BY person, v),
+    near AS (SELECT f.*, CASE WHEN d = 0 THEN 1 ELSE pow(1 - pow(abs(d) / h, 3), 3) END AS w
+        FROM far f JOIN wide u ON u.person = f.person AND u.v = f.v WHERE abs(d) < h OR d = 0),
+    sums AS (SELECT person, v, sum(w * n) AS s0, sum(w * d * n) AS s1, sum(w * d * d * n) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1
+        FROM near GROUP BY person, v),
+    fits AS (SELECT person, v, CASE WHEN s0 * s2 - s1 * s1 > 1e-9 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS a,
+        CASE WHEN s0 * s2 - s1 * s1 > 1e-9 THEN (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) ELSE 0 END AS b FROM sums),
+    pairs AS (SELECT *, lead(v) OVER o AS v2, lead(a) OVER o AS a2, lead(b) OVER o AS b2 FROM fits WINDOW o AS (PARTITION BY person ORDER BY v))
+    SELECT p.person, p.bucket, round(CASE WHEN v2 IS NULL THEN a ELSE (2 * pow({t}, 3) - 3 * pow({t}, 2) + 1) * a
+        + (pow({t}, 3) - 2 * pow({t}, 2) + {t}) * {width} * b + (3 * pow({t}, 2) - 2 * pow({t}, 3)) * a2
+        + (pow({t}, 3) - pow({t}, 2)) * {width} * b2 END, 6) AS trend
+    FROM pts p JOIN pairs f ON f.person = p.person AND p.bucket >= f.v AND (p.bucket < f.v2 OR (f.v2 IS NULL AND p.bucket = f.v))"""
+
+
 ORACLE: dict[str, str] = {
+    "html_crossed": _with(f"bodies AS (SELECT page_id, {_CROSSED_BODIES} AS b FROM pages)", f"rows_ AS ({_explode('page_id', 'bodies', 'b', 'no')})")
+    + f"SELECT page_id, CAST(no AS BIGINT) AS para_no, {_text('item')} AS text FROM rows_",
+    "page_charsets": f"""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'windows-1252' WHEN 3 THEN 'windows-1252'
+        ELSE 'utf-8' END AS charset, md5(CASE page_id % 5
+        WHEN 0 THEN '<meta charset=utf-8>' || replace(html, '<meta charset="utf-8">', '')
+        WHEN 1 THEN '<meta http-equiv=''Content-Type'' content=''text/html; charset=iso-8859-1''>' || {_NARROW}
+        WHEN 2 THEN '<META CHARSET="Windows-1252">–' || {_NARROW} WHEN 3 THEN '–é' || {_NARROW}
+        ELSE replace(html, '<meta charset="utf-8">', '') END) AS digest FROM pages""",
+    "tokenize_scripts": _with(_DOCS, f"""lists AS (SELECT id, line_no, list_transform(
+        regexp_extract_all(lower(translate(line, {_str(I.SCRIPT_LETTERS[0])}, {_str(I.SCRIPT_LETTERS[1])})), '{WORD}'),
+        lambda w: regexp_extract_all(w, '{_SCRIPT_WORD}')) AS parted FROM lines)""")
+    + """SELECT id, line_no, CAST(unnest(range(1, len(flatten(parted)) + 1)) AS BIGINT) AS word_no,
+        replace(unnest(flatten(parted)), chr(39), '') AS word FROM lists""",
+    "trend_span": _SCORE.rstrip()
+    + ", series AS (SELECT person, bucket, CAST(sum(score) AS DOUBLE) AS y FROM hits GROUP BY person, bucket)\n"
+    + _span("series"),
+    "trend_season_numbers": EVENTS.rstrip()
+    + f""", named AS (SELECT person, CASE WHEN CAST(id AS INTEGER) % 7 = 3 THEN 'pi' ELSE season END AS season FROM lines),
+        series AS (SELECT person, TRY_CAST(season AS INTEGER) AS season, CAST(count(*) AS DOUBLE) AS y FROM named
+        WHERE person IN {EVENT_MAIN} AND TRY_CAST(season AS INTEGER) IS NOT NULL GROUP BY person, TRY_CAST(season AS INTEGER))\n"""
+    + _trend("series", x="season"),
+    "cooccurrence_all": """WITH present AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS person FROM lineitem)
+        SELECT a.person AS person_a, b.person AS person_b, count(*) AS n FROM present a JOIN present b ON a.id = b.id AND a.person > b.person
+        GROUP BY a.person, b.person""",
+    "lines_roundtrip_bad": EVENTS
+    + """SELECT true AS good, type, count(*) AS n FROM lines GROUP BY type
+        UNION ALL SELECT false, NULL, count(*) FROM events WHERE event_id % 50 = 0""",
     "scan_pages": f"""SELECT page_id, url AS file, CAST(length(html) AS BIGINT) AS n_chars FROM pages
         WHERE url NOT IN {_in(I.EXCLUDED_PAGES)}""",
     "html_paragraphs": _with(_bodies_cte("page_id", "pages"), f"rows_ AS ({_explode('page_id', 'bodies', 'b', 'no')})")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.durable import durable
+
 LINES = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -42,3 +44,28 @@ def read_lines(spark: SparkSession, path: str, format: str = "parquet") -> DataF
         reader = reader.options(**_CSV)
     names = [f.name for f in LINES.fields]
     return reader.load(path).select(*names).withColumn("line", F.nullif(F.col("line"), F.lit("")))
+
+
+BAD = "bad_row"
+
+
+def write_rows(rows: DataFrame, path: str, season: str) -> None:
+    """Rows as they are, one text column, into a season's folder of a CSV table, under its header."""
+    header = ",".join(f.name for f in LINES.fields if f.name != "season")
+    rows.select(F.col(rows.columns[0]).alias(header)).write.options(header=True, sep="\u0001", escapeQuotes=False).csv(f"{path}/season={season}")
+
+
+def read_lines_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of a CSV table, and its malformed rows as they are written: (bad_row, season).
+
+    A row is malformed when it has other than the table's columns, or a value that is not of its type. A type that
+    is missing stays a missing type: only malformed rows go. Both come from one schema with a column for
+    what could not be read, so a count of the bad rows and the good lines add up to all rows.
+    """
+    schema = T.StructType([*[f for f in LINES.fields if f.name != "season"], T.StructField("season", T.StringType()), T.StructField(BAD, T.StringType())])
+    reader = spark.read.schema(schema).format("csv").options(**_CSV).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    # all columns are parsed, once: a row is only seen to be malformed where the columns at fault are read
+    rows = durable(reader.load(path), "parsed")
+    good = rows.filter(F.col(BAD).isNull()).drop(BAD).select(*[f.name for f in LINES.fields])
+    good = good.withColumn("line", F.nullif(F.col("line"), F.lit("")))
+    return good, rows.filter(F.col(BAD).isNotNull()).select(BAD, "season")

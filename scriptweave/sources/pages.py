@@ -24,17 +24,70 @@ def decoded(content: Column, encoding: str) -> Column:
     return F.translate(text, "".join(o for o, _ in replaced), "".join(n for _, n in replaced))
 
 
-def read_pages(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+# Labels of character sets as documents declare them, and the sets they are read as.
+CHARSETS = {
+    "utf-8": "utf-8", "utf8": "utf-8", "us-ascii": "windows-1252", "ascii": "windows-1252",
+    "iso-8859-1": "iso-8859-1", "latin1": "iso-8859-1", "iso_8859-1": "iso-8859-1", "l1": "iso-8859-1",
+    "windows-1252": "windows-1252", "cp1252": "windows-1252", "x-cp1252": "windows-1252",
+    "windows-1250": "windows-1250", "cp1250": "windows-1250", "windows-1251": "windows-1251", "cp1251": "windows-1251",
+    "iso-8859-2": "iso-8859-2", "latin2": "iso-8859-2", "iso-8859-15": "iso-8859-15", "latin-9": "iso-8859-15",
+    "koi8-r": "koi8-r", "utf-16": "utf-16", "utf-16le": "utf-16le", "utf-16be": "utf-16be",
+}
+DECLARED_WITHIN = 4096
+_DECLARATION = r"(?is)<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)|<\?xml\b[^<>]*?\bencoding\s*=\s*[\"']([A-Za-z0-9_-]+)"
+
+
+def charset_of(content: Column, fallback: str = "windows-1252") -> Column:
+    """The character set of a document's bytes: by its byte order mark, else as its first ``DECLARED_WITHIN``
+    bytes declare it, else UTF-8 where the bytes are that, else ``fallback``.
+
+    A declared UTF-8 that the bytes are not, an unknown label, and a declared UTF-16 without a mark, whose
+    declaration could not have been read so, count as none.
+    """
+    head = F.decode(F.substring(content, 1, DECLARED_WITHIN), "iso-8859-1")
+    mark = F.hex(F.substring(content, 1, 3))
+    names = F.regexp_extract_all(head, F.lit(_DECLARATION), 1), F.regexp_extract_all(head, F.lit(_DECLARATION), 2)
+    label = F.lower(F.coalesce(*[F.nullif(F.get(n, F.lit(0)), F.lit("")) for n in names]))
+    known = F.lit(None).cast("string")
+    for charset in sorted(set(CHARSETS.values()) - {"utf-16", "utf-16le", "utf-16be"}):
+        known = F.when(label.isin([n for n, c in CHARSETS.items() if c == charset]), charset).otherwise(known)
+    valid = F.is_valid_utf8(content.cast("string"))
+    return (
+        F.when(mark == "EFBBBF", "utf-8")
+        .when(mark.startswith("FFFE"), "utf-16le")
+        .when(mark.startswith("FEFF"), "utf-16be")
+        .when(known.isNotNull() & ((known != "utf-8") | valid), known)
+        .when(valid, "utf-8")
+        .otherwise(fallback)
+    )
+
+
+def decoded_as(content: Column, charset: Column, charsets: Iterable[str] = tuple(dict.fromkeys(CHARSETS.values()))) -> Column:
+    """Bytes as text, each row by its own character set; malformed UTF-8 gets replacement characters, and byte
+    order marks go. Null for a set that is not among ``charsets``."""
+    out = F.lit(None).cast("string")
+    for name in charsets:
+        if name == "utf-8":
+            text = F.make_valid_utf8(content.cast("string"))
+        elif name.startswith("utf-16"):
+            # whole units only
+            text = F.decode(F.when(charset == name, F.substring(content, F.lit(1), F.length(content) - F.length(content) % 2)), name)
+        else:
+            text = decoded(F.when(charset == name, content), name)
+        out = F.when(charset == name, text).otherwise(out)
+    return F.regexp_replace(out, "^\uFEFF", "")
+
+
+def read_pages(spark: SparkSession, path: str, encoding: str | None = "UTF-8") -> DataFrame:
     """``raw(file, html)`` from a directory or glob of HTML files, read whole.
 
-    ``encoding`` is the character set the source is known to use. Very many small files
-    are better packed once into a table; ``named_pages`` takes it from there.
+    ``encoding`` is the character set the source is known to use; None takes each file's own declaration.
+    Very many small files are better packed once into a table; ``named_pages`` takes it from there.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.col("_metadata.file_name").alias("file"),
-        decoded(F.col("content"), encoding).alias("html"),
-    )
+    content = F.col("content")
+    html = decoded(content, encoding) if encoding else decoded_as(content, charset_of(content))
+    return files.select(F.col("_metadata.file_name").alias("file"), html.alias("html"))
 
 
 def named_pages(pages: DataFrame, name: str = "url") -> DataFrame:
