@@ -38,16 +38,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; an id stays once.
+    """Of each group of near copies the document with the smallest id stays; different texts that share an id
+    are documents of their own, and of rows equal in id and text one stays.
 
     Rows with a null id are not compared and stay.
     """
     rows, names = _numbered(docs)
-    key = names["doc_id"]
+    key, text = names["doc_id"], names["text"]
     known = rows.filter(F.col(key).isNotNull())
-    found = setsketch.near_documents(known, NEAR_WORDS, NEAR_PERCENT, key, names["text"])
-    gone = durable(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    kept = known.join(gone, key, "left_anti").dropDuplicates([key])
+    gone = durable(setsketch.first_rows(known, NEAR_WORDS, NEAR_PERCENT, key, text), "gone")
+    known = known.withColumn("row", setsketch.row_id(key, text))
+    kept = known.join(gone, "row", "left_anti").dropDuplicates(["row"]).drop("row")
     return kept.unionByName(rows.filter(F.col(key).isNull())).select(*rows.columns).toDF(*docs.columns)
 
 

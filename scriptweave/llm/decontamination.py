@@ -7,7 +7,7 @@ are turned back into offsets in the text as it was.
 
 Null or empty texts and items have no words and match nothing. Repeated items and windows are one
 pattern each with all item ids. Rows of documents are kept as they are, repeated ones too; columns
-besides the text are carried along untouched, and may have any names but those of the result.
+besides the text are carried along untouched; a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -110,6 +110,7 @@ def _matcher(key: str, items: list[tuple[str, bytes]], size: int) -> Matcher:
     return _MATCHERS[key]
 
 
+_RESULTS = {"n_words", "n_hit", "n_items", "items", "spans"}
 _PAIRS = T.ArrayType(T.ArrayType(T.LongType()))
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
           T.StructField("runs", _PAIRS), T.StructField("spans", _PAIRS)]
@@ -159,7 +160,7 @@ def benchmark_hits(
         rows, block = durable(rows, "hits"), following
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     found = rows.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-    names = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
+    names = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in _RESULTS]
     return found.select(*names, "n_words", "n_hit", "n_items", "items", "spans")
 
 
@@ -170,25 +171,25 @@ def _scan(rows: DataFrame, items: list[tuple[str, bytes]], size: int, last: bool
     before = "runs" in rows.columns
     carried = [c for c in rows.columns if c not in {f.name for f in _FOUND} and not (last and c == "_text")]
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType(_FOUND))
+    def scanned(texts: pa.Array, old_runs: pa.Array, old_items: pa.Array) -> pa.Array:
         matcher = _matcher(key, shared.value, size)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            known = zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist()) if before else None
-            for value in batch.column("_text"):
-                words = normal_words(value.as_buffer().to_pybytes() if value.is_valid else None)
-                runs, ids = matcher.scan(words)
-                if known is not None:
-                    old_runs, old_ids = next(known)
-                    runs, ids = merged([*runs, *map(tuple, old_runs)]), ids | set(old_ids)
-                spans = offsets(value.as_py(), runs) if last and runs else []
-                for column, found in zip(out, (len(words), sorted(ids), runs, spans)):
-                    column.append(found)
-            arrays = [batch.column(c) for c in carried]
-            arrays += [pa.array(v, type=kind) for v, kind in zip(out, _ARROW)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *(f.name for f in _FOUND)])
-
-    return rows.mapInArrow(scanned, T.StructType([rows.schema[c] for c in carried] + _FOUND))
+        out: list[list] = [[], [], [], []]
+        for i, value in enumerate(texts):
+            words = normal_words(value.as_buffer().to_pybytes() if value.is_valid else None)
+            runs, ids = matcher.scan(words)
+            if before:
+                runs, ids = merged([*runs, *map(tuple, old_runs[i].as_py())]), ids | set(old_items[i].as_py())
+            spans = offsets(value.as_py(), runs) if last and runs else []
+            for column, found in zip(out, (len(words), sorted(ids), runs, spans)):
+                column.append(found)
+        return pa.StructArray.from_arrays([pa.array(v, type=kind) for v, kind in zip(out, _ARROW)], names=[f.name for f in _FOUND])
+
+    earlier = [F.col(c) if before else F.lit(None).cast(kind) for c, kind in (("runs", _PAIRS), ("items", T.ArrayType(T.StringType())))]
+    # of a row only the text goes to Python; as if not deterministic, so that each row is scanned once
+    found = scanned.asNondeterministic()(F.col("_text"), *earlier)
+    kept = [F.col(c) for c in carried]
+    return rows.select(*kept, found.alias("_found")).select(*kept, *[F.col(f"_found.{f.name}") for f in _FOUND])
 
 
 def items_digest(items: str = "items") -> Column:

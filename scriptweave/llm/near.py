@@ -27,9 +27,9 @@ from .components import components
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 _VOCABULARY = 4096
 
-# Bits of a membership filter, a fixed size whatever the tables' size. At 2^22 distinct values it
-# lets most rows pass; the exact join behind it decides either way.
-FILTER_BITS = 22
+# Bits of a membership filter: some sixteen for each value, so that few others pass, and at most 2^30 (128 MB).
+# Beyond a hundred million values it lets more pass; the exact join behind it decides either way.
+LEAST_BITS, MOST_BITS = 16, 30
 
 #: Codes (sorted and distinct in each text) of some texts, and their bounds by text.
 Shingler = Callable[[bytewords.Texts], tuple[np.ndarray, np.ndarray]]
@@ -41,7 +41,8 @@ Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarr
 
 def distinct_codes(codes: np.ndarray, text: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes of each text, and bounds."""
-    order = np.lexsort((codes, text))
+    order = np.argsort(codes)
+    order = order[np.argsort(text[order].astype(np.min_scalar_type(max(1, count))), kind="stable")]
     codes, text = codes[order], text[order]
     new = np.ones(len(codes), dtype=bool)
     new[1:] = (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
@@ -54,17 +55,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 class Members:
-    """A filter of fixed size that lets all wanted values pass, and others only by chance."""
+    """A filter that lets all wanted values pass, and others only by chance; its size is made for their number."""
 
     def __init__(self, wanted: DataFrame, name: str):
-        slot = (F.xxhash64(name).bitwiseAND((1 << FILTER_BITS) - 1)).cast("int")
-        found = wanted.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        bits[found] = True
-        self.shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        self.size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
+        slot = F.xxhash64(name).bitwiseAND(self.size - 1)
+        # a byte of the filter at a time, put together by the tasks
+        parts = wanted.select(F.shiftright(slot, 3).alias("byte"), F.call_function("shiftright", F.lit(128), slot.bitwiseAND(7).cast("int")).alias("bit"))
+        found = parts.groupBy("byte").agg(F.bit_or("bit").cast("short").alias("bits")).toArrow()
+        bits = np.zeros(self.size >> 3, dtype=np.uint8)
+        bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(bits)
 
     def __getstate__(self):
-        return {"shared": self.shared}
+        return {"shared": self.shared, "size": self.size}
 
     def among(self, rows: DataFrame, name: str) -> DataFrame:
         """The rows whose value may be wanted."""
@@ -77,26 +81,29 @@ class Members:
         return rows.withColumn("_slot", F.xxhash64(name)).mapInArrow(kept, schema)
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes & ((1 << FILTER_BITS) - 1)
+        slot = hashes & (self.size - 1)
         return (self.shared.value[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
 
 
-def signatures(items: DataFrame, shingler: Shingler, signer: Signer) -> DataFrame:
-    """(id, n, fp1, fp2, registers) of items (id, text): two sums of codes tell equal sets."""
+def signatures(items: DataFrame, shingler: Shingler, signer: Signer, size: int = bytewords.SLICE_BYTES) -> DataFrame:
+    """(id, n, fp1, fp2, registers) of items (id, text): two sums of codes tell equal sets. A column ``key``
+    is carried along."""
+    carried = [c for c in ("key", "id") if c in items.columns]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in bytewords.slices(batch.column("text"), lower=True):
+            for texts in bytewords.slices(batch.column("text"), lower=True, size=size):
                 codes, bounds = shingler(texts)
                 prints = []
                 for salt in (0x1234567, 0x89ABCDEF):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(bytewords.mix(codes + np.uint64(salt)), dtype=np.uint64)])
                     prints.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 part = batch.slice(texts.first, texts.count)
-                columns = [part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(prints[0]), pa.array(prints[1])]
-                yield pa.RecordBatch.from_arrays([*columns, _binary(signer(codes, bounds))], names=["id", "n", "fp1", "fp2", "registers"])
+                columns = [*[part.column(c) for c in carried], pa.array(np.diff(bounds).astype(np.int64)), pa.array(prints[0]), pa.array(prints[1])]
+                yield pa.RecordBatch.from_arrays([*columns, _binary(signer(codes, bounds))], names=[*carried, "n", "fp1", "fp2", "registers"])
 
-    return items.select("id", "text").mapInArrow(rows, "id long, n long, fp1 long, fp2 long, registers binary")
+    schema = ", ".join(f"{c} long" for c in [*carried, "n", "fp1", "fp2"])
+    return items.select(*carried, "text").mapInArrow(rows, f"{schema}, registers binary")
 
 
 def _banded(classes: DataFrame, bands: int, per_band: int) -> DataFrame:

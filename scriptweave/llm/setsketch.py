@@ -12,7 +12,7 @@ beyond doubt out of reach are dropped. The rest is confirmed on full sets, as ``
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.durable import durable
 from . import bytewords
@@ -80,24 +80,44 @@ def near_documents(
 
     Words are runs without white space of the text with A-Z lower-cased; a text of fewer than ``words``
     is one shingle. Null and empty texts, and texts of white space, have none and stay alone. Every row
-    gets a result; rows that share a key are one node. A null key is no node: its row belongs to the
-    component of an equal set, if there is one, and otherwise to none (null).
+    gets a result, by its own text: rows that share a key, or have none, are documents of their own. A
+    component without any key has none (null).
     """
+    rows = _components(documents, words, percent, key, text)
+    return rows.select(F.col("key").alias(key), "n_shingles", F.col("first.key").alias("component_id"))
+
+
+def row_id(key: str, text: str) -> Column:
+    """What tells rows apart in comparing: a hash of key and text. Rows equal in both are one."""
+    return F.xxhash64(F.col(f"`{key}`").cast("long"), f"`{text}`")
+
+
+def first_rows(documents: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row): by ``row_id`` the documents of which a copy, exact or near, comes before, by key (null last) and
+    row; empty ones are nobody's copies."""
+    rows = _components(documents, words, percent, key, text)
+    return rows.filter((F.col("n_shingles") > 0) & (F.col("id") != F.col("first.id"))).select(F.col("id").alias("row")).distinct()
+
+
+def _components(documents: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """(key, id, n_shingles, first): of each row its component's first row (is null, key, id)."""
 
     def shingler(texts: bytewords.Texts):
         w = bytewords.words(texts)
         codes, first = bytewords.shingle_hashes(bytewords.word_hashes(texts, w), w, words)
         return distinct_codes(codes, w.text[first], texts.count)
 
-    items = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    items = documents.select(F.col(f"`{key}`").cast("long").alias("key"), row_id(key, text).alias("id"), F.col(f"`{text}`").alias("text"))
     signed = durable(signatures(items, shingler, sketch), "signed")
     same = ["n", "fp1", "fp2"]
-    firsts = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
-    classes = durable(firsts.filter("id is not null"), "classes")
-    found = near_components(classes, items, shingler, possible, BANDS, PER_BAND, percent)
-    named = classes.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("id").alias("node")).join(found, "node", "left")
+    own = F.struct(F.col("key").isNull().alias("none"), "key", "id")
+    # a class is named after one of its rows, whose text stands for it
+    classes = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min(own).alias("first"), F.first("registers").alias("registers"))
+    classes = durable(classes, "classes")
+    found = near_components(classes, items.select("id", "text"), shingler, possible, BANDS, PER_BAND, percent)
+    named = classes.join(found, classes["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.select("component", *[F.col(c).alias(f"_{c}") for c in same]).join(firsts, "component")
     equal = (F.col("n") == F.col("_n")) & (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2"))
-    rows = signed.select("id", *same).join(named, equal, "left")
-    return rows.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")
-    )
+    rows = signed.select("key", "id", *same).join(named, equal, "left")
+    return rows.select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("first", own).alias("first"))

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .labelled import fit_logistic, labelled_sample, sigmoid
 
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 20_000
 MIN_DOCUMENTS, MIN_WEIGHT = 4, 3.0
 PREFIXES = (4, 5, 6)
 LENGTH_OFFSET = 30
@@ -156,9 +155,10 @@ def _entries(words: list[str]) -> set[str]:
 
 def learn(
     documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    most: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES,
+    most: int = MAX_LABELLED,
 ) -> Lexicon:
-    """The lexicon of at most ``most`` labelled documents, with at most ``max_entries`` entries."""
+    """The lexicon of at most ``most`` labelled documents: all entries that pass the thresholds, which the
+    sample bounds."""
     sample = labelled_sample(documents, labels, label, most, key, text)
     sizes = dict(sample.groupBy("label").count().collect())
     if len(sizes) < 2:
@@ -167,14 +167,13 @@ def learn(
     weight = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("others") + 0.5) / others)
     counts = _document_counts(sample, _entries).withColumn("weight", weight)
     chosen = counts.filter((F.col("toxic") >= MIN_DOCUMENTS) & (F.col("weight") >= MIN_WEIGHT))
-    chosen = chosen.orderBy(F.desc("weight"), "entry").limit(max_entries).select("entry", "weight")
+    chosen = chosen.select("entry", "weight")
     lexicon = Lexicon(dict(map(tuple, chosen.collect())))
 
     # Words that are toxic elsewhere but not in this company: at least as often in other documents as
     # their share of all documents would give.
     near = _document_counts(sample, lambda w: {p for i, _ in lexicon.matches(w) for p in phrases(w, i)})
     harmless = near.filter((F.col("others") >= MIN_DOCUMENTS) & (F.col("others") / others >= F.col("toxic") / toxic))
-    harmless = harmless.orderBy(F.desc("others"), "entry").limit(max_entries)
     lexicon.exceptions = {r[0] for r in harmless.select("entry").collect()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +189,14 @@ def learn(
 
 def scored(documents: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1), which replaces a column of that name. ``keep`` names the columns to carry
-    (default: all). Nothing is shuffled."""
+    (default: all). Nothing is shuffled, and of a row only the text goes to Python."""
     keep = [c for c in (documents.columns if keep is None else keep) if c.lower() != "score"]
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries and phrases
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample it is learned from
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column("_text").to_pylist()]
-            arrays = [batch.column(f"_{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores, pa.float64())], names=[*keep, "score"])
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
-    source = documents.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)])
-    return source.mapInArrow(rows, T.StructType([documents.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]))
+    # as if it were not deterministic: each row is scored once, however often the score is used
+    scores = score.asNondeterministic()(F.col(f"`{text}`"))
+    return documents.select(*[F.col(f"`{c}`") for c in keep], scores.alias("score"))
