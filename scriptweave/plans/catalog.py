@@ -63,10 +63,8 @@ def html_crossed(spark, sf):
 @query
 def page_charsets(spark, sf):
     """Each page decoded by its own declaration."""
-    charset = pages_io.charset_of(F.col("content"))
-    pages = I.encoded_pages(spark, sf).withColumn("charset", charset)
-    html = pages_io.decoded_as(F.col("content"), F.col("charset"))
-    return pages.select("page_id", "charset", F.md5(html.cast("binary")).alias("digest"))
+    pages = pages_io.with_text(I.encoded_pages(spark, sf))
+    return pages.select("page_id", "charset", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query

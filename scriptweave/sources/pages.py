@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.steps import computed_once
+
 # The character sets Spark decodes itself.
 _SPARK_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
 
@@ -78,6 +80,13 @@ def decoded_as(content: Column, charset: Column, charsets: Iterable[str] = tuple
     return F.regexp_replace(out, "^\uFEFF", "")
 
 
+def with_text(files: DataFrame, fallback: str = "windows-1252") -> DataFrame:
+    """Adds to ``files(content)`` the character set of each row's bytes, and their text. The bytes are looked
+    through once: the set is a value before the text is made from it."""
+    found = computed_once(files, "charset", charset_of(F.col("content"), fallback))
+    return found.withColumn("text", decoded_as(F.col("content"), F.col("charset")))
+
+
 def read_pages(spark: SparkSession, path: str, encoding: str | None = "UTF-8") -> DataFrame:
     """``raw(file, html)`` from a directory or glob of HTML files, read whole.
 
@@ -85,9 +94,10 @@ def read_pages(spark: SparkSession, path: str, encoding: str | None = "UTF-8") -
     Very many small files are better packed once into a table; ``named_pages`` takes it from there.
     """
     files = spark.read.format("binaryFile").load(path)
-    content = F.col("content")
-    html = decoded(content, encoding) if encoding else decoded_as(content, charset_of(content))
-    return files.select(F.col("_metadata.file_name").alias("file"), html.alias("html"))
+    files = files.select(F.col("_metadata.file_name").alias("file"), "content")
+    if encoding:
+        return files.select("file", decoded(F.col("content"), encoding).alias("html"))
+    return with_text(files).select("file", F.col("text").alias("html"))
 
 
 def named_pages(pages: DataFrame, name: str = "url") -> DataFrame:

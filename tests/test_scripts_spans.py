@@ -14,7 +14,7 @@ from scriptweave.functions.segments import is_katakana, is_mark, is_unspaced
 from scriptweave.operators import lines as L, measures as M, pairs, quantiles, words as W
 from scriptweave.operators.trend import trend_span
 from scriptweave.sources import lines as lines_io
-from scriptweave.sources.pages import charset_of, decoded_as, read_pages
+from scriptweave.sources.pages import read_pages, with_text
 
 
 # -- scripts ------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def test_charsets(spark, tmp_path):
     assert found["latin.html"].endswith(">Café") and found["cyrillic.html"].endswith("Привет")
     assert found["marked.html"] == body and found["wide.html"] == body
     nothing = spark.createDataFrame([(None,)], "content binary")
-    assert nothing.select(decoded_as(F.col("content"), charset_of(F.col("content"))).alias("t")).first().t is None
+    assert with_text(nothing).first().text is None
 
 
 # -- malformed rows -----------------------------------------------------------------------
