@@ -6,16 +6,20 @@ byte for each of 60 permutations. Bands of five find candidates (of pairs at 0.8
 all but one in 50,000), signatures drop hopeless ones, full sets confirm, and a distributed union-find
 joins them. Of each component the first line, by document id and line number, stays; the others go.
 
-Shorter lines, among them blank ones, are left alone: they repeat by chance. Null texts stay null and
-empty ones empty. Rows that share an id count as one document, whose lines they keep or lose together.
-A null id is a document of its own, the last in order. Further columns are carried along.
+Lines of fewer than ``min_bytes`` bytes, among them blank ones, are left alone by default: they repeat by chance.
+With 0, blank lines alone are. Null texts stay null and empty ones empty. Every row is a document of its own,
+also where rows share an id or have none; null ids come last, and rows of one id are in order of their texts.
+Further columns are carried along; n_lines and n_dropped replace columns of their names.
+
+Each distinct line is written once, under a number that 128 bits of its content stand for, and is signed and
+compared from there. Signatures take 32-bit arithmetic over a few hundred lines at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.durable import durable
 from ..operators.steps import computed_once
@@ -23,23 +27,23 @@ from . import bytewords
 from .near import Members, distinct_codes, near_components, signatures
 
 SHINGLE, MIN_BYTES, PERCENT = 8, 20, 80
+# Lines signed at once: few enough that the arrays stay near the processor.
+SLICE_BYTES = 1 << 16
 BANDS, PER_BAND = 12, 5
 REGISTERS = BANDS * PER_BAND
-_SALTS = bytewords.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_ODD = bytewords.mix(_SALTS) | np.uint64(1)
+_SALTS = bytewords.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).astype(np.uint32)
+_ODD = bytewords.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def shingler(texts: bytewords.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Runs of eight bytes of each line; a shorter line is one run."""
-    data = np.concatenate([texts.data, np.zeros(SHINGLE, dtype=np.uint8)])
-    n = len(texts.data)
-    code = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        code |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    n, code = len(texts.data), bytewords.eights(texts.data)
     lengths = np.diff(texts.bounds)
     text = np.repeat(np.arange(texts.count), lengths)
     place = np.arange(n) - np.repeat(texts.bounds[:-1], lengths)
     first = (place + SHINGLE <= lengths[text]) | ((place == 0) & (lengths[text] < SHINGLE))
+    short = np.flatnonzero((place == 0) & (lengths[text] < SHINGLE))
+    code[short] &= (np.uint64(1) << (lengths[text[short]] * 8).astype(np.uint64)) - np.uint64(1)
     return distinct_codes(bytewords.mix(code[first]), text[first], texts.count)
 
 
@@ -49,10 +53,11 @@ def signature(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((count, REGISTERS), dtype=np.uint8)
     some = np.flatnonzero(np.diff(bounds) > 0)
     if len(some):
+        # the codes are mixed, so half of one, times an odd number, is a permutation of 32 bits that serves
+        half, starts = (codes >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
         for k in range(REGISTERS):
-            value = (codes ^ _SALTS[k]) * _ODD[k]
-            least = np.minimum.reduceat(value ^ (value >> np.uint64(32)), bounds[:-1][some])
-            out[some, k] = (bytewords.mix(least) & np.uint64(255)).astype(np.uint8)
+            least = np.minimum.reduceat((half ^ _SALTS[k]) * _ODD[k], starts)
+            out[some, k] = (bytewords.mix(least.astype(np.uint64) + np.uint64(1)) & np.uint64(255)).astype(np.uint8)
     return out
 
 
@@ -72,46 +77,60 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, id, text): the long lines, normalised; id is a hash of the normal form."""
-    rows = documents.select(F.col(f"`{key}`").alias("key"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "raw"))
+def _lines(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """(row, line_no, text): the lines of rows (row, text) that are compared, normalised."""
+    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     normal = F.trim(F.regexp_replace(F.lower("raw"), r"[ \t\x0B\f\r]+", " "))
-    rows = computed_once(rows.filter(F.octet_length("raw") >= MIN_BYTES), "text", normal).filter(F.octet_length("text") >= MIN_BYTES)
-    return rows.select("key", "line_no", F.xxhash64("text").alias("id"), "text")
-
-
-def line_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The long lines of the documents, and their classes (id, component, keep): ``keep`` is the place
-    (is_null, key, line_no) of the line that stays of a component; only those with more than one line."""
-    lines = _lines(documents, key, text)
-    place = F.struct(F.col("key").isNull().alias("is_null"), "key", "line_no")
-    seen = lines.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("lines"))
-    seen = durable(seen, "lines")
-    # a class's signature comes from its first line
-    signed = signatures(lines.select("id", "text"), shingler, signature)
-    classes = durable(signed.dropDuplicates(["id"]).select("id", "n", "registers"), "classes")
-    found = durable(near_components(classes, lines.select("id", "text"), shingler, possible, BANDS, PER_BAND, percent), "components")
-    named = seen.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = max(1, min_bytes)
+    lines = computed_once(lines.filter(F.octet_length("raw") >= least), "text", normal)
+    return lines.filter(F.octet_length("text") >= least).select("row", "line_no", "text")
+
+
+def _digest() -> Column:
+    """What stands for a line: 128 bits."""
+    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")
+
+
+def line_classes(rows: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(digest, keep) of rows (row, place, text): the lines that some other line is like, or stands again, and the
+    place (of the row, line_no) of the one that stays."""
+    lines = _lines(rows.select(F.struct("place", "row").alias("row"), "text"), min_bytes)
+    place = F.struct(F.col("row").alias("of"), "line_no")
+    distinct = lines.groupBy(_digest()).agg(F.first("text").alias("text"), F.min(place).alias("place"), F.count(F.lit(1)).alias("lines"))
+    distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    items = distinct.select("id", "text")
+    classes = durable(signatures(items, shingler, signature, SLICE_BYTES).select("id", "n", "registers"), "classes")
+    found = durable(near_components(classes, items, shingler, possible, BANDS, PER_BAND, percent), "components")
+    named = distinct.select("id", "digest", "place", "lines").join(found.withColumnRenamed("node", "id"), "id", "left")
+    named = named.withColumn("component", F.coalesce("component", "id"))
     keep = named.groupBy("component").agg(F.min("place").alias("keep"), F.sum("lines").alias("all_lines")).filter("all_lines > 1")
-    return lines, durable(named.select("id", "component").join(keep, "component"), "classes")
+    return durable(named.select("digest", "component").join(keep, "component").select("digest", "keep"), "classes")
 
 
-def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def deduplicated(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_bytes: int = MIN_BYTES
+) -> DataFrame:
     """The documents, with their text reduced to the lines that stay, and n_lines and n_dropped added.
 
-    Lines' places are narrow; the texts themselves move once, to meet the numbers of their dropped lines.
+    The rows are written once under numbers of their own. Lines' places are narrow; the texts move once, to meet
+    the numbers of their dropped lines.
     """
-    lines, classes = line_classes(documents, key, text, percent)
-    place = F.struct(F.col("key").isNull().alias("is_null"), "key", "line_no")
-    narrow = Members(classes, "id").among(lines.select("id", "key", "line_no"), "id")
-    dropped = narrow.join(classes, "id").filter(place != F.col("keep"))
-    drops = dropped.groupBy(F.col("key").alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
-    rows = documents.join(durable(drops, "drops"), F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left")
-    others = [F.col(f"`{c}`") for c in documents.columns if c != text]
-    rows = rows.select(*others, F.col(f"`{text}`").alias("_text"), "_drop")
+    others = [c for c in documents.columns if c != text and c.lower() not in ("n_lines", "n_dropped")]
+    place = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("hash"))
+    rows = documents.select(
+        F.monotonically_increasing_id().alias("row"), place.alias("place"), F.col(f"`{text}`").alias("text"),
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)],
+    )
+    rows = durable(rows, "rows")
+    classes = line_classes(rows, percent, min_bytes)
+    lines = _lines(rows.select(F.struct("place", "row").alias("row"), "text"), min_bytes)
+    narrow = Members(classes, "digest").among(lines.select(_digest(), F.struct(F.col("row").alias("of"), "line_no").alias("place")), "digest")
+    dropped = narrow.join(classes, "digest").filter(F.col("place") != F.col("keep"))
+    drops = dropped.groupBy(F.col("place.of.row").alias("row")).agg(F.collect_list("place.line_no").alias("_drop"))
+    rows = rows.join(durable(drops, "drops"), "row", "left")
     return rows.select(
-        *others,
-        F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(_without("_text", "_drop")).alias(text),
-        F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)],
+        F.when(F.col("_drop").isNull(), F.col("text")).otherwise(_without("text", "_drop")).alias(text),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -202,3 +202,68 @@ def test_exact_scores(spark):
         "(1000 * CAST(a AS DECIMAL(38, 0)) * CAST(n AS DECIMAL(38, 0))) div (CAST(a AS DECIMAL(38, 0)) * CAST(a AS DECIMAL(38, 0))) AS score"
     )
     assert found.first().score == 10
+
+
+# -- lines and documents whose ids are no keys --------------------------------------------
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_lines_of_shared_ids(spark, turn):
+    from scriptweave.llm import linededup
+
+    a, b, c, d, e = (f"the {w} line of this text is long enough to be compared {w * 3}" for w in ("first", "other", "third", "fourth", "fifth"))
+    rows = [(0, a, 1), (1, f"{a}\n{b}", 2), (1, f"{c}\n{d}", 3), (None, a, 4), (None, e, 5), (2, None, 6), (2, "", 7), (3, "ab\nab", 8)]
+    docs = spark.createDataFrame(rows[::turn], "doc_id long, text string, n_lines int").repartition(3)
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in linededup.deduplicated(docs).collect())
+    assert got == Counter([
+        (0, a, 1, 0), (1, b, 2, 1), (1, f"{c}\n{d}", 2, 0), (None, "", 1, 1), (None, e, 1, 0), (2, None, 0, 0), (2, "", 1, 0), (3, "ab\nab", 2, 0)
+    ])
+    short = linededup.deduplicated(docs.filter("doc_id = 3"), min_bytes=0).first()
+    assert (short.text, short.n_dropped) == ("ab", 1)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_documents_of_shared_ids(spark, turn):
+    import corpus_pipeline as P
+    from scriptweave.llm import setsketch
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(200)]
+    x, y = (" ".join(rng.choice(words) for _ in range(120)) for _ in range(2))
+    near_y = y + " end"
+    rows = [(1, x), (1, y), (2, near_y), (3, "alone"), (3, "alone"), (None, x), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows[::turn], "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in setsketch.near_documents(docs).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (None, 1), (4, 4), (4, 4)])
+    kept = dict(P.STAGES)["near_dedup"](spark, docs, "")
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, x), (1, y), (3, "alone"), (None, x), (4, None), (4, "")])
+
+
+def test_words_of_one_base(spark):
+    """Words whose letters follow the Thue-Morse sequence, and their complements."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptweave.llm import bytewords
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048, 4096):
+        texts = next(bytewords.slices(pa.array([word[:n], word[:n].translate(str.maketrans("ab", "ba"))])))
+        assert len(np.unique(bytewords.word_hashes(texts, bytewords.words(texts)))) == 2
+
+
+@pytest.mark.parametrize("size", range(1, 7))
+def test_runs_of_few_words(size):
+    import itertools
+
+    import pyarrow as pa
+
+    from scriptweave.llm import bytewords
+
+    for counts in itertools.product(range(7), repeat=2):
+        texts = next(bytewords.slices(pa.array([" ".join("abcdefg"[:n]) for n in counts])))
+        w = bytewords.words(texts)
+        runs, first = bytewords.shingle_hashes(bytewords.word_hashes(texts, w), w, size)
+        assert len(runs) == len(first) == sum(max(1, n - size + 1) for n in counts if n)
