@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.durable import durable
 from . import bytewords
 from .components import components
+from .memory import released
 
 # A block of the full comparison: at most about so many classes and shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
@@ -75,7 +76,7 @@ class Members:
         schema = rows.schema
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 yield batch.filter(pa.array(self.passes(batch.column("_slot").to_numpy()))).select(schema.names)
 
         return rows.withColumn("_slot", F.xxhash64(name)).mapInArrow(kept, schema)
@@ -91,7 +92,7 @@ def signatures(items: DataFrame, shingler: Shingler, signer: Signer, size: int =
     carried = [c for c in ("key", "id") if c in items.columns]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for texts in bytewords.slices(batch.column("text"), lower=True, size=size):
                 codes, bounds = shingler(texts)
                 prints = []
@@ -110,7 +111,7 @@ def _banded(classes: DataFrame, bands: int, per_band: int) -> DataFrame:
     """(bucket, id) for every band of every class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             code = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, 1))
             for k in range(per_band):
@@ -129,7 +130,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, percent: int) ->
     low = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             a, b = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("ra", "rb")
             )
@@ -144,7 +145,7 @@ def _sets(items: DataFrame, wanted: DataFrame, shingler: Shingler) -> DataFrame:
     members = Members(wanted, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             kept = batch.filter(pa.array(members.passes(batch.column("slot").to_numpy())))
             for texts in bytewords.slices(kept.column("text"), lower=True):
                 codes, bounds = shingler(texts)
@@ -170,7 +171,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("codes").alias(f"c{side}")), side)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             keep = []
             for x, y in zip(batch.column("ca"), batch.column("cb")):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -251,7 +252,7 @@ def _private(sets: DataFrame) -> DataFrame:
     """(id, private): how many codes of a set stand in no other; each task counts its own sets first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, BLOCK_CLASSES):
                 part = batch.slice(at, BLOCK_CLASSES)
                 found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("codes")]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.durable import durable
 from . import bytewords
+from .memory import small_batches
 from .near import distinct_codes, near_components, signatures
 
 REGISTERS, BANDS, PER_BAND = 160, 32, 5
@@ -101,6 +102,11 @@ def first_rows(documents: DataFrame, words: int, percent: int, key: str = "doc_i
 
 def _components(documents: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     """(key, id, n_shingles, first): of each row its component's first row (is null, key, id)."""
+    with small_batches(documents.sparkSession):
+        return _found_components(documents, words, percent, key, text)
+
+
+def _found_components(documents: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
 
     def shingler(texts: bytewords.Texts):
         w = bytewords.words(texts)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -22,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from ..operators.durable import durable
 from . import bytewords
+from .memory import released, small_batches
 
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1_000
 CACHE_PIECES = 500_000
-BATCH_BYTES = 8 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Between blanks, a control character that is one id of its own.
 _MARK = "\x01"
 _AT_ONCE = 200
@@ -172,17 +170,6 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few bytes for the jobs run inside: a task holds several copies of one."""
-    before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_SETTING, before)
-
-
 def write_tokens(
     documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text",
     partitions: int | None = None,
@@ -201,7 +188,7 @@ def write_tokens(
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        for found in batches:
+        for found in released(batches):
             for texts in bytewords.slices(found.column(1)):
                 ids, bounds = encoder.encode(texts)
                 values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
@@ -215,7 +202,7 @@ def write_tokens(
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
-    with _small_batches(documents.sparkSession):
+    with small_batches(documents.sparkSession):
         (
             made.write.option("orc.bloom.filter.columns", "doc_id")
             .option("orc.bloom.filter.fpp", "0.01")
@@ -250,7 +237,7 @@ def summaries(tokens: DataFrame) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     rows = tokens.mapInArrow(sums, f"doc_id {kind}, part int, row bigint, n_tokens bigint, ids_crc32 bigint")
-    with _small_batches(tokens.sparkSession):
+    with small_batches(tokens.sparkSession):
         rows = durable(rows, "summaries")
     lengths = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .labelled import fit_logistic, labelled_sample, sigmoid
+from .memory import released, small_batches
 
 MAX_LABELLED = 20_000
 MIN_DOCUMENTS, MIN_WEIGHT = 4, 3.0
 PREFIXES = (4, 5, 6)
 LENGTH_OFFSET = 30
-_FLUSH = 300_000
+_FLUSH = 150_000
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip(
@@ -138,9 +139,9 @@ def _document_counts(sample: DataFrame, found) -> DataFrame:
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, names=["entry", "others", "toxic"])
 
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                counts[1 if label else 0].update(found(folded_words(text)))
+        for batch in released(batches):
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+                counts[1 if label else 0].update(found(folded_words(text.as_py())))
                 if len(counts[0]) + len(counts[1]) > _FLUSH:
                     yield flushed()
         yield flushed()
@@ -159,7 +160,11 @@ def learn(
 ) -> Lexicon:
     """The lexicon of at most ``most`` labelled documents: all entries that pass the thresholds, which the
     sample bounds."""
-    sample = labelled_sample(documents, labels, label, most, key, text)
+    with small_batches(documents.sparkSession):
+        return _learned(labelled_sample(documents, labels, label, most, key, text))
+
+
+def _learned(sample: DataFrame) -> Lexicon:
     sizes = dict(sample.groupBy("label").count().collect())
     if len(sizes) < 2:
         return Lexicon({})
@@ -194,8 +199,9 @@ def scored(documents: DataFrame, lexicon: Lexicon, text: str = "text", keep: lis
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample it is learned from
 
     @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in released(batches):
+            yield pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
     # as if it were not deterministic: each row is scored once, however often the score is used
     scores = score.asNondeterministic()(F.col(f"`{text}`"))
