@@ -6,9 +6,14 @@ or the sink (boilerplate). Blocks that follow each other, and blocks with the sa
 edges that make it dear to part them. The maximum flow's cut labels the blocks; content blocks, in page
 order, are the text.
 
-Scripts, styles, comments and the like are no text at all. Null and empty pages have an empty text, and
-so has a page in which nothing is content. Repeated rows and pages get the same result each. Reading is
-linear in the page, whatever is left open in it. Further columns are carried along.
+A name such as ``sidebar`` speaks against what is in its element, but not on ``html`` or ``body``, not where it
+only says what a page has or lacks (``has-sidebar``), and not around the page's first article or nearly
+all of its text.
+
+Scripts, styles, comments and the like are no text at all; an embedded element that nothing closes is as if
+it were not there. Null and empty pages have an empty text, and so has a page in which nothing is content.
+Repeated rows and pages get the same result each. Reading is linear in the page, whatever is left open in it.
+Further columns are carried along.
 """
 
 from __future__ import annotations
@@ -23,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # HTML element names by what they mean for the text.
-RAW = set("script style title textarea noscript iframe template svg math object select canvas audio video".split())
+RAW = set("""script style title textarea noscript iframe template svg object select canvas audio video annotation
+annotation-xml""".split())
+TO_THE_END = set("script style title textarea".split())
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small
-span strike strong sub sup time tt u var wbr br input label""".split())
+span strike strong sub sup time tt u var wbr br input label math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot
+mstyle mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav footer aside form menu dialog button fieldset".split())
 CONTENT = set("article main".split())
@@ -37,11 +45,14 @@ cookies copyright dialog disclaimer discussion disqus footer footnav gdpr header
 navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related replies
 respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
 GOOD_NAMES = set("article articlebody content entry main post story text".split())
+# Words that make a name say what a page has or lacks.
+ABOUT = set("has with no without hide show toggle".split())
 
 # The classifier's weights (log odds) and the edges' capacities.
 PRIOR, IN_CONTENT, IN_BOILERPLATE, IN_PAGE_HEADER, GOOD_NAME = -0.5, 4.0, -12.0, -6.0, 1.0
-PARAGRAPH, HEADING, PER_LENGTH, MOST_LENGTH, LINKS = 1.0, 0.5, 0.01, 2.0, -4.0
+PARAGRAPH, HEADING, LIST_ITEM, PER_LENGTH, MOST_LENGTH, LINKS = 1.0, 0.5, 0.4, 0.01, 2.0, -4.0
 NEXT, SIBLING = 0.4, 0.6
+NEARLY_ALL = 0.9
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r"[>\"']")
@@ -68,6 +79,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     low = page.translate(_LOWER)
     at, n = 0, len(page)
     no_quote: set[str] = set()
+    no_close: set[str] = set()
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -109,15 +121,18 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", name, attributes
         if name in RAW and not attributes.rstrip().endswith("/"):
-            end = low.find(f"</{name}", at)
+            end = -1 if name in no_close else low.find(f"</{name}", at)
             if end < 0:
-                return
+                if name in TO_THE_END:
+                    return
+                no_close.add(name)
+                continue
             end = page.find(">", end)
             at = n if end < 0 else end + 1
 
 
 def _names(attributes: str) -> tuple[set[str], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
+    """The words of class, id and role but for names about the page, and whether the element is hidden."""
     words: set[str] = set()
     hidden = False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -127,7 +142,10 @@ def _names(attributes: str) -> tuple[set[str], bool]:
         elif name == "style":
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         else:
-            words.update(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+            for one in value.split():
+                found = _SPLIT.split(_CAMEL.sub("-", one).lower())
+                if ABOUT.isdisjoint(found):
+                    words.update(found)
     return words, hidden
 
 
@@ -135,15 +153,15 @@ _PLAIN: frozenset = frozenset()
 
 
 def _marks(name: str, attributes: str) -> frozenset:
-    """What an element puts its content in: content, bad, header, good, hidden."""
+    """What an element puts its content in: content, bad, named (bad by its name), header, good, hidden."""
     on = {"content"} if name in CONTENT else {"bad"} if name in BOILERPLATE else {"header"} if name == "header" else set()
     if attributes:
         words, hidden = _names(attributes)
         body = "articlebody" in words
         if body:
             on.add("content")
-        elif "article" not in words and words & BAD_NAMES:
-            on.add("bad")
+        elif "article" not in words and name not in ("html", "body") and words & BAD_NAMES:
+            on.add("named")
         if words & GOOD_NAMES:
             on.add("good")
         if hidden:
@@ -161,6 +179,13 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     ids = 0
+    # of each element that is bad by its name: the one it is in, the characters in it, whether the name counts
+    outer: list[int] = []
+    held: list[int] = []
+    counts: list[bool] = []
+    of_block: list[int] = []
+    within = -1
+    seen_content = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -169,15 +194,19 @@ def blocks(page: str) -> list[Block]:
             links = len("".join(linked).strip())
             header = inside["header"] > 0 and not inside["content"]
             out.append(Block(text, tag, parent, inside["content"] > 0, inside["bad"] > 0, header, inside["good"] > 0, links))
+            of_block.append(within)
         parts.clear()
         linked.clear()
 
     def pop(name: str) -> None:
+        nonlocal within
         while len(stack) > 1:
             tag, _, _, _, marks = stack.pop()
             open_tags[tag] -= 1
             for mark in marks:
                 inside[mark] -= 1
+            if "named" in marks:
+                within = outer[within]
             if tag == name:
                 return
 
@@ -203,6 +232,17 @@ def blocks(page: str) -> list[Block]:
         on = _marks(name, attributes)
         for mark in on:
             inside[mark] += 1
+        if "content" in on and not seen_content:
+            seen_content = True
+            around = within
+            while around >= 0:
+                counts[around] = False
+                around = outer[around]
+        if "named" in on:
+            outer.append(within)
+            held.append(0)
+            counts.append(True)
+            within = len(outer) - 1
         open_tags[name] += 1
         ids += 1
         if name in INLINE:  # its text is the block element's
@@ -210,13 +250,25 @@ def blocks(page: str) -> list[Block]:
         else:
             stack.append((name, ids, stack[-1][1], name, on))
     flush()
+    for block, one in zip(out, of_block):
+        if one >= 0:
+            held[one] += len(block.text)
+    for one in range(len(outer) - 1, -1, -1):  # an element comes behind the one it is in
+        if outer[one] >= 0:
+            held[outer[one]] += held[one]
+    most = NEARLY_ALL * sum(len(block.text) for block in out)
+    bad = [False] * len(outer)
+    for one, around in enumerate(outer):
+        bad[one] = counts[one] and held[one] < most or around >= 0 and bad[around]
+    for block, one in zip(out, of_block):
+        block.bad = block.bad or one >= 0 and bad[one]
     return out
 
 
 def log_odds(block: Block) -> float:
     """The classifier: positive for content."""
     score = PRIOR + IN_CONTENT * block.content + IN_BOILERPLATE * block.bad + IN_PAGE_HEADER * block.header + GOOD_NAME * block.good
-    score += PARAGRAPH if block.tag in ("p", "blockquote", "pre") else HEADING if re.fullmatch("h[1-6]", block.tag) else 0
+    score += PARAGRAPH if block.tag in ("p", "blockquote", "pre") else HEADING if re.fullmatch("h[1-6]", block.tag) else LIST_ITEM if block.tag == "li" else 0
     score += min(MOST_LENGTH, PER_LENGTH * len(block.text))
     return score + LINKS * min(1.0, block.linked / len(block.text))
 
