@@ -11,18 +11,17 @@ a third of all rows, or a thousand equal points, splits like any other.
 Only (key, size, dimensions) is kept, on shared storage; a level writes it once with
 its new nodes. A
 search adds up at most 16,384 buckets a node, each task its own rows first, and from its second
-round on reads only the rows of boundary buckets. The driver holds a few numbers per node, of which
-there are at most as many as shards.
+round on reads only the rows of boundary buckets. The nodes are a table, too, with a row for each, which
+the points are joined with; the driver holds but the number of shards.
 
 Null or empty texts have only the fixed 8 bytes. A null in a dimension is its lowest value. Repeated
 rows are points of their own, in any order among themselves. An empty table gives no rows. Further
-columns are carried along under any names.
+columns are carried along; a result replaces a column of its name.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -48,46 +47,40 @@ def log_scaled(c: Column) -> Column:
     return F.coalesce(F.least((F.log2(F.greatest(c, F.lit(0)) + 1.0) * unit).cast("long"), F.lit((1 << BITS) - 1)), F.lit(0))
 
 
-@dataclass
-class _Node:
-    """Shards ``first`` to ``first + shards - 1``, and where it is split."""
-
-    first: int
-    shards: int
-    dim: int = 0
-    wanted: float = 0.0
-    edge: int = 0
-    tie: int = 0
-
-
-def _of_node(nodes: list[_Node], value: str, unset) -> Column:
-    """A node's value, looked up in a constant array of one entry per shard."""
-    entries = {n.first: getattr(n, value) for n in nodes}
-    array = F.array(*[F.lit(entries.get(i, unset)) for i in range(max(entries) + 1)])
-    return F.coalesce(F.get(array, F.col("_node")), F.lit(unset))
+def _widest(placed: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+    """For each node (_node, _shards) with points the dimension in which it is widest, the first of equal ones, and
+    the bytes that go left."""
+    bounds = [f(d).alias(f"_{f.__name__}{d}") for d in dims for f in (F.min, F.max)]
+    ranges = placed.join(nodes, "_node").groupBy("_node", "_shards").agg(F.sum("_size").alias("_held"), *bounds)
+    widths = F.array(*[F.col(f"_max{d}") - F.col(f"_min{d}") for d in dims])
+    left = F.floor(F.col("_shards") / 2).cast("int")
+    return ranges.select(
+        "_node", "_shards", left.alias("_left"), (F.array_position(widths, F.array_max(widths)) - 1).cast("int").alias("_dim"),
+        (F.col("_held") * left / F.col("_shards")).alias("_wanted"),
+    )
 
 
-def _search(points: DataFrame, nodes: list[_Node]) -> None:
-    """Finds, for each node, the (dimension, tie) value up to which points go left."""
-    rows = points.filter(F.col("_node").isin([n.first for n in nodes])).select("_node", "_size", "_tie", "_number")
-    for value, slot in (("_number", "edge"), ("_tie", "tie")):
+def _cuts(placed: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+    """Adds to each node of ``_widest`` the (_edge, _tie_edge) up to which points go left."""
+    number = F.get(F.array(*dims), F.col("_dim"))
+    rows = placed.join(nodes.select("_node", "_dim"), "_node").select("_node", "_size", "_tie", number.alias("_number"))
+    for value, cut in (("_number", "_edge"), ("_tie", "_tie_edge")):
         for shift in range(BITS - BUCKET_BITS, -1, -BUCKET_BITS):
-            bucket = F.shiftright(value, shift)
-            sums = rows.groupBy("_node", bucket.alias("_bucket")).agg(F.sum("_size").alias("_held"))
+            sums = rows.groupBy("_node", F.shiftright(value, shift).alias("_bucket")).agg(F.sum("_size").alias("_held"))
             upto = W.partitionBy("_node").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-            over = sums.withColumn("_upto", F.sum("_held").over(upto))
-            over = over.filter(F.col("_upto") > _of_node(nodes, "wanted", 0.0))
-            found = over.groupBy("_node").agg(F.min_by(F.struct("_bucket", "_held", "_upto"), "_bucket").alias("at"))
-            at = dict(found.collect())  # one row a node
-            for n in nodes:
-                n.wanted -= at[n.first]["_upto"] - at[n.first]["_held"]
-                setattr(n, slot, at[n.first]["_bucket"])
-            rows = rows.filter(bucket == _of_node(nodes, slot, -1))
+            over = sums.withColumn("_upto", F.sum("_held").over(upto)).join(nodes.select("_node", "_wanted"), "_node")
+            over = over.filter(F.col("_upto") > F.col("_wanted"))
+            found = over.groupBy("_node").agg(F.min_by(F.struct("_bucket", "_held", "_upto"), "_bucket").alias("_at"))
+            wanted = F.col("_wanted") - (F.col("_at._upto") - F.col("_at._held"))
+            # the last bucket is on the side that comes nearer to the quantile
+            nearer = (wanted < F.col("_at._held") / 2).cast("long") if value == "_tie" and not shift else F.lit(0)
+            nodes = nodes.join(found, "_node").withColumns({cut: F.col("_at._bucket") - nearer, "_wanted": wanted})
+            nodes = durable(nodes.drop("_at"), "nodes")
+            if value == "_tie" and not shift:
+                return nodes
+            rows = rows.join(nodes.select("_node", cut), "_node").filter(F.shiftright(value, shift) == F.col(cut)).drop(cut)
             if value == "_number" and shift:
                 rows = durable(rows, "boundary")
-    for n in nodes:
-        # the last bucket is on the side that comes nearer to the quantile
-        n.tie -= n.wanted < at[n.first]["_held"] / 2
 
 
 def kd_shards(
@@ -102,10 +95,11 @@ def kd_shards(
 ) -> DataFrame:
     """Adds size, shard (from 0) and slot (gapless from 0 in its shard, by key).
 
-    ``shards``, or as many as ``target_bytes`` asks for. ``dimensions`` names 40-bit numbers;
+    ``shards``, or as many as ``target_bytes`` asks for. ``dimensions`` names 28-bit numbers;
     ``keep`` the columns to carry (default: all).
     """
     keep = {c: F.col(f"`{c}`") for c in documents.columns} if keep is None else keep
+    keep = {c: value for c, value in keep.items() if c.lower() not in ("size", "shard", "slot")}
     if dimensions is None:
         dimensions = {
             "size": log_scaled(F.octet_length(text)),
@@ -124,39 +118,28 @@ def kd_shards(
     if shards is None:
         total = points.agg(F.sum("_size")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
+    count = points.count()
     placed = points.withColumn("_node", F.lit(0))
-    nodes = [_Node(0, shards)]
-    while True:
-        nodes = [n for n in nodes if n.shards > 1]
-        bounds = [f(d) for d in dims for f in (F.min, F.max)]
-        ranges = {r[0]: r[1:] for r in placed.groupBy("_node").agg(F.sum("_size"), *bounds).collect()} if nodes else {}
-        nodes = [n for n in nodes if n.first in ranges]  # one without points needs no split
-        if not nodes:
-            break
-        for n in nodes:
-            held, *ends = ranges[n.first]
-            n.dim = max(range(len(dims)), key=lambda i: ends[2 * i + 1] - ends[2 * i])
-            n.wanted = held * (n.shards // 2) / n.shards
-        number = F.get(F.array(*dims), _of_node(nodes, "dim", 0))
-        placed = placed.withColumn("_number", number)
-        _search(placed, nodes)
-        edge, tie = _of_node(nodes, "edge", 1 << BITS), _of_node(nodes, "tie", 1 << BITS)
-        beyond = (F.col("_number") > edge) | ((F.col("_number") == edge) & (F.col("_tie") > tie))
-        halves = [_Node(n.first, n.shards // 2) for n in nodes]
-        others = [_Node(n.first + n.shards // 2, n.shards - n.shards // 2) for n in nodes]
-        for n in nodes:
-            n.shards //= 2
-        moved = F.when(beyond, F.col("_node") + _of_node(nodes, "shards", 0)).otherwise(F.col("_node"))
-        placed = durable(placed.withColumn("_node", moved).drop("_number"), "placed")
-        nodes = halves + others
-    placed = _numbered(placed, rows_per_block)
+    nodes = documents.sparkSession.range(1).select(F.lit(0).alias("_node"), F.lit(shards).alias("_shards"))
+    most = shards if count else 1
+    while most > 1:
+        cuts = _cuts(placed, durable(_widest(placed, nodes, dims), "nodes"), dims)
+        number = F.get(F.array(*dims), F.col("_dim"))
+        beyond = (number > F.col("_edge")) | ((number == F.col("_edge")) & (F.col("_tie") > F.col("_tie_edge")))
+        moved = F.when(beyond, F.col("_node") + F.col("_left")).otherwise(F.col("_node"))
+        kept = [c for c in placed.columns if c != "_node"]
+        placed = durable(placed.join(cuts, "_node", "left").select(*kept, moved.alias("_node")), "placed")
+        halves = cuts.select("_node", F.col("_left").alias("_shards"))
+        others = cuts.select((F.col("_node") + F.col("_left")).alias("_node"), (F.col("_shards") - F.col("_left")).alias("_shards"))
+        nodes = halves.unionByName(others).filter("_shards > 1")
+        most -= most // 2
+    placed = _numbered(placed, max(1, math.ceil(count / rows_per_block)))
     kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
     return placed.select(*kept, F.col("_size").alias("size"), F.col("_node").alias("shard"), "slot")
 
 
-def _numbered(points: DataFrame, rows_per_block: int) -> DataFrame:
+def _numbered(points: DataFrame, blocks: int) -> DataFrame:
     """Numbers the rows of each shard: blocks of hashes in parallel, and an offset for each block."""
-    blocks = max(1, math.ceil(points.count() / rows_per_block))
     cut = points.withColumn("_block", F.pmod(F.col("_tie"), F.lit(blocks)))
     counts = cut.groupBy("_node", "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("_node").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

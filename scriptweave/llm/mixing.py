@@ -8,7 +8,8 @@ of 2.3 times a source is two whole copies and a budget of 0.3; thresholds are ne
 budget only adds documents.
 
 Null texts have size 0. Documents without words fall under the same rule and take nothing. Repeated
-rows share a place and are taken together. A null source is one source. Other columns are carried along.
+rows share a place and are taken together. A null source is one source. Other columns are carried along; a
+result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ MOST_COPIES = 3
 BITS = 10
 ROUNDS = 4
 PLACE_BITS = BITS * ROUNDS
+_RESULTS = {"size", "source_size", "target", "copies", "taken"}
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,7 +111,7 @@ def mixed(
     ``keep`` names the columns to carry (default: all). The texts are read once for their sizes and
     once more only if they are carried. All joins are with one row per source.
     """
-    keep = documents.columns if keep is None else keep
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in _RESULTS]
     measured = [
         F.col(f"`{source}`").alias("source"),
         word_count(F.col(f"`{text}`")).alias("size"),
@@ -141,11 +143,11 @@ def mixed(
     )
 
 
-def repeated(documents: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it."""
-    columns = documents.columns
-    rows = mixed(documents, keep=columns, **options)
-    # Names that clash with the result's come by position.
-    rows = rows.toDF(*[f"_{i}" for i in range(len(columns))], "size", "source_size", "target", "copies", "taken")
+def repeated(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """The mixed documents themselves, all their columns: each row as often as the mix takes it."""
+    names = {c: f"in_{i}" for i, c in enumerate(documents.columns)}
+    rows = mixed(documents.toDF(*names.values()), names[key], names[text], names[source], **options)
     rows = rows.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
+    return rows.select(*names.values()).toDF(*documents.columns)

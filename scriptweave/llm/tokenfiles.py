@@ -168,6 +168,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+PART_BYTES = 256 << 20
 
 
 def write_tokens(
@@ -177,9 +178,15 @@ def write_tokens(
     """Encodes each whole text, adds the end id, and writes (doc_id, ids, n, part, row).
 
     Texts are put in ranges of the key and sorted before they are encoded: they are smaller than
-    their ids, and the sampling of the ranges does not encode anything. One part is one file.
+    their ids, and the sampling of the ranges does not encode anything. One part is one file. There are
+    ``partitions`` of them: by default as many as Spark's shuffles have, or more where a part would hold
+    over ``PART_BYTES`` of text.
     """
     rows = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    if partitions is None:
+        wanted = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+        if wanted > int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            partitions = wanted
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     kind = rows.schema["doc_id"].dataType

@@ -263,12 +263,36 @@ def test_licences(spark):
         "x" * 100_000 + " licensed " + "y. " * 1000, "LICENSED under CC BY-NC 4.0.\nReleased under the MIT license",
     ]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, licences string")
-    got = {r.doc_id: r.licences for r in licences.scanned(df, keep=["doc_id"]).collect()}
+    got = {r.doc_id: r.licences for r in licences.scanned(df).collect()}
     assert [got[i] for i in range(len(texts))] == ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "", "", "", "", "", "CC-BY-NC-4.0,MIT"]
-    assert all(any(s in licences.normal(t) for s in licences.STEMS) for t in licences.SENTENCES.values())
     assert licences.scanned(df.limit(0)).count() == 0
 
 
+def test_licence_rules_find_themselves(spark, tmp_path):
+    """Every known text and every rule, on one line and run over lines, and a rulebook of tables."""
+    rules = [(licence, " ".join(licences.SENTENCES[key] for key in rule)) for licence, rule in licences.RULES]
+    texts = [(f"{licence} {i} {t}", text) for i, (licence, x) in enumerate(rules) for t, text in enumerate((x, " ".join(x.split())))]
+    # a text of which no rule begins has a word of one here
+    texts += [(key, "Licensed. " + text) for key, text in licences.SENTENCES.items()]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    for r in licences.scanned(df).collect():
+        name = r.doc_id.split(" ")[0]
+        if name in licences.SENTENCES:
+            known = licences.BUILT_IN.identifiers()
+            assert {known[p] for p in licences.pieces(licences.SENTENCES[name])} == set(r.sentence_ids.split(","))
+        else:
+            assert r.licences == name
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"
+    gpl = " ".join(licences.SENTENCES[k] for k in ("gpl2-published", "gpl2-later"))
+    df = spark.createDataFrame([(1, notice), (2, "This program is free software; " + gpl)], "doc_id long, text string")
+    assert [r.licences for r in licences.scanned(df).orderBy("doc_id").collect()] == ["MPL-2.0", "GPL-2.0-or-later"]
+    spark.createDataFrame([("a", "Use it. As you like!"), ("b", "But ask.")], "id string, text string").write.json(str(tmp_path / "s"))
+    spark.createDataFrame([("Own", ["a", "b"])], "licence string, ids array<string>").write.json(str(tmp_path / "r"))
+    book = licences.read_rulebook(spark, str(tmp_path / "s"), str(tmp_path / "r"))
+    df = spark.createDataFrame([(1, "Use it. As you like! But ask."), (2, "Use it. But ask.")], "doc_id long, text string")
+    assert [r.licences for r in licences.scanned(df, rulebook=book).orderBy("doc_id").collect()] == ["Own", ""]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy now</div>
 <article><h1>A &amp; B</h1><p><b>First   line<br>goes on.<p>Second&nbsp;one is rather longer than the first.</p>
@@ -288,6 +312,37 @@ def test_main_text(spark):
         maintext.main_text(opening * 50_000)
 
 
+STORY = "<p>The first paragraph of a story that is told here at some length.</p><p>The second one goes on with it.</p>"
+TOLD = "The first paragraph of a story that is told here at some length.\nThe second one goes on with it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar"><nav>Home</nav><article>{STORY}</article></body>',
+        f'<html class="menu"><body class="sidebar"><article>{STORY}</article></body></html>',
+        f'<body><div class="content with-sidebar">{STORY}</div><div class="sidebar"><p>Other things</p></div></body>',
+        f'<body><div class="no-menu">{STORY}</div></body>',
+        f'<body><div class="header-wrap"><main>{STORY}</main></div><div class="ad">Buy</div></body>',
+        f'<body><div class="post-login">{STORY}</div></body>',
+        f'<body><article>{STORY}</article><div class="comments"><article><p>A reader says something as long as the story is, or even'
+        " longer than that, which is no part of it at all.</p></article></div></body>",
+    ]
+    + [f"<article><{x} src='y'>{STORY}</article>" for x in ("video", "object", "svg", "audio", "canvas", "iframe")],
+)
+def test_main_text_names_and_open_elements(page):
+    assert maintext.main_text(page) == TOLD
+
+
+def test_main_text_parts():
+    assert maintext.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p></article>") == "Let x=1 be so."
+    steps = "<ul><li>Flour</li><li>Two eggs</li><li>Milk</li></ul>"
+    told = maintext.main_text(f"<body><div>{STORY}{steps}{STORY}</div></body>")
+    assert told == f"{TOLD}\nFlour\nTwo eggs\nMilk\n{TOLD}"
+    for opening in ("<video>", '<div class="ad">', '<div class="ad"><article>'):
+        maintext.main_text(opening * 50_000)
+
+
 def test_minimum_cut():
     import itertools
 
@@ -340,7 +395,8 @@ def test_mixing(spark):
     rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "b", "b", "ö", "z", None]), "k") for i in range(3000)]
     rows += [(5000, None, "q", "k"), (5001, "", "a", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
-    got = mixing.mixed(df, keep=["doc_id", "source"]).collect()
+    got = mixing.mixed(df).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"}
     sizes = {}
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
@@ -361,7 +417,8 @@ def test_mixing(spark):
         assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 60 for s in order)
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(df.repartition(7), keep=["doc_id", "source"]).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(df.repartition(7)).collect()))
+    assert mixing.repeated(df).columns == df.columns and mixing.repeated(df).agg(F.max("size")).first()[0] == "k"
     assert mixing.repeated(df).agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] == sum(taken.values())
     assert mixing.mixed(df.limit(0)).count() == 0
 
@@ -388,6 +445,8 @@ def test_kd_shards_are_even(spark):
     rows = [(i, "x" * rng.randint(1, 400), "en", "hot" if i % 3 == 0 else f"s{i % 11}") for i in range(4000)]
     rows += [(10_000 + i, "same", "en", "hot") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = kdshards.kd_shards(df.withColumns({"shard": F.lit("x"), "Slot": F.lit("y")}), 5)
+    assert clash.columns == ["doc_id", "text", "lang", "source", "size", "shard", "slot"] and clash.agg(F.max("shard")).first()[0] == 4
     sums = [r[1] for r in kdshards.kd_shards(df, 24).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) <= 2 * 408
     again = kdshards.kd_shards(df, target_bytes=sum(sums) / 24).agg(F.max("shard")).first()[0]
