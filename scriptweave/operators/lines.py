@@ -49,6 +49,10 @@ def scene_number(lines: DataFrame, order: list[str] = ["line_no"], ranges: int |
     return with_running_totals(lines, ["id", *order], {"scene": (["id"], marker)}, ranges)
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+
+
 def _page_texts(raw: DataFrame, newline: str, min_paragraphs: int) -> DataFrame:
     """Per page its cleaned texts and the places of those that begin a scene. Each page is parsed once."""
     pages = raw.select(
@@ -56,7 +60,7 @@ def _page_texts(raw: DataFrame, newline: str, min_paragraphs: int) -> DataFrame:
         X.id_from_name(F.col("file")).alias("id"),
         H.title(F.col("html")).alias("title"),
         H.paragraph_bodies(F.col("html")).alias("texts"),
-        F.md5(F.col("html").cast("binary")).alias("digest"),
+        _digest().alias("digest"),
     ).withColumn("season", X.season_of(F.col("id")))
 
     def cleaned(paragraph: Column) -> Column:
@@ -121,14 +125,57 @@ def lines_from_pages(
     name are ordered by their content. Pages have a number of their own, so a repeated name or
     page multiplies nothing.
     """
+    pages, narrow = _kept_pages(raw, newline, min_paragraphs)
+    before = _before(narrow).select("page", "before_lines", "before_scenes")
+    return _lines_of(pages.join(before, "page").drop("page", "digest"), keep_rest, aliases)
+
+
+def _kept_pages(raw: DataFrame, newline: str, min_paragraphs: int) -> tuple[DataFrame, DataFrame]:
+    """The parsed pages on storage, and a narrow row for each with its numbers of texts and scenes."""
     pages = _page_texts(raw, newline, min_paragraphs).withColumn("page", F.monotonically_increasing_id())
     pages = durable(pages, "pages")
     sizes = {"n_lines": F.size("texts").cast("long"), "n_scenes": F.size("starts").cast("long")}
-    narrow = pages.select("page", "id", "source_file", "digest", *[c.alias(n) for n, c in sizes.items()])
+    return pages, pages.select("page", "id", "source_file", "digest", *[c.alias(n) for n, c in sizes.items()])
+
+
+def _before(narrow: DataFrame) -> DataFrame:
+    """Adds the texts and scenes of the id's pages before each page."""
     order = [F.col(c) for c in ("id", "source_file", "digest", "page")]
     totals = {"before_lines": (["id"], "n_lines"), "before_scenes": (["id"], "n_scenes")}
-    before = preceding_totals(narrow, order, totals).select("page", "before_lines", "before_scenes")
-    return _lines_of(pages.join(before, "page").drop("page", "digest"), keep_rest, aliases)
+    return preceding_totals(narrow, order, totals)
+
+
+def lines_of_new_pages(
+    raw: DataFrame,
+    known: DataFrame | None = None,
+    aliases: DataFrame | None = None,
+    newline: str = "space",
+    min_paragraphs: int = K.MIN_PARAGRAPHS,
+    keep_rest: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The lines of those pages of ``raw(file, html)`` that are not known yet, and what is known then: (lines, known).
+
+    ``known`` is what an earlier call gave, to be kept beside the table of lines: a narrow row for each page with
+    its id, name, digest and numbers of texts and scenes. A page of a known name and content is passed over, neither
+    parsed nor kept again, so ``raw`` may be the whole folder. New pages of an id are in order by name, and numbered on
+    behind all its known pages, whatever the names of those. A page whose content has changed is a new page; its
+    old lines stay where they are.
+    """
+    if known is not None:
+        key = ["file", "digest"]
+        found = raw.select("file", _digest().alias("digest")).distinct()
+        fresh = found.join(known.select(F.col("source_file").alias("file"), "digest"), key, "left_anti")
+        raw = raw.withColumn("digest", _digest()).join(durable(fresh, "fresh"), key, "left_semi").drop("digest")
+    pages, narrow = _kept_pages(raw, newline, min_paragraphs)
+    before = _before(narrow)
+    if known is not None:
+        held = known.groupBy(F.col("id").alias("_id")).agg(F.sum("n_lines").alias("_lines"), F.sum("n_scenes").alias("_scenes"))
+        before = before.join(held, F.col("id").eqNullSafe(F.col("_id")), "left")
+        for name, more in (("before_lines", "_lines"), ("before_scenes", "_scenes")):
+            before = before.withColumn(name, F.col(name) + F.coalesce(more, F.lit(0)))
+    lines = _lines_of(pages.join(before.select("page", "before_lines", "before_scenes"), "page").drop("page", "digest"), keep_rest, aliases)
+    narrow = durable(narrow.drop("page"), "known")
+    return lines, narrow if known is None else known.select(*narrow.columns).unionByName(narrow)
 
 
 def split_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:

@@ -105,6 +105,17 @@ def page_lines_shared(spark, sf):
     return lines.select("source_file", "id", "season", "title", "line_no", "type", "person", "line", "scene")
 
 
+@query
+def page_lines_added(spark, sf):
+    """The lines of page_lines_shared, files of parts "b" added later: the second call gets all files."""
+    raw = I.talk_pages(spark, sf).drop("conv_id")
+    aliases = dims.literal_table(spark, I.TALK_ALIASES, dims.ALIASES)
+    lines, known = L.lines_of_new_pages(raw.filter(~F.col("file").endswith("b.html")), None, aliases, min_paragraphs=3)
+    added, _ = L.lines_of_new_pages(raw, known, aliases, min_paragraphs=3)
+    lines = lines.unionByName(added)
+    return lines.select("source_file", "id", "season", "title", "line_no", "type", "person", "line", "scene")
+
+
 @query
 def page_line_numbers(spark, sf):
     lines = I.talk_lines(spark, sf).select("id", "season", "person", "type", "line_no")

@@ -204,6 +204,11 @@ _TALK_LINES = _with(
         LEFT JOIN aliases a ON r.person = a.alias)""",
     f"talk AS (SELECT * FROM named WHERE type = 'person' AND person IN {_in(I.TALK_MAIN)})",
 ).rstrip()
+_SHARED = (
+    _TALK_LINES
+    + """ SELECT *, CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY line_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene FROM named"""
+)
 
 
 # -- event transcript --------------------------------------------------------------------
@@ -428,9 +433,8 @@ ORACLE: dict[str, str] = {
         CAST(count(CASE WHEN r.type = 'scene' THEN 1 END) OVER (PARTITION BY r.id ORDER BY r.line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene
         FROM page_rows r JOIN titles t ON r.page_id = t.page_id""",
-    "page_lines_shared": _TALK_LINES
-    + """ SELECT *, CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY line_no
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS scene FROM named""",
+    "page_lines_shared": _SHARED,
+    "page_lines_added": _SHARED,
     "page_line_numbers": _TALK_LINES
     + """ SELECT id, season, person, line_no, row_number() OVER (PARTITION BY person ORDER BY id, line_no) AS total_line,
         row_number() OVER (PARTITION BY season, person ORDER BY id, line_no) AS season_line,

@@ -198,6 +198,25 @@ def test_line_numbers_of_an_id_with_several_files(spark):
     assert [(r.n_lines, r.n_token_lines) for r in recon] == [(6, 6)]
 
 
+def test_lines_of_new_pages(spark):
+    """Files that come later, in three steps, against all at once."""
+    page = "<title>T</title><p>[Scene: {0}]</p><p><b>Mia:</b> {0}.</p><p> </p><p><b>Tom:</b> Yes.</p><p>[Scene: x]</p><p>(goes)</p>"
+    files = [(f"{n}{part}.html", page.format(f"{n}{part}{i}")) for part in "abc" for n in ("0101", "0102", "0203") for i in range(2)]
+    files += [("0101c.html", files[-1][1]), ("0101c.html", files[-1][1]), ("0304.html", ""), ("0304b.html", None)]
+    whole = L.lines_from_pages(raw(spark, *files), min_paragraphs=0)
+    known, steps = None, []
+    for part in "abc":
+        df = raw(spark, *[f for f in files if f[0][4] <= part])  # those of earlier steps are passed over
+        lines, known = L.lines_of_new_pages(df, known, min_paragraphs=0)
+        steps.append(lines)
+    assert sorted(map(str, L.union_sources(*steps).select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert min(r.line_no for r in steps[1].filter("id = '0101'").collect()) == known.filter("source_file = '0101a.html'").agg(F.sum("n_lines")).first()[0] + 1
+    none, still = L.lines_of_new_pages(raw(spark, *files), known, min_paragraphs=0)
+    assert none.count() == 0 and still.count() == known.count() == len(files)
+    changed, more = L.lines_of_new_pages(raw(spark, ("0102a.html", page.format("new"))), known, min_paragraphs=0)
+    assert changed.count() == 5 and changed.agg(F.min("scene")).first()[0] == 13 and more.count() == len(files) + 1
+
+
 def test_title_keeps_its_form(spark):
     df = raw(spark, ("a", "<TITLE>\n A &amp; B \n</title>"), ("b", "<p>x</p>")).select(H.title(F.col("html")).alias("t"))
     assert sorted((r.t for r in df.collect()), key=str) == ["\n A & B \n", None]
