@@ -229,9 +229,9 @@ def oracle() -> str:
             sides.append(f"({test})")
         tests.append(f"CASE WHEN {' OR '.join(sides)} THEN '{licence}' END")
     return f"""
-        WITH t AS (SELECT doc_id, CASE WHEN some THEN {sequence(STOP + LINE)} ELSE [] END AS a,
-            CASE WHEN some THEN {sequence(STOP + PARAGRAPH)} ELSE [] END AS b
-            FROM (SELECT *, regexp_matches(text, '(?i){'|'.join(BUILT_IN.stems())}') AS some FROM documents)),
+        WITH t AS (SELECT doc_id, CASE WHEN worded THEN {sequence(STOP + LINE)} ELSE [] END AS a,
+            CASE WHEN worded THEN {sequence(STOP + PARAGRAPH)} ELSE [] END AS b
+            FROM (SELECT *, regexp_matches(text, '(?i){'|'.join(BUILT_IN.stems())}') AS worded FROM documents)),
         s AS (SELECT *, ',' || array_to_string(a, ',') || ',' AS as_, ',' || array_to_string(b, ',') || ',' AS bs FROM t)
         SELECT doc_id,
             array_to_string(list_concat(a, list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))), ',') AS sentence_ids,
