@@ -118,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # SQL where it can express a query.
 ORACLE: dict[str, str] = {
+    "op4_decontamination": decontamination.oracle(),
     "op6_licences": licences.oracle(),
     "op11_repeats": repeats.oracle(),
     "op12_ranked_search": ranked.oracle(),
