@@ -103,6 +103,34 @@ def with_running_totals(
     return rows.withColumns(added).drop("_key", "_nth", *values.values())
 
 
+def bucketed_totals(lines: DataFrame, totals: dict[str, tuple[list[str], Column]]) -> DataFrame:
+    """Running totals by (id, line_no) of a table bucketed by (id, part), parts being ranges of line numbers.
+
+    No line is moved: a block, one part of an id, lies in one bucket, where its lines are numbered and added up. Only
+    the blocks' sums, one row per block and group, are put in order, and each block is joined with what its groups begin
+    with, a list no longer than the block. Rows that share a line number are ordered by a hash of all their columns;
+    rows without an id or a line number are counted nowhere and get nulls.
+    """
+    block = ["id", "part"]
+    counted = F.col("id").isNotNull() & F.col("line_no").isNotNull()
+    rows, starts = lines.withColumn("_tie", F.xxhash64(*lines.columns)), None
+    for i, (group, value) in enumerate(totals.values()):
+        rows = rows.withColumn(f"_value{i}", F.when(counted, F.coalesce(value, F.lit(0))).otherwise(0))
+        others = [c for c in group if c not in block]
+        sums = rows.filter(counted).groupBy(*block, *others).agg(F.sum(f"_value{i}").alias("_sum"))
+        before = preceding_totals(sums, [F.col(c) for c in [*block, *others]], {"_start": (group, "_sum")})
+        entry = F.struct(F.struct(F.lit(0).alias("of"), *others).alias("key"), F.col("_start").alias("value"))
+        found = before.groupBy(*block).agg(F.map_from_entries(F.collect_list(entry)).alias(f"_starts{i}"))
+        starts = found if starts is None else starts.join(found, block)
+        inside = W.partitionBy(*block, *others).orderBy("line_no", "_tie").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn(f"_within{i}", F.sum(f"_value{i}").over(inside))
+    rows = rows.join(starts, block, "left")
+    for i, (name, (group, _)) in enumerate(totals.items()):
+        key = F.struct(F.lit(0).alias("of"), *[c for c in group if c not in block])
+        rows = rows.withColumn(name, (F.col(f"_starts{i}")[key] + F.col(f"_within{i}")).cast("long"))
+    return rows.drop("_tie", *[f"_{kind}{i}" for i in range(len(totals)) for kind in ("value", "starts", "within")])
+
+
 def ordinals(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the place of a column's value among its distinct values in order, from 1; NULL first."""
     distinct = df.select(F.col(column).alias("_item"), F.lit(1).alias("_one")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.segments import MAX_WORDS, Trie, segmenter
-from .numbering import with_running_totals
+from .numbering import bucketed_totals, with_running_totals
 from .steps import exploded
 
 # running line numbers by what they count within
@@ -29,6 +29,14 @@ def number_lines(lines: DataFrame, order: list[str] = ["line_no"], ranges: int |
     return with_running_totals(lines, ["id", *order], totals, ranges)
 
 
+def numbers_in_buckets(lines: DataFrame) -> DataFrame:
+    """Scene and running line numbers, by id and line number, of a table of ``write_bucketed``: the lines stay where
+    they lie. Lines without an id or a line number are counted nowhere and have none."""
+    marker = F.when(F.col("type") == "scene", 1).otherwise(0)
+    totals = {"scene": (["id"], marker)} | {n: (group, F.lit(1)) for n, group in NUMBERS.items()}
+    return bucketed_totals(lines.drop(*totals), totals)
+
+
 def tokenize(lines: DataFrame) -> DataFrame:
     """One row per word, numbered from 1 in its line, apostrophes removed. A narrow step."""
     keep = [c for c in lines.columns if c not in ("line", "title")]

@@ -238,6 +238,13 @@ def lines_roundtrip_bad(spark, sf):
     return M.count_by(good.select(F.lit(True).alias("good"), "type").unionAll(rejected), "good", "type")
 
 
+@query
+def numbers_from_buckets(spark, sf):
+    """Scene and line numbers by id and line number, from a bucketed table."""
+    table = lines_io.write_bucketed(I.event_lines(spark, sf), buckets=64)
+    return W.numbers_in_buckets(spark.table(table)).select("id", "season", "person", "line_no", "scene", *W.NUMBERS)
+
+
 # -- scenes and lines --------------------------------------------------------------------
 
 

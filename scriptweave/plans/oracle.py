@@ -471,6 +471,12 @@ ORACLE: dict[str, str] = {
         SELECT CAST(conv_id AS VARCHAR), NULL, role, turn, text, NULL FROM conversations""",
     "lines_roundtrip": SCENES + "SELECT season, type, person, count(*) AS n FROM scenes GROUP BY season, type, person",
     "lines_roundtrip_csv": SCENES + "SELECT season, type, person, count(*) AS n FROM scenes GROUP BY season, type, person",
+    "numbers_from_buckets": EVENTS
+    + """SELECT id, season, person, line_no,
+        CAST(count(CASE WHEN type = 'scene' THEN 1 END) OVER (PARTITION BY id ORDER BY line_no) AS BIGINT) AS scene,
+        row_number() OVER (PARTITION BY person ORDER BY id, line_no) AS total_line,
+        row_number() OVER (PARTITION BY season, person ORDER BY id, line_no) AS season_line,
+        row_number() OVER (PARTITION BY id, person ORDER BY line_no) AS episode_line FROM lines""",
     "scene_number": SCENES + "SELECT id, line_no, type, scene FROM scenes",
     "scenes_per_episode": SCENES + "SELECT id, max(scene) AS max_scene FROM scenes GROUP BY id",
     "avg_scenes": SCENES

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.durable import durable
+from ..operators.durable import durable, new_path
 
 LINES = T.StructType(
     [
@@ -46,6 +48,24 @@ def read_lines(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return reader.load(path).select(*names).withColumn("line", F.nullif(F.col("line"), F.lit("")))
 
 
+# Lines of an id that lie in one bucket, by line number: an id of any length is spread over buckets.
+PART_LINES = 4096
+
+
+def write_bucketed(lines: DataFrame, buckets: int, table: str | None = None, path: str | None = None, part_lines: int = PART_LINES) -> str:
+    """Write lines as a table bucketed by (id, part) and sorted by line number, one file a bucket; returns its name.
+
+    ``part`` is the line number divided by ``part_lines``, so a bucket never has to take a whole long id. What reads the
+    table by id and part moves no line. A name and a path in the shared folder are made where none is given.
+    """
+    table = table or f"lines_{uuid.uuid4().hex}"
+    part = F.floor(F.col("line_no") / part_lines).cast("long")
+    rows = lines.withColumn("part", part).repartition(buckets, "id", "part")
+    writer = rows.write.bucketBy(buckets, "id", "part").sortBy("id", "part", "line_no")
+    writer.option("path", path or new_path(lines.sparkSession, "buckets")).saveAsTable(table)
+    return table
+
+
 BAD = "bad_row"
 
 

@@ -8,6 +8,7 @@ from scriptweave.operators.lines import scene_number
 from scriptweave.operators.numbering import (
     _range_partitioned, ordinals, preceding_totals, running_totals, with_running_totals,
 )
+from scriptweave.sources.lines import write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,46 @@ def test_preceding_totals_of_all_rows(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), F.lit(1).alias("one"))
     got = preceding_totals(df, [F.desc("k")], {"before": ([], "one")})
     assert got.filter("before <> 499 - k").count() == 0
+
+
+@pytest.mark.parametrize("part_lines", [64, 5000])
+def test_bucketed_numbers(spark, lines, part_lines):
+    """Long ids in many parts and in one, people and seasons that are null, rows without an id or a number."""
+    person = F.when(F.col("line_no") % 50 != 0, F.col("person"))
+    season = F.when(F.col("line_no") % 70 != 0, F.col("season"))
+    odd = spark.createDataFrame([(None, 5, "mia"), ("hot", None, "mia")], "id string, line_no long, person string")
+    rows = lines.withColumns({"person": person, "season": season}).unionByName(odd, allowMissingColumns=True)
+    table = write_bucketed(rows, 8, part_lines=part_lines)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Words.numbers_in_buckets(spark.table(table))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # the join's left side is the table, which moves nowhere
+        assert "Exchange" not in plan[: plan.index("FileScan")] and "Bucketed: true" in plan
+        got = got.cache()
+        assert got.count() == 3002
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
+    numbers = ["scene", *Words.NUMBERS]
+    none = got.filter("id is null or line_no is null")
+    assert none.count() == 2 and none.filter(" and ".join(f"{n} is null" for n in numbers)).count() == 2
+    plain = got.filter("id is not null and line_no is not null")
+    for name, group in Words.NUMBERS.items():
+        plain = plain.withColumn(f"w_{name}", F.row_number().over(W.partitionBy(*group).orderBy("id", "line_no")))
+    scenes = F.count(F.when(F.col("type") == "scene", 1)).over(W.partitionBy("id").orderBy("line_no"))
+    plain = plain.withColumn("w_scene", scenes)
+    assert plain.count() == 3000 and plain.filter(" and ".join(f"{n} = w_{n}" for n in numbers)).count() == 3000
+
+
+def test_bucketed_numbers_repeated(spark):
+    """Repeated line numbers, equal rows among them, are numbered one after the other; an empty table has none."""
+    rows = spark.createDataFrame([("a", 1, "mia", "scene", "s")] * 3 + [("a", 1, "mia", None, "s"), ("a", 2, "mia", None, "s")],
+                                 "id string, line_no long, person string, type string, season string")
+    table = write_bucketed(rows, 2)
+    got = Words.numbers_in_buckets(spark.table(table)).collect()
+    assert sorted(r.total_line for r in got) == [1, 2, 3, 4, 5] and max(r.scene for r in got) == 3
+    empty = write_bucketed(rows.limit(0), 2)
+    assert Words.numbers_in_buckets(spark.table(empty)).count() == 0
+    for name in (table, empty):
+        spark.sql(f"DROP TABLE {name}")
