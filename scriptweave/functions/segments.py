@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 MAX_WORDS = 1_000_000
+# A list of at most so many letters becomes one pattern.
+PATTERN_LETTERS = 20_000
 _END = ""
 
 
@@ -78,10 +80,48 @@ def segments(stretch: str, trie: Trie) -> Iterator[str]:
 
 
 def segmenter(trie: Trie):
-    """Column function: the words of an array of stretches; null stays null."""
+    """Column function: the words of a text of stretches, blanks between them; null stays null."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def words(parted: pd.Series) -> pd.Series:
-        return parted.map(lambda found: None if found is None else [w for x in found for w in segments(x, trie)])
+    @F.pandas_udf(T.StringType())
+    def words(stretched: pd.Series) -> pd.Series:
+        return stretched.map(lambda text: None if text is None else " ".join(w for x in text.split(" ") for w in segments(x, trie)))
 
     return words
+
+
+def _code(letter: str) -> str:
+    return rf"\x{{{ord(letter):X}}}"
+
+
+def _choice(branches: list[tuple[str, str]]) -> str:
+    """One of some patterns (first letter, pattern) by rising first letters: halved until few are left to try."""
+    if len(branches) <= 8:
+        return "|".join(pattern for _, pattern in branches)
+    half = len(branches) // 2
+    guard = f"[{_code(branches[0][0])}-{_code(branches[half - 1][0])}]"
+    return f"(?={guard})(?:{_choice(branches[:half])})|{_choice(branches[half:])}"
+
+
+def _below(node: dict) -> str:
+    """Pattern of what may follow a node, the longest first; letters without a choice nest no group."""
+    branches = []
+    for letter in sorted(x for x in node if x != _END):
+        run, child = _code(letter), node[letter]
+        while len(child) == 1 and _END not in child:
+            (following, child), = child.items()
+            run += _code(following)
+        branches.append((letter, run + _below(child)))
+    if not branches:
+        return ""
+    return f"(?:{_choice(branches)}){'?' if _END in node else ''}"
+
+
+def word_pattern(trie: Trie) -> str:
+    """Pattern, for the JVM, of the words of a text of stretches with blanks between them: what ``segmenter`` finds."""
+    kana = "\\x{30A1}-\\x{30FA}\\x{30FC}-\\x{30FF}\\x{31F0}-\\x{31FF}\\x{FF66}-\\x{FF9D}"
+    unspaced = kana + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _RANGES)
+    listed = _below(trie.root)
+    word, no_word = (rf"{listed}(?!\p{{M}})|", rf"(?!{listed}(?!\p{{M}}))") if listed else ("", "")
+    # possessive, so that a long run takes no depth
+    run = rf"[{kana}](?:{no_word}[{kana}])*+\p{{M}}*"
+    return rf"(?<![^ ])[^ {unspaced}][^ ]*|{word}{run}|[^ ]\p{{M}}*"

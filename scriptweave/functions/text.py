@@ -91,10 +91,17 @@ def season_of(id_: Column) -> Column:
     return F.substring(id_, 1, 2)
 
 
+def _spaced(line: Column) -> Column:
+    return F.regexp_replace(F.lower(line), SEPARATOR, " ")
+
+
+def parted(spaced: Column) -> Column:
+    return F.array_remove(F.split(spaced, " "), "")
+
+
 def tokens(line: Column) -> Column:
     """Lower-case words of a line. A NULL line gives one NULL word, a line without words none."""
-    spaced = F.regexp_replace(F.lower(line), SEPARATOR, " ")
-    words = F.array_remove(F.split(spaced, " "), "")
+    words = parted(_spaced(line))
     return F.when(line.isNull(), F.array(F.lit(None).cast("string"))).otherwise(words)
 
 
@@ -107,7 +114,6 @@ def has_unspaced(line: Column) -> Column:
     return line.rlike(UNSPACED)
 
 
-def stretches(line: Column) -> Column:
-    """The words of a line, parted where a script without blanks begins or ends."""
-    piece = rf"[{_UNSPACED}][{_UNSPACED}\p{{M}}]*|[^{_UNSPACED}]+"
-    return F.flatten(F.transform(tokens(line), lambda w: F.regexp_extract_all(w, F.lit(piece), 0)))
+def stretched(line: Column) -> Column:
+    """The words of a line with blanks between them, parted where a script without blanks begins or ends."""
+    return F.regexp_replace(_spaced(line), rf"{UNSPACED}[{_UNSPACED}\p{{M}}]*", " $0 ")

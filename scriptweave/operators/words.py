@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.segments import MAX_WORDS, Trie, segmenter
+from ..functions.segments import MAX_WORDS, PATTERN_LETTERS, Trie, segmenter, word_pattern
 from .numbering import bucketed_totals, with_running_totals
 from .steps import exploded
 
@@ -48,7 +48,8 @@ def tokenize_scripts(lines: DataFrame, word_list: DataFrame | None = None, colum
     """``tokenize`` for texts in scripts without blanks too: there the longest word of the list that begins
     at a letter is one, else a Katakana run, else the letter with its marks.
 
-    Lines without such scripts stay on the JVM side. The list is sent to all tasks; ``MAX_WORDS`` bounds it, and
+    A list of at most ``PATTERN_LETTERS`` letters becomes a pattern, and all lines stay on the JVM side; with a longer
+    one, lines in such scripts go to a trie in Python. The list is sent to all tasks; ``MAX_WORDS`` bounds it, and
     a longer one is refused. Null and empty entries are left out.
     """
     listed: list[str] = []
@@ -58,9 +59,15 @@ def tokenize_scripts(lines: DataFrame, word_list: DataFrame | None = None, colum
         if len(listed) > MAX_WORDS:
             raise ValueError(f"a word list of more than {MAX_WORDS} words")
     keep = [c for c in lines.columns if c not in ("line", "title")]
-    parted = F.when(X.has_unspaced(F.col("line")), X.stretches(F.col("line")))
-    rows = lines.select("*", segmenter(Trie(listed))(parted).alias("_parted"))
-    words = exploded(rows, F.coalesce("_parted", X.tokens(F.col("line"))), "word", "word_no", keep)
+    line = F.col("line")
+    # words with a blank can stand in no stretch
+    trie = Trie(w for w in listed if " " not in w)
+    if sum(map(len, listed)) <= PATTERN_LETTERS:
+        found = F.when(X.has_unspaced(line), F.regexp_extract_all(X.stretched(line), F.lit(word_pattern(trie)), F.lit(0)))
+    else:
+        lines = lines.select("*", segmenter(trie)(F.when(X.has_unspaced(line), X.stretched(line))).alias("_words"))
+        found = X.parted(F.col("_words"))
+    words = exploded(lines, F.coalesce(found, X.tokens(line)), "word", "word_no", keep)
     return words.withColumn("word", F.translate("word", "'", ""))
 
 

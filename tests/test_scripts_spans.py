@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptweave.functions import html as H
-from scriptweave.functions.segments import is_katakana, is_mark, is_unspaced
+from scriptweave.functions import html as H, text as X
+from scriptweave.functions.segments import Trie, is_katakana, is_mark, is_unspaced, segments
 from scriptweave.operators import lines as L, measures as M, pairs, quantiles, words as W
 from scriptweave.operators.trend import trend_span
 from scriptweave.sources import lines as lines_io
@@ -68,6 +68,30 @@ def test_scripts(spark):
     assert [r.word for r in alone] == ["日", "本", "語"]
 
 
+@pytest.mark.parametrize("letters_of_a_pattern", [20_000, 0])
+def test_scripts_by_pattern_and_by_trie(spark, monkeypatch, letters_of_a_pattern):
+    """Rare letters, long runs, many words of one beginning, words that begin others: both ways as letter by letter."""
+    monkeypatch.setattr(W, "PATTERN_LETTERS", letters_of_a_pattern)
+    rng = random.Random(9)
+    letters = list("日本語ひカー") + [chr(0x4E00 + k) for k in range(40)] + ["\U00020000", "กิ", "\u3099", "ก", "〆", "ｰ", "ｶ", "\U00016FE3", "a", "é", "b1"]
+    listed = {"".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(400)} | {"日" * k for k in (1, 2, 30)} | {"a b", "カ 日", "(.*", "\\"}
+    texts = ["".join(rng.choice([*letters, *listed, " ", "."]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ["カ" * 50_000 + "本", "日" * 50_000, "〆abc", "〆abc日", "X日\u0301\u0301", None]
+    lines = spark.createDataFrame(list(enumerate(texts)), "k int, line string")
+    words = spark.createDataFrame([(w,) for w in listed], "word string")
+    rows = W.tokenize_scripts(lines, words)
+    assert ("ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()) == (letters_of_a_pattern == 0)
+    found = {}
+    for r in rows.orderBy("k", "word_no").collect():
+        found.setdefault(r.k, []).append(r.word)
+    unspaced, trie = X.has_unspaced(F.col("line")), Trie(listed)
+    piece = rf"{X.UNSPACED}[{X.UNSPACED[1:-1]}\p{{M}}]*|[^{X.UNSPACED[1:-1]}]+"
+    parts = F.transform(X.tokens(F.col("line")), lambda w: F.regexp_extract_all(w, F.lit(piece), F.lit(0)))
+    for r in lines.select("k", unspaced.alias("has"), X.tokens(F.col("line")).alias("tokens"), F.flatten(parts).alias("parts")).collect():
+        wanted = [w for x in r.parts for w in segments(x, trie)] if r.has else r.tokens
+        assert found.get(r.k, []) == wanted, texts[r.k]
+
+
 def test_word_list_has_a_bound(spark, monkeypatch):
     monkeypatch.setattr(W, "MAX_WORDS", 2)
     words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
