@@ -124,4 +124,5 @@ def word_pattern(trie: Trie) -> str:
     word, no_word = (rf"{listed}(?!\p{{M}})|", rf"(?!{listed}(?!\p{{M}}))") if listed else ("", "")
     # possessive, so that a long run takes no depth
     run = rf"[{kana}](?:{no_word}[{kana}])*+\p{{M}}*"
-    return rf"(?<![^ ])[^ {unspaced}][^ ]*|{word}{run}|[^ ]\p{{M}}*"
+    # at a blank only the first look is taken
+    return rf"(?! )(?:(?<![^ ])[^ {unspaced}][^ ]*|{word}{run}|[^ ]\p{{M}}*)"

@@ -107,7 +107,9 @@ def tokens(line: Column) -> Column:
 
 # Scripts that are written without blanks between words.
 _UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "ー"
-UNSPACED = f"[{_UNSPACED}]"
+# The range first: looking up a letter's script is slow.
+UNSPACED = rf"[\x{{E00}}-\x{{10FFFF}}&&[{_UNSPACED}]]"
+_UNSPACED_OR_MARK = rf"[\x{{300}}-\x{{10FFFF}}&&[{_UNSPACED}\p{{M}}]]"
 
 
 def has_unspaced(line: Column) -> Column:
@@ -116,4 +118,4 @@ def has_unspaced(line: Column) -> Column:
 
 def stretched(line: Column) -> Column:
     """The words of a line with blanks between them, parted where a script without blanks begins or ends."""
-    return F.regexp_replace(_spaced(line), rf"{UNSPACED}[{_UNSPACED}\p{{M}}]*", " $0 ")
+    return F.regexp_replace(_spaced(line), f"{UNSPACED}{_UNSPACED_OR_MARK}*", " $0 ")

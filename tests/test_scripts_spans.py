@@ -84,8 +84,8 @@ def test_scripts_by_pattern_and_by_trie(spark, monkeypatch, letters_of_a_pattern
     found = {}
     for r in rows.orderBy("k", "word_no").collect():
         found.setdefault(r.k, []).append(r.word)
-    unspaced, trie = X.has_unspaced(F.col("line")), Trie(listed)
-    piece = rf"{X.UNSPACED}[{X.UNSPACED[1:-1]}\p{{M}}]*|[^{X.UNSPACED[1:-1]}]+"
+    unspaced, trie = F.col("line").rlike(f"[{X._UNSPACED}]"), Trie(listed)
+    piece = rf"[{X._UNSPACED}][{X._UNSPACED}\p{{M}}]*|[^{X._UNSPACED}]+"
     parts = F.transform(X.tokens(F.col("line")), lambda w: F.regexp_extract_all(w, F.lit(piece), F.lit(0)))
     for r in lines.select("k", unspaced.alias("has"), X.tokens(F.col("line")).alias("tokens"), F.flatten(parts).alias("parts")).collect():
         wanted = [w for x in r.parts for w in segments(x, trie)] if r.has else r.tokens
