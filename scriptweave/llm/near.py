@@ -27,6 +27,8 @@ from .memory import released
 # A block of the full comparison: at most about so many classes and shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 _VOCABULARY = 4096
+# Codes of bands sorted at once, and those that a task keeps until it deals them out.
+PART_CODES, HELD_CODES = 1 << 18, 1 << 20
 
 # Bits of a membership filter: some sixteen for each value, so that few others pass, and at most 2^30 (128 MB).
 # Beyond a hundred million values it lets more pass; the exact join behind it decides either way.
@@ -34,6 +36,8 @@ LEAST_BITS, MOST_BITS = 16, 30
 
 #: Codes (sorted and distinct in each text) of some texts, and their bounds by text.
 Shingler = Callable[[bytewords.Texts], tuple[np.ndarray, np.ndarray]]
+#: Codes (sorted and distinct) of each value of a column of sets.
+Unpacker = Callable[[pa.Array], list[np.ndarray]]
 #: Registers (texts x places) of code sets.
 Signer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Whether pairs (registers a, registers b, sizes a, sizes b) may reach the percentage.
@@ -107,23 +111,75 @@ def signatures(items: DataFrame, shingler: Shingler, signer: Signer, size: int =
     return items.select(*carried, "text").mapInArrow(rows, f"{schema}, registers binary")
 
 
+def _band_codes(batch: pa.RecordBatch, bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code of every band of every class (id, registers), and the classes' ids."""
+    registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+    code = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, 1))
+    for k in range(per_band):
+        code = bytewords.mix(code * np.uint64(31) + registers[:, k : bands * per_band : per_band].astype(np.uint64))
+    return code.ravel(), np.repeat(batch.column("id").to_numpy(), bands)
+
+
 def _banded(classes: DataFrame, bands: int, per_band: int) -> DataFrame:
     """(bucket, id) for every band of every class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            code = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, 1))
-            for k in range(per_band):
-                code = bytewords.mix(code * np.uint64(31) + registers[:, k : bands * per_band : per_band].astype(np.uint64))
-            ids = np.repeat(batch.column("id").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+            code, ids = _band_codes(batch, bands, per_band)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(ids)], names=["bucket", "id"])
 
     return classes.select("id", "registers").mapInArrow(rows, "bucket long, id long")
 
 
+def packed_buckets(classes: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """(bucket, id, members) of the buckets that several of the classes (id, registers) share.
+
+    For many small classes: codes are dealt out by value as packed arrays, twelve bytes for a band, and sorted
+    part by part. A part has some ``PART_CODES`` codes, of which 32 bits are kept; where those of two bands meet
+    by chance, they share a bucket.
+    """
+    parts = max(1, -(-classes.count() * bands // PART_CODES))
+
+    def dealt(codes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        code, owner = np.concatenate(codes), np.concatenate(ids)
+        part = (code >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        code, owner, part = code[order].astype(np.uint32), owner[order], part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = [*starts[1:], len(part)]
+        packed = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (code, owner)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), *packed], names=["part", "codes", "ids"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, ids, held = [], [], 0
+        for batch in released(batches):
+            if batch.num_rows:
+                code, owner = _band_codes(batch, bands, per_band)
+                codes, ids, held = [*codes, code], [*ids, owner], held + len(code)
+            if held >= HELD_CODES:
+                yield dealt(codes, ids)
+                codes, ids, held = [], [], 0
+        if held:
+            yield dealt(codes, ids)
+
+    def shared(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py() if table.num_rows else 0
+        code, owner = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("codes", np.uint32), ("ids", np.int64)))
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        _, at, times = np.unique(code, return_inverse=True, return_counts=True)
+        keep = times[at] > 1
+        bucket = code[keep].astype(np.int64) + (part << 32)
+        return pa.table({"bucket": bucket, "id": owner[keep], "members": times[at][keep].astype(np.int64)})
+
+    made = classes.select("id", "registers").mapInArrow(rows, "part long, codes binary, ids binary")
+    return made.groupBy("part").applyInArrow(shared, "bucket long, id long, members long")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, judge: Judge, percent: int) -> DataFrame:
-    """The pairs (a, b) that their signatures do not rule out."""
+    """The pairs (a, b) that their signatures do not rule out. Sizes rule pairs out where the classes have them (n)."""
+    if "n" not in classes.columns:
+        classes = classes.withColumn("n", F.lit(1).cast("long"))
     for side in "ab":
         named = classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
         pairs = pairs.join(named, side)
@@ -165,7 +221,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stored(column: pa.Array) -> list[np.ndarray]:
+    """Codes that were stored as they are."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, unpacked: Unpacker, percent: int) -> DataFrame:
     """The pairs (a, b) as links (u, v) whose full sets reach the percentage."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("codes").alias(f"c{side}")), side)
@@ -173,10 +234,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             keep = []
-            for x, y in zip(batch.column("ca"), batch.column("cb")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = _common(a, b)
-                keep.append(100 * n >= percent * (len(a) + len(b) - n))
+            for at in range(0, batch.num_rows, BLOCK_CLASSES):
+                part = batch.slice(at, BLOCK_CLASSES)
+                for a, b in zip(unpacked(part.column("ca")), unpacked(part.column("cb"))):
+                    n = _common(a, b)
+                    keep.append(100 * n >= percent * (len(a) + len(b) - n))
             found = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(found.columns, names=["u", "v"])
 
@@ -206,7 +268,7 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.
     return 100 * common >= percent * (na[:, None] + nb[None, :] - common)
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+def _block_links(rows: DataFrame, unpacked: Unpacker, percent: int) -> DataFrame:
     """Links between different components inside each pair of blocks (cluster, first, second)."""
 
     def links(table: pa.Table) -> pa.Table:
@@ -214,7 +276,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         second = table.column("second")[0].as_py() if table.num_rows else 0
         block = table.column("block").to_numpy()
         ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
-        codes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("codes")]
+        codes = unpacked(table.column("codes"))
         i, j = np.flatnonzero(block == first), np.flatnonzero(block == second)
         u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(i) and len(j):
@@ -248,14 +310,14 @@ def _mixed_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(spread.filter("lo < hi and members > 2").select("bucket"), "bucket")
 
 
-def _private(sets: DataFrame) -> DataFrame:
+def _private(sets: DataFrame, unpacked: Unpacker) -> DataFrame:
     """(id, private): how many codes of a set stand in no other; each task counts its own sets first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             for at in range(0, batch.num_rows, BLOCK_CLASSES):
                 part = batch.slice(at, BLOCK_CLASSES)
-                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("codes")]
+                found = unpacked(part.column("codes"))
                 codes, first, times = np.unique(np.concatenate(found), return_index=True, return_counts=True)
                 ids = np.repeat(part.column("id").to_numpy(), [len(x) for x in found])[first]
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(ids), pa.array(times)], names=["code", "id", "times"])
@@ -277,14 +339,25 @@ def near_components(
     banded = _banded(classes, bands, per_band)
     shared = durable(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
     buckets = durable(Members(shared, "bucket").among(banded, "bucket").join(shared, "bucket"), "buckets")
+    return bucket_components(buckets, classes, lambda wanted: _sets(items, wanted, shingler), _stored, judge, percent)
+
+
+def bucket_components(
+    buckets: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], unpacked: Unpacker, judge: Judge, percent: int
+) -> DataFrame:
+    """(node, component) of all classes (id, registers, and n if known) with a link to one in a bucket (bucket, id, members).
+
+    ``sets_of`` gives the sets (id, n, codes) of the classes (id) it is asked for, one row each; ``unpacked``
+    makes sorted distinct codes of its column ``codes``, which may be anything shorter than the codes.
+    """
     pairs = durable(_likely(_stars(buckets), classes, judge, percent), "pairs")
     members = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    links = durable(_confirmed(pairs, durable(_sets(items, members, shingler), "sets"), percent), "links")
+    links = durable(_confirmed(pairs, durable(sets_of(members), "sets"), unpacked, percent), "links")
     found = durable(components(links), "components")
 
     mixed = durable(_mixed_buckets(buckets, found), "mixed")
-    sets = durable(_sets(items, mixed, shingler), "sets")
-    private = sets.select("id", "n").join(_private(sets), "id", "left")
+    sets = durable(sets_of(mixed), "sets")
+    private = sets.select("id", "n").join(_private(sets, unpacked), "id", "left")
     able = private.filter(100 * (F.col("n") - F.coalesce("private", F.lit(0))) >= percent * F.col("n"))
     mixed = durable(mixed.join(able.select("id"), "id", "left_semi"), "mixed")
     spread = mixed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("u"))
@@ -298,6 +371,6 @@ def near_components(
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    more = _block_links(rows.select("cluster", "first", "second", "block", "id", "component", "codes"), percent)
+    more = _block_links(rows.select("cluster", "first", "second", "block", "id", "component", "codes"), unpacked, percent)
     known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     return components(known.unionAll(durable(more, "links")))

@@ -267,3 +267,65 @@ def test_runs_of_few_words(size):
         w = bytewords.words(texts)
         runs, first = bytewords.shingle_hashes(bytewords.word_hashes(texts, w), w, size)
         assert len(runs) == len(first) == sum(max(1, n - size + 1) for n in counts if n)
+
+
+# -- what line deduplication writes -------------------------------------------------------
+
+
+def test_lines_written_once(spark):
+    """Near copies of long lines: what is kept on storage stays below twice the texts, as neither lines nor sets are."""
+    from pathlib import Path
+
+    from scriptweave.llm import linededup
+    from scriptweave.operators.durable import shared_folder
+
+    def held():
+        folder = Path(shared_folder(spark).removeprefix("file:"))
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    base = ["".join(rng.choice(letters) for _ in range(3000)) for _ in range(150)]
+    near = [x[:1000] + "-" + x[1001:2000] + "-" + x[2001:] for x in base]
+    docs = [(i, f"{a}\n{b}\nshort") for i, (a, b) in enumerate(zip(base, near))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    before = held()
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.deduplicated(df).collect()}
+    assert got == {i: (f"{a}\nshort", 1) for i, a in enumerate(base)}
+    assert held() - before < 2 * sum(len(t) for _, t in docs)
+
+
+def test_lines_normalised():
+    """Lines by arrays are lines by patterns, with their numbers and their bytes as they were."""
+    import numpy as np
+
+    from scriptweave.llm import bytewords, linededup
+
+    rng = random.Random(6)
+    texts = ["", "\n", "  \n\t\n", " a \r\n b", "a\n\n", *("".join(rng.choice("ab \t\r\n\x0b\x0cé") for _ in range(60)) for _ in range(300))]
+    raw = [(t + "\n").encode() for t in texts]
+    data, starts, ends, lengths, first = linededup.normalised(
+        bytewords.Texts(0, np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    )
+    got = [bytes(data[a:b]).decode() for a, b in zip(starts, ends)]
+    lines = [x for t in texts for x in t.split("\n")]
+    assert got == [re.sub(r"[ \t\x0B\f\r]+", " ", x).strip(" ") for x in lines]
+    assert lengths.tolist() == [len(x.encode()) for x in lines]
+    assert np.diff(first).tolist() == [t.count("\n") + 1 for t in texts]
+
+
+@pytest.mark.parametrize("size", [30, 150, 2000])
+def test_line_signatures(size):
+    """Places of two signatures agree as often as the sets' likeness says, for short lines and long ones."""
+    import numpy as np
+
+    from scriptweave.llm import bytewords, linededup
+
+    agree = []
+    for i in range(60):
+        codes = bytewords.mix(np.arange(size + size // 4, dtype=np.uint64) + np.uint64(1_000_000 * (i + 1)))
+        both = np.concatenate([codes[:size], codes[:1], codes[size // 4 :]])
+        a, b = linededup.signature(both, np.array([0, size + 1, len(both)]))
+        agree.append((a == b).mean())
+    shared, union = size - size // 4, size + size // 4
+    assert abs(np.mean(agree) - shared / union) < 0.04
