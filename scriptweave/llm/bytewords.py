@@ -27,12 +27,13 @@ _LOWER[0x41:0x5B] += 0x20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): every input bit reaches every output bit."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = np.array(x, dtype=np.uint64)
+    moved = np.empty_like(x)
+    x ^= np.right_shift(x, np.uint64(30), out=moved)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=moved)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=moved)
     return x
 
 

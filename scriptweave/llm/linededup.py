@@ -33,15 +33,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..operators.durable import durable, new_path
 from . import bytewords
 from .memory import released, small_batches
-from .near import Members, bucket_components, distinct_codes, packed_buckets
+from .near import Members, bucket_components, packed_buckets
 
 SHINGLE, MIN_BYTES, PERCENT = 8, 20, 80
+# Buckets of so many lines have all pairs of signatures judged.
+SMALL = 64
 # Lines taken at once: few enough that the arrays stay near the processor.
 SLICE_BYTES = 1 << 16
 BANDS, PER_BAND = 12, 5
 REGISTERS = BANDS * PER_BAND
 # Rows of a block: what is found about a block's lines meets its rows as one value.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 # Shorter lines, which leave many places open, are taken through all permutations.
 _SHORT = 2 * REGISTERS
 _OPEN = np.uint32(0xFFFFFFFF)
@@ -68,12 +70,12 @@ def runs(texts: bytewords.Texts) -> tuple[np.ndarray, np.ndarray]:
 def shingler(texts: bytewords.Texts) -> tuple[np.ndarray, np.ndarray]:
     """The distinct runs of eight bytes of each line; a shorter line is one run."""
     codes, bounds = runs(texts)
-    return distinct_codes(codes, np.repeat(np.arange(texts.count), np.diff(bounds)), texts.count)
-
-
-def _permuted(codes: np.ndarray, k: np.ndarray | int) -> np.ndarray:
-    # the codes are mixed, so half of one, times an odd number, is a permutation of 32 bits that serves
-    return ((codes >> np.uint64(32)).astype(np.uint32) ^ _SALTS[k]) * _ODD[k]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        codes[a:b].sort()
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = codes[1:] != codes[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    return codes[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def signature(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -83,18 +85,24 @@ def signature(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     least = np.full(count * REGISTERS, _OPEN, dtype=np.uint32)
     np.minimum.at(least, np.repeat(np.arange(count) * REGISTERS, lengths) + place.astype(np.int64), codes.astype(np.uint32))
     least = least.reshape(count, REGISTERS)
-    some = np.flatnonzero((lengths > 0) & (lengths < _SHORT))
-    if len(some):
-        part = codes[np.repeat((lengths > 0) & (lengths < _SHORT), lengths)]
-        starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+    # the codes are mixed, so half of one, times an odd number, is a permutation of 32 bits that serves
+    half = (codes >> np.uint64(32)).astype(np.uint32)
+    short = (lengths > 0) & (lengths < _SHORT)
+    if short.any():
+        part = half[np.repeat(short, lengths)]
+        starts = np.concatenate([[0], np.cumsum(lengths[short])[:-1]])
+        own, work = np.empty((REGISTERS, len(starts)), dtype=np.uint32), np.empty_like(part)
         for k in range(REGISTERS):
-            own = np.minimum.reduceat(_permuted(part, k), starts)
-            least[some, k] = np.where(least[some, k] == _OPEN, own, least[some, k])
+            np.multiply(np.bitwise_xor(part, _SALTS[k], out=work), _ODD[k], out=work)
+            np.minimum.reduceat(work, starts, out=own[k])
+        least[short] = np.where(least[short] == _OPEN, own.T, least[short])
     line, k = np.nonzero((least == _OPEN) & (lengths >= _SHORT)[:, None])
     if len(line):
         starts = np.concatenate([[0], np.cumsum(lengths[line])])
-        at = np.arange(starts[-1]) + np.repeat(bounds[line] - starts[:-1], lengths[line])
-        least[line, k] = np.minimum.reduceat(_permuted(codes[at], np.repeat(k, lengths[line])), starts[:-1])
+        work = half[np.arange(starts[-1]) + np.repeat(bounds[line] - starts[:-1], lengths[line])]
+        work ^= np.repeat(_SALTS[k], lengths[line])
+        work *= np.repeat(_ODD[k], lengths[line])
+        least[line, k] = np.minimum.reduceat(work, starts[:-1])
     out = (bytewords.mix(least.astype(np.uint64) + np.uint64(1)) & np.uint64(255)).astype(np.uint8)
     out[lengths == 0] = 0
     return out
@@ -148,7 +156,8 @@ def _raw_lengths(text: str) -> Column:
 
 
 def _lines(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """(row, line_no, place, hi, lo): the lines of rows (row, place, text) that are compared, and 128 bits of each."""
+    """(row, line_no, place, hi, lo, registers): the lines of rows (row, place, text) that are compared, 128 bits of each,
+    and its signature, which is null where a line stands again among those taken at once."""
     least = max(1, min_bytes)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +165,31 @@ def _lines(rows: DataFrame, min_bytes: int) -> DataFrame:
             for texts in bytewords.slices(batch.column("text"), size=SLICE_BYTES):
                 data, starts, ends, raw, first = normalised(texts)
                 own = batch.column("raw").slice(texts.first, texts.count)
-                for i in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)):
-                    raw[first[i] : first[i + 1]] = own[i].as_py()
+                if own.null_count < len(own):
+                    for i in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)):
+                        raw[first[i] : first[i + 1]] = own[i].as_py()
                 which = np.flatnonzero((ends - starts >= least) & (raw >= least))
                 whole = data.tobytes()
-                digests = b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts[which], ends[which]))
-                digests = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+                digests = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+                new = dict(zip(reversed(digests), reversed(range(len(digests)))))
+                new = np.sort(np.fromiter(new.values(), np.int64, len(new)))
+                signed = signature(*runs(_picked(data, starts, ends, which[new])))
+                signs = np.zeros(len(which), dtype=np.int64)
+                signs[new] = REGISTERS
+                bounds = np.concatenate([[0], np.cumsum(signs)]).astype(np.int32)
+                mask = pa.array(signs > 0)
+                registers = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(which), [mask.buffers()[1], pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(signed))]
+                )
+                digests = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 text = np.searchsorted(first, which, side="right") - 1
-                rows = batch.slice(texts.first, texts.count).take(pa.array(text))
-                columns = [rows.column("row"), pa.array((which - first[text]).astype(np.int32)), rows.column("place")]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(digests[:, k].copy()) for k in (0, 1))], names=names)
+                part = batch.slice(texts.first, texts.count).take(pa.array(text))
+                columns = [part.column("row"), pa.array((which - first[text]).astype(np.int32)), part.column("place")]
+                columns += [pa.array(digests[:, k].copy()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, registers], names=names)
 
-    names = ["row", "line_no", "place", "hi", "lo"]
-    types = [T.LongType(), T.IntegerType(), rows.schema["place"].dataType, T.LongType(), T.LongType()]
+    names = ["row", "line_no", "place", "hi", "lo", "registers"]
+    types = [T.LongType(), T.IntegerType(), rows.schema["place"].dataType, T.LongType(), T.LongType(), T.BinaryType()]
     schema = T.StructType([T.StructField(*x) for x in zip(names, types)])
     rows = rows.filter(F.col("text").isNotNull())
     return rows.select("row", "place", _lowered("text").alias("text"), _raw_lengths("text").alias("raw")).mapInArrow(found, schema)
@@ -224,14 +245,9 @@ def _of_lines(
     return marked.select(_lowered("text").alias("text"), "marks").mapInArrow(found, schema)
 
 
-def _signed(ids: pa.Array, lines: bytewords.Texts) -> list[pa.Array]:
-    return [ids, pa.array([x.tobytes() for x in signature(*runs(lines))], pa.binary())]
-
-
 def _texts(ids: pa.Array, lines: bytewords.Texts) -> list[pa.Array]:
-    whole, (_, bounds) = lines.data.tobytes(), shingler(lines)
-    texts = [whole[a:b] for a, b in zip(lines.bounds[:-1], lines.bounds[1:])]
-    return [ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(texts, pa.binary())]
+    whole = lines.data.tobytes()
+    return [ids, pa.array([whole[a:b] for a, b in zip(lines.bounds[:-1].tolist(), lines.bounds[1:].tolist())], pa.binary())]
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -247,21 +263,22 @@ def line_classes(rows: DataFrame, lines: DataFrame, percent: int = PERCENT) -> D
     """(hi, lo, keep) of bucketed rows and their lines: the lines that some other line is like, or stands again, and
     the place (row, line_no) of the one that stays."""
     place = F.struct("place", "row", "line_no")
-    distinct = lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("lines"))
+    distinct = lines.groupBy("hi", "lo").agg(
+        F.min(place).alias("place"), F.count(F.lit(1)).alias("lines"), F.first("registers", ignorenulls=True).alias("registers")
+    )
     distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    places = distinct.select("id", "place.row", "place.line_no")
-    classes = durable(_of_lines(rows, places, _signed, "id long, registers binary"), "classes")
-    buckets = durable(packed_buckets(classes, BANDS, PER_BAND), "buckets")
-    classes = durable(Members(buckets, "id").among(classes, "id"), "candidates")
+    buckets = durable(packed_buckets(distinct, BANDS, PER_BAND), "buckets")
+    # of the lines with company all is kept, so that the others are passed over once
+    classes = durable(Members(buckets, "id").among(distinct, "id"), "candidates")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.select("id").distinct()
-        asked = Members(wanted, "id").among(places, "id").join(wanted, "id")
-        return _of_lines(rows, asked, _texts, "id long, n long, codes binary")
+        asked = classes.select("id", "place.row", "place.line_no").join(wanted.select("id").distinct(), "id")
+        return _of_lines(rows, asked, _texts, "id long, codes binary")
 
-    found = bucket_components(buckets, classes, sets_of, _sets, possible, percent)
+    found = bucket_components(buckets, classes.select("id", "registers"), sets_of, _sets, possible, percent, SMALL)
     found = durable(found.withColumnRenamed("node", "id"), "components")
-    linked = Members(found, "id").among(distinct, "id").join(found, "id")
+    distinct = distinct.drop("registers")
+    linked = classes.select(distinct.columns).join(found, "id")
     alone = distinct.filter("lines > 1").join(found, "id", "left_anti").withColumn("component", F.col("id"))
     named = durable(linked.unionByName(alone), "named")
     keep = named.groupBy("component").agg(F.min("place").alias("keep"), F.sum("lines").alias("all_lines")).filter("all_lines > 1")
@@ -269,6 +286,11 @@ def line_classes(rows: DataFrame, lines: DataFrame, percent: int = PERCENT) -> D
     return durable(kept.select("hi", "lo", F.struct("keep.row", "keep.line_no").alias("keep")), "kept")
 
 
+def _line_count(text: Column) -> Column:
+    """Its lines, counted without cutting the text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def _without(text: Column, gone: Column) -> Column:
     """The text without the lines of the given numbers."""
 
@@ -306,6 +328,6 @@ def _deduplicated(documents: DataFrame, key: str, text: str, percent: int, min_b
     return rows.select(
         *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)],
         F.when(F.col("marks").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("marks"))).alias(text),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(_line_count(F.col("text")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("marks"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -329,3 +329,29 @@ def test_line_signatures(size):
         agree.append((a == b).mean())
     shared, union = size - size // 4, size + size // 4
     assert abs(np.mean(agree) - shared / union) < 0.04
+
+
+def test_small_buckets_have_all_pairs(spark):
+    """Two that differ from the centre of their bucket and are alike, told by signatures; each line is signed once."""
+    import numpy as np
+
+    from scriptweave.llm import linededup, near
+
+    same = [np.arange(60, dtype=np.uint8) for _ in range(5)]
+    same[3][:40] = 200
+    same[4][:40] = 200
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(same)], "id long, registers binary")
+    buckets = spark.createDataFrame([(b, i, 5) for b in (7, 8) for i in range(5)], "bucket long, id long, members long")
+    got = {(r.a, r.b): r.star for r in near._judged(buckets, classes, linededup.possible, 80).collect()}
+    assert got == {(0, 1): True, (0, 2): True, (1, 2): False, (3, 4): False}
+
+    more = spark.createDataFrame([(2, 9), (11, 12), (9, 4)], "u long, v long")
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
+    assert dict(near.joined(found, more).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 11: 11, 12: 11}
+    assert near.joined(found, more.limit(0)).count() == 4
+
+    line = "a line that is long enough to be compared and stands in the text again"
+    rows = linededup.bucketed(spark.createDataFrame([(0, f"{line}\n{line}\nanother line, and none is like it"), (1, line)], "place long, text string").coalesce(1))
+    signed = linededup._lines(rows, 20).collect()
+    assert len(signed) == 4 and len({(r.hi, r.lo) for r in signed}) == 2
+    assert 2 <= sum(r.registers is not None for r in signed) <= 3 and all(len(r.registers) == 60 for r in signed if r.registers)
