@@ -6,9 +6,9 @@ over (language, first word, ..., fifth word) sums these counts into those of all
 and the language's total, since a phrase stands as often as windows begin with it.
 
 A phrase of ``least`` occurrences has no pair of neighbours with fewer, so windows are padded from the first
-rarer pair on, which changes no count of such a phrase and leaves few distinct windows. Pairs are counted by
-their hashes; a bit table, sized by the number of frequent pairs and broadcast, tells them, and lets a few
-others pass. Where it would grow beyond ``TABLE_BITS`` there is none and windows stay whole: the result is the
+rarer pair on, which changes no count of such a phrase and leaves few distinct windows; rarer words count for the
+language's total only. Words and pairs are counted by their hashes; a bit table, sized by the number of frequent
+ones and broadcast, tells them, and lets a few others pass. Where it would grow beyond ``TABLE_BITS`` there is none and windows stay whole: the result is the
 same, from more shuffled rows.
 
 Nulls: a null language is ``und``, a null or empty text has no words. Repeated rows count each. Pieces are
@@ -19,6 +19,7 @@ and text are not looked at. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.durable import durable
 from . import bytewords
+from .memory import released, small_batches
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, PART_BYTES = 4 << 20, 1 << 20
 TABLE_BITS = 1 << 28
-_BITS_PER_PAIR = 32
+_BITS_PER_HASH = 32
+# Hashes are counted by so many of their bits; two that meet only let more windows pass.
+_TOLD = np.uint64((1 << 40) - 1)
 _CUT = np.zeros(256, dtype=bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _APART = _CUT.copy()
@@ -46,40 +50,82 @@ def pieces(texts: bytewords.Texts) -> tuple[bytewords.Words, np.ndarray]:
     return w, follows
 
 
-def _pairs(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+@dataclass
+class Tokens:
+    """The words of some texts of a batch: bytes of the texts in lower case, where each word begins and ends there,
+    its hash, its row in the batch, and whether the next one follows in the same piece."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    row: np.ndarray
+    follows: np.ndarray
+
+
+def _tokens(column: pa.Array) -> Iterator[Tokens]:
+    """The words of a column in slices of about ``SLICE_BYTES``, found in parts of ``PART_BYTES``, as finding them
+    takes several times the memory of what is found."""
+    parts: list[Tokens] = []
+    size = 0
+    for texts in bytewords.slices(column, lower=True, size=min(SLICE_BYTES, PART_BYTES)):
+        w, follows = pieces(texts)
+        parts.append(Tokens(texts.data, w.starts + size, w.ends + size, bytewords.word_hashes(texts, w), w.text + texts.first, follows))
+        size += len(texts.data)
+        if size >= SLICE_BYTES:
+            yield _joined(parts)
+            size = 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list[Tokens]) -> Tokens:
+    """One slice of its parts; the list is emptied."""
+    names = [f.name for f in fields(Tokens)]
+    columns = [[getattr(p, name) for p in parts] for name in names]
+    parts.clear()
+    return Tokens(*(np.concatenate(columns.pop(0)) for _ in names))
+
+
+def _words(t: Tokens, salt: np.ndarray) -> np.ndarray:
+    """A hash of each word and its language."""
+    return bytewords.mix(t.hashes + salt[t.row])
+
+
+def _pairs(t: Tokens, words: np.ndarray) -> np.ndarray:
     """A hash of each word, the next one and the language."""
-    return bytewords.mix(bytewords.mix(hashes[:-1] + salt[:-1]) * np.uint64(0xD6E8FEB86659FD93) + hashes[1:])
+    return bytewords.mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + t.hashes[1:])
 
 
 def _frequent(rows: DataFrame, least: int) -> DataFrame:
-    """(pair): hashes of the neighbours that stand together at least so often."""
+    """(hash): hashes of the words, and of the neighbours, that stand at least so often."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             salt = batch.column("salt").to_numpy().view(np.uint64)
-            for texts in bytewords.slices(batch.column("text"), lower=True, size=SLICE_BYTES):
-                w, follows = pieces(texts)
-                found = _pairs(bytewords.word_hashes(texts, w), salt[texts.first + w.text])[follows[:-1]]
-                kinds, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            for t in _tokens(batch.column("text")):
+                words = _words(t, salt)
+                for found in (words, _pairs(t, words)[t.follows[:-1]]):
+                    kinds, n = np.unique(found & _TOLD, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    made = rows.select("salt", "text").mapInArrow(counted, "pair long, n long")
-    return made.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair")
+    made = rows.select("salt", "text").mapInArrow(counted, "hash long, n long")
+    return made.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash")
 
 
 class Table:
-    """A bit for each pair's hash; all set where there are too many pairs to tell them."""
+    """A bit for each hash; all set where there are too many hashes to tell them."""
 
-    def __init__(self, pairs: DataFrame):
-        pairs = durable(pairs, "pairs")
-        wanted = max(1 << 10, pairs.count() * _BITS_PER_PAIR)
+    def __init__(self, hashes: DataFrame):
+        hashes = durable(hashes, "hashes")
+        wanted = max(1 << 10, hashes.count() * _BITS_PER_HASH)
         self.bits = 1 << int(wanted - 1).bit_length()
         self.shared = None
         if self.bits <= TABLE_BITS:
-            slots = pairs.select(F.col("pair").bitwiseAND(self.bits - 1).alias("slot")).distinct().toArrow()
+            slots = hashes.select(F.col("hash").bitwiseAND(self.bits - 1).alias("slot")).distinct().toArrow()
             bits = np.zeros(self.bits, dtype=bool)
             bits[slots.column("slot").to_numpy()] = True
-            self.shared = pairs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+            self.shared = hashes.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         if self.shared is None:
@@ -89,26 +135,41 @@ class Table:
 
 
 def _windows(rows: DataFrame, table: Table, longest: int) -> DataFrame:
-    """(lang, size, w1, w2, ..., n): the distinct windows of a slice; places behind ``size`` are empty."""
+    """(lang, size, w1, w2, ..., n): the distinct windows of a slice; places behind ``size`` are empty. Words too rare
+    for any phrase are windows of no words."""
     places = [f"w{k + 1}" for k in range(longest)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             salt = batch.column("salt").to_numpy().view(np.uint64)
             langs = batch.column("lang").dictionary_encode()
             lang_of = langs.indices.to_numpy()
-            for texts in bytewords.slices(batch.column("text"), lower=True, size=SLICE_BYTES):
-                w, follows = pieces(texts)
-                if not len(w.starts):
+            for t in _tokens(batch.column("text")):
+                if not len(t.hashes):
                     continue
-                hashes, row = bytewords.word_hashes(texts, w), texts.first + w.text
-                more = np.zeros(len(hashes) + longest, dtype=bool)
-                more[: len(hashes) - 1] = follows[:-1] & table.passes(_pairs(hashes, salt[row]))
-                _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-                raw = texts.data.tobytes()
-                known = pa.array([raw[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist())] + [b""], pa.binary()).cast(pa.string())
+                words = _words(t, salt)
+                more = np.zeros(len(words) + longest, dtype=bool)
+                more[: len(words) - 1] = t.follows[:-1] & table.passes(_pairs(t, words))
+                kept = table.passes(words) | more[: len(words)]
+                kept[1:] |= more[: len(words) - 1]
+                rare = np.bincount(lang_of[t.row[~kept]], minlength=len(langs.dictionary))
+                some = np.flatnonzero(rare)
+                empty = pa.array([""] * len(some), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [langs.dictionary.take(pa.array(some)), pa.array(np.zeros(len(some), dtype=np.int32)), *[empty] * longest, pa.array(rare[some])],
+                    names=["lang", "size", *places, "n"],
+                )
+                open_ = np.flatnonzero(kept)
+                _, at, kinds = np.unique(t.hashes[open_], return_index=True, return_inverse=True)
+                word = np.zeros(len(kept), dtype=np.int64)
+                word[open_] = kinds
+                at = open_[at]
+                known = [t.raw[a:b].tobytes() for a, b in zip(t.starts[at].tolist(), t.ends[at].tolist())]
+                known = pa.array([*known, b""], pa.binary()).cast(pa.string())
+                lang_at = lang_of[t.row]
+                del t, words, kinds
                 # windows that go on get a name for what they have so far, and so on with the next word
-                open_, name = np.arange(len(hashes)), lang_of[row].astype(np.int64)
+                name = lang_at[open_].astype(np.int64)
                 for size in range(1, longest + 1):
                     _, first, name, n = np.unique(
                         name * len(at) + word[open_ + size - 1], return_index=True, return_inverse=True, return_counts=True
@@ -116,7 +177,7 @@ def _windows(rows: DataFrame, table: Table, longest: int) -> DataFrame:
                     goes_on = more[open_ + size - 1] & (size < longest)
                     n -= np.bincount(name[goes_on], minlength=len(n))
                     begins = open_[first[n > 0]]
-                    columns = [langs.dictionary.take(pa.array(lang_of[row[begins]])), pa.array(np.full(len(begins), size, dtype=np.int32))]
+                    columns = [langs.dictionary.take(pa.array(lang_at[begins])), pa.array(np.full(len(begins), size, dtype=np.int32))]
                     for k in range(longest):
                         columns.append(known.take(pa.array(word[begins + k] if k < size else np.full(len(begins), len(at)))))
                     columns.append(pa.array(n[n > 0].astype(np.int64)))
@@ -127,14 +188,16 @@ def _windows(rows: DataFrame, table: Table, longest: int) -> DataFrame:
     return rows.mapInArrow(counted, schema)
 
 
-def _rolled(windows: DataFrame, places: list[str]) -> DataFrame:
-    """(lang, words, n) of all beginnings of the windows, none of them included."""
+def _rolled(windows: DataFrame, places: list[str], least: int) -> DataFrame:
+    """(lang, words, n) of all beginnings of the windows, none of them included; those of two words or more only
+    where they stand at least so often."""
     # the levels of ROLLUP have one more word each; without the language there is no row to keep
-    level = len(places) - F.length(F.regexp_replace(F.bin(F.grouping_id()), "0", ""))
+    level = len(places) - F.bit_count(F.grouping_id())
     rolled = windows.rollup("lang", *places).agg(F.sum("n").alias("n"), level.alias("level"), F.grouping("lang").alias("all"))
+    rolled = rolled.filter("all = 0").filter((F.col("level") < 2) | (F.col("n") >= least))
     words = F.slice(F.array(*places), 1, F.greatest(F.lit(1), F.col("level").cast("int")))
     words = F.when(F.col("level") > 0, words).otherwise(F.array().cast("array<string>"))
-    rolled = rolled.filter("all = 0").select("lang", words.alias("words"), "n")
+    rolled = rolled.select("lang", words.alias("words"), "n")
     return rolled.filter((F.size("words") == 0) | (F.element_at(F.concat("words", F.array(F.lit("-"))), F.greatest(F.size("words"), F.lit(1))) != ""))
 
 
@@ -145,10 +208,11 @@ def phrase_counts(
     each language no word at all with the number of its words."""
     named = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und"))
     rows = documents.select(named.alias("lang"), F.xxhash64(named).alias("salt"), F.col(f"`{text}`").alias("text"))
-    windows = durable(_windows(rows, Table(_frequent(rows, least)), longest), "windows")
+    with small_batches(documents.sparkSession):
+        windows = durable(_windows(rows, Table(_frequent(rows, least)), longest), "windows")
     places = [f"w{k + 1}" for k in range(longest)]
-    # single words are most of the windows; their empty places need no levels
-    sums = _rolled(windows.filter("size = 1"), places[:1]).unionAll(_rolled(windows.filter("size > 1"), places))
+    # single words are many of the windows; their empty places need no levels
+    sums = _rolled(windows.filter("size < 2"), places[:1], least).unionAll(_rolled(windows.filter("size > 1"), places, least))
     sums = sums.groupBy("lang", "words").agg(F.sum("n").alias("n"))
     return durable(sums.filter((F.col("n") >= least) | (F.size("words") == 0)), "phrases")
 

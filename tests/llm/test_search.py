@@ -4,8 +4,12 @@ repeated rows, empty tables and further columns under clashing names."""
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from scriptweave.llm import collocations, ranked, repeats
@@ -196,6 +200,43 @@ def test_collocations(spark, monkeypatch, slice_bytes, bits):
     assert collocations.collocations(d.limit(0)).count() == 0
 
 
+def test_collocations_rare_words(spark, monkeypatch):
+    """Words too rare for any phrase count for their language's total; a frequent one stands beside them as well."""
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 400)
+    rng = random.Random(3)
+    docs = [
+        (rng.choice(["en", "de", None]), " ".join(rng.choice([f"W{rng.randint(0, 9999)}", "of the", "OF", "é", "rain, rain"]) for _ in range(40)))
+        for _ in range(30)
+    ]
+    docs += [("fr", "seul")] * 2
+    d = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, collocations.collocations(d, top=15, least=8).collect())) == brute_collocations(docs, 15, 8)
+    # and no windows of their own
+    rows = d.selectExpr("coalesce(lang, 'und') AS lang", "xxhash64(coalesce(lang, 'und')) AS salt", "text")
+    windows = collocations._windows(rows, collocations.Table(collocations._frequent(rows, 8)), 5)
+    assert windows.filter("size = 1 AND w1 RLIKE 'w[0-9]+'").count() < 100 < windows.agg({"n": "sum"}).first()[0]
+
+
+def test_collocations_memory():
+    """A slice of words takes a few times its bytes, whatever finding them takes."""
+    rng = np.random.default_rng(4)
+    size = 8 << 20
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 2000)]) for _ in range(size // 11000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "salt": [1] * len(texts), "text": texts})
+    rows = SimpleNamespace(mapInArrow=lambda function, schema: function)
+    few = SimpleNamespace(passes=lambda hashes: hashes % np.uint64(4) == 0)
+    counted = collocations._windows(rows, few, 5)
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column("n").to_pylist()) for b in counted(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * len(texts)
+    assert most < 12 * size
+
+
 def test_exact_scores(spark):
     """Products beyond 64 bits."""
     found = spark.createDataFrame([(10**15, 10**13)], "a long, n long").selectExpr(
